@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The analysed workload reads four batch datasets and rebuilds the whole fact on
+every run (full refresh); it has no streams, watermarks or state. Nothing is
+built here so as not to invent operators the workload does not have.
+"""
