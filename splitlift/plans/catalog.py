@@ -191,7 +191,7 @@ def q_explode_items(spark, sf):
                        F.col("item.quantity").alias("quantity"),
                        F.col("item.totalValue.value").alias("value"),
                        F.col("item.totalDiscount.value").alias("discount"),
-                       F.size("item.garnishItems").alias("n_garnish"))
+                       F.when(F.col("item").isNotNull(), F.size("item.garnishItems")).alias("n_garnish"))
 
 
 def q_explode_garnish(spark, sf):
@@ -257,16 +257,30 @@ def q_user_metrics(spark, sf):
     return stats.user_metrics(_base(spark, sf))
 
 
+def _rounded(df: DataFrame, columns: list[str], digits: int = 6,
+             overrides: dict[str, int] | None = None) -> DataFrame:
+    # Floating moments depend on summation order in the last bits (in any
+    # engine); results are reported at 6 decimals (variances of money, which
+    # are ~1e9 currency^2, at 2).
+    overrides = overrides or {}
+    return df.withColumns({c: F.round(c, overrides.get(c, digits)) for c in columns})
+
+
+def _welch(spark, sf):
+    return stats.welch_test(stats.welch_moments(stats.user_metrics(_base(spark, sf))))
+
+
 def q_welch_moments(spark, sf):
-    return stats.welch_moments(stats.user_metrics(_base(spark, sf)))
+    m = stats.welch_moments(stats.user_metrics(_base(spark, sf)))
+    return _rounded(m, ["mean_orders", "var_orders", "mean_aov", "var_aov"], overrides={"var_aov": 2})
 
 
 def q_welch_test(spark, sf):
-    return stats.welch_test(stats.welch_moments(stats.user_metrics(_base(spark, sf))))
+    return _rounded(_welch(spark, sf), ["t_stat_orders", "p_value_orders", "t_stat_aov", "p_value_aov"])
 
 
 def q_significance(spark, sf):
-    return stats.significance(q_welch_test(spark, sf))
+    return _rounded(stats.significance(_welch(spark, sf)), ["p_value_orders", "p_value_aov"])
 
 
 def _catalog() -> dict[str, Query]:
