@@ -26,6 +26,17 @@ def known_zones() -> tuple[str, ...]:
         return ()
 
 
+_ZONE_ARRAYS: dict[tuple[str, ...], Column] = {}
+
+
+def _zone_array(zones: tuple[str, ...]) -> Column:
+    """One array literal per zone list, built once per process (the list has
+    ~600 names; building the literal is driver-side work, not per row)."""
+    if zones not in _ZONE_ARRAYS:
+        _ZONE_ARRAYS[zones] = F.array(*[F.lit(z) for z in zones])
+    return _ZONE_ARRAYS[zones]
+
+
 def local_to_utc(local_text: Column | str, zone: Column | str,
                  zones: Sequence[str] | None = None) -> Column:
     """Wall-clock text in a per-row zone -> UTC timestamp.
@@ -37,7 +48,7 @@ def local_to_utc(local_text: Column | str, zone: Column | str,
     ts = F.try_to_timestamp(_c(local_text))
     if not zones:
         return F.to_utc_timestamp(ts, zone)
-    safe_zone = F.when(zone.isin(*zones), zone)
+    safe_zone = F.when(F.array_contains(_zone_array(zones), zone), zone)
     return F.when(safe_zone.isNotNull(), F.to_utc_timestamp(ts, F.coalesce(safe_zone, F.lit("UTC"))))
 
 

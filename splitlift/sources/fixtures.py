@@ -29,9 +29,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+_SCAN_PARTITIONS: dict[str, int] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = True) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if spread_rows else df
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if not spread_rows:
+        return df
+    if path not in _SCAN_PARTITIONS:          # planning a scan lists its files: do it once
+        _SCAN_PARTITIONS[path] = df.rdd.getNumPartitions()
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if _SCAN_PARTITIONS[path] < cores else df
 
 
 def _txt(c: Column) -> Column:
