@@ -29,18 +29,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-_SCAN_PARTITIONS: dict[str, int] = {}
+_TABLES: dict[tuple[int, str, bool], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = True) -> DataFrame:
+    """One given table. The tables are read-only inputs, so the DataFrame (its
+    file listing and footer schema, not data) is built once per session."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if not spread_rows:
-        return df
-    if path not in _SCAN_PARTITIONS:          # planning a scan lists its files: do it once
-        _SCAN_PARTITIONS[path] = df.rdd.getNumPartitions()
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if _SCAN_PARTITIONS[path] < cores else df
+    key = (id(spark), path, spread_rows)
+    if key not in _TABLES:
+        df = spark.read.parquet(path)
+        _TABLES[key] = spread(df) if spread_rows else df
+    return _TABLES[key]
 
 
 def _txt(c: Column) -> Column:

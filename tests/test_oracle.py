@@ -45,6 +45,8 @@ def test_query_matches_oracle(spark, duck, name):
     o_cols = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(o_cols)
     assert _rows(df.columns, df.collect()) == _rows(o_cols, cur.fetchall())
+    # no row-at-a-time Python anywhere in the catalog
+    assert "BatchEvalPython" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_entry_smoke(spark):

@@ -1,0 +1,43 @@
+"""A key holding a third of the rows: results stay whole and exact, and the
+aggregates combine map-side instead of collecting the key in one task."""
+from pyspark.sql import functions as F
+
+from splitlift.operators import fact, metrics, segments
+from splitlift.operators.items import order_item_metrics
+
+
+def _orders(spark, n=30_000):
+    ids = spark.range(n)
+    cust = (F.when(F.col("id") % 3 == 0, F.lit("hot"))           # a third of all orders
+             .when(F.col("id") % 3 == 1, F.lit(None).cast("string"))  # NULL customer: another third
+             .otherwise((F.col("id") % 500).cast("string")))
+    return ids.select(F.col("id").cast("string").alias("order_id"), cust.alias("customer_id"),
+                      (F.col("id") % 7).cast("string").alias("merchant_id"),
+                      (F.col("id") % 100 + 0.25).alias("order_total_amount"))
+
+
+def test_hot_and_null_customer_joins_keep_every_row(spark):
+    orders = _orders(spark)
+    consumers = spark.range(500).select(F.col("id").cast("string").alias("customer_id"),
+                                        F.lit("pt").alias("language")).unionByName(
+        spark.createDataFrame([("hot", "en")], "customer_id string, language string"))
+    ab = consumers.select("customer_id", F.lit("control").alias("is_target"))
+    j = fact.join_abtest(fact.join_consumers(orders, consumers), ab)
+    assert j.count() == 30_000
+    by = {r.language: r["count"] for r in j.groupBy("language").count().collect()}
+    assert by == {"en": 10_000, None: 10_000, "pt": 10_000}
+
+
+def test_hot_customer_segments_and_metrics(spark):
+    orders = _orders(spark)
+    seg = segments.customer_segments(orders)
+    rows = {r.customer_id: r for r in seg.collect()}
+    assert rows["hot"].orders_total == 10_000 and rows["hot"].customer_segment == "High"
+    assert rows[None].orders_total == 10_000
+    assert sum(r.orders_total for r in rows.values()) == 30_000
+    plan = seg._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan                     # only over the bounded histogram
+    base = orders.withColumn("abtest_group", F.lit("control"))
+    g = metrics.ab_group_metrics(base).first()
+    assert g.total_orders == 30_000 and g.unique_customers == 501
+    assert g.total_revenue == round(sum((i % 100) + 0.25 for i in range(30_000)), 2)
