@@ -73,13 +73,24 @@ li AS (
          CAST(ROUND(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(18,2)) * 100, 0) AS BIGINT) AS discount_c,
          CAST(ROUND(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(18,2)) * 100, 0) AS BIGINT) AS tax_c
   FROM lineitem),
+items_u AS (
+  -- identical items of one order count once (grouping by the whole item)
+  SELECT DISTINCT l_orderkey, l_linenumber, l_quantity, l_partkey, value_c, discount_c,
+         CASE WHEN l_tax > 0 THEN tax_c END AS garnish_c
+  FROM li),
+basket_u AS (
+  SELECT l_orderkey, count(*) AS n_distinct, sum(value_c) AS value_c, sum(discount_c) AS discount_c
+  FROM items_u GROUP BY l_orderkey),
 basket AS (
-  SELECT l_orderkey, min(l_suppkey) AS first_supplier, count(*) AS n_items,
-         sum(value_c) AS value_c, sum(discount_c) AS discount_c,
+  SELECT li.l_orderkey, min(l_suppkey) AS first_supplier, count(*) AS n_items,
+         any_value(u.n_distinct) AS n_distinct, any_value(u.value_c) AS value_c,
+         any_value(u.discount_c) AS discount_c,
          sum(CASE WHEN l_tax > 0 THEN tax_c ELSE 0 END) AS garnish_c,
          sum(CASE WHEN l_tax > 0 THEN 1 ELSE 0 END) AS n_garnish,
+         sum(li.value_c) AS all_value_c,
          max(l_linenumber) AS max_sequence
-  FROM li GROUP BY l_orderkey),
+  FROM li JOIN basket_u u ON u.l_orderkey = li.l_orderkey
+  GROUP BY li.l_orderkey),
 cust AS (
   SELECT c_custkey, c_name, n_name, r_name
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
@@ -99,7 +110,7 @@ co AS (
          o.o_orderpriority AS origin_platform,
          CAST(NULL AS VARCHAR) AS order_scheduled_date,
          {ZONE} AS merchant_timezone,
-         CAST(b.n_items AS INTEGER) AS n_items,
+         CAST(b.n_items AS INTEGER) AS n_items, b.n_distinct,
          b.value_c, b.discount_c, b.garnish_c, b.n_garnish, b.max_sequence
   FROM orders o
   LEFT JOIN basket b ON b.l_orderkey = o.o_orderkey
@@ -153,7 +164,7 @@ fact AS (
          cm.created_at AS merchant_created_at, cm.enabled, cm.price_range, cm.average_ticket,
          cm.takeout_time, cm.delivery_time, cm.minimum_order_value, cm.merchant_city,
          cm.merchant_state, cm.merchant_country, ab.is_target AS abtest_group,
-         co.n_items, co.value_c, co.discount_c, co.garnish_c
+         co.n_items, co.n_distinct, co.value_c, co.discount_c, co.garnish_c
   FROM co
   LEFT JOIN cm ON cm.merchant_id = co.merchant_id
   LEFT JOIN cc ON cc.customer_id = co.customer_id
@@ -175,7 +186,7 @@ BASE = f"""
 base AS (
   SELECT f.*, s.customer_segment,
          {R(f'CAST({_V} AS DOUBLE) / 100', 2)} AS item_total_value_sum,
-         {R(f'CAST({_V} AS DOUBLE) / coalesce(f.n_items, 1) / 100', 2)} AS item_total_value_avg,
+         {R(f'CAST({_V} AS DOUBLE) / coalesce(f.n_distinct, 1) / 100', 2)} AS item_total_value_avg,
          {R('CAST(coalesce(f.discount_c, 0) AS DOUBLE) / 100', 2)} AS total_discount,
          CAST(f.order_created_at_utc AS DATE) AS order_date,
          strftime(date_trunc('week', CAST(f.order_created_at_utc AS DATE)), '%Y-%m-%d') AS week,
@@ -378,7 +389,7 @@ def build() -> dict[str, str]:
                       f"timezone('UTC', timezone({ZONE}, o.o_orderdate)) AS order_created_at_utc FROM orders o")
     q["parse_items"] = (with_(LINES) +
                         "SELECT CAST(o.o_orderkey AS VARCHAR) AS order_id, CAST(b.n_items AS INTEGER) AS n_items, "
-                        "CAST(b.n_garnish AS INTEGER) AS n_garnish, CAST(b.value_c AS BIGINT) AS value_cents, "
+                        "CAST(b.n_garnish AS INTEGER) AS n_garnish, CAST(b.all_value_c AS BIGINT) AS value_cents, "
                         "CAST(b.max_sequence AS INTEGER) AS max_sequence "
                         "FROM orders o LEFT JOIN basket b ON b.l_orderkey = o.o_orderkey")
     q["ticket_bucket"] = (f"SELECT CAST(s_suppkey AS VARCHAR) AS merchant_id, "
@@ -406,7 +417,7 @@ def build() -> dict[str, str]:
     q["join_abtest"] = (with_(LINES, CLEAN_ORDERS, ABTEST) +
                         "SELECT co.order_id, co.customer_id, co.merchant_id, ab.is_target AS abtest_group "
                         "FROM co LEFT JOIN ab ON ab.customer_id = co.customer_id")
-    q["order_fact"] = fact_with + "SELECT * EXCLUDE (value_c, discount_c, garnish_c) FROM fact"
+    q["order_fact"] = fact_with + "SELECT * EXCLUDE (n_distinct, value_c, discount_c, garnish_c) FROM fact"
     q["dq_report"] = (fact_with +
                       "SELECT *, n_distinct_keys = n_keyed AS key_is_unique, n_null_keys = 0 AS key_never_null, "
                       "n_rows > 0 AS has_rows FROM (SELECT CAST(count(*) AS BIGINT) AS n_rows, "
@@ -443,7 +454,7 @@ def build() -> dict[str, str]:
     v = "coalesce(value_c + garnish_c, 0)"
     q["order_item_metrics"] = (lines_with +
                                f"SELECT order_id, {R(f'CAST({v} AS DOUBLE) / 100', 2)} AS item_total_value_sum, "
-                               f"{R(f'CAST({v} AS DOUBLE) / coalesce(n_items, 1) / 100', 2)} AS item_total_value_avg, "
+                               f"{R(f'CAST({v} AS DOUBLE) / coalesce(n_distinct, 1) / 100', 2)} AS item_total_value_avg, "
                                f"{R('CAST(coalesce(discount_c, 0) AS DOUBLE) / 100', 2)} AS total_discount FROM co")
     q["period_columns"] = (base_with + "SELECT order_id, order_created_at_utc, order_date, week, month, city_state "
                            "FROM base")
