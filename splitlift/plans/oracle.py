@@ -26,12 +26,13 @@ def FOLD_ASCII(x: str) -> str:
 
 
 def UNESCAPE(x: str) -> str:
-    # The entities that occur in the given tables; '&amp;' last so that
-    # '&amp;copy;' becomes '&copy;' (one decoding pass).
+    # The entities that occur in the given tables. All of them are legacy
+    # names, which HTML decoding also accepts without the ';'. 'amp' goes last
+    # and in one regex pass, so '&amp;copy;' becomes '&copy;' (one decoding).
     out = x
-    for entity, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"),
-                         ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = f"replace({out}, '{entity}', '{char}')"
+    for name, char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"),
+                       ("amp", "&")):
+        out = f"regexp_replace({out}, '&{name};?', '{char}', 'g')"
     return out
 
 

@@ -22,18 +22,6 @@ def materialize(df: DataFrame, name: str, run_date: str | None = None) -> DataFr
     return spark.read.parquet(path)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Cut the lineage: store ``df`` in the session's checkpoint folder (eager).
-
-    For a DataFrame that several branches of one plan read (e.g. the fact:
-    once for per-customer counts, once as the report rows): it is computed
-    once, stored in the shared folder, and the branches scan the stored rows.
-    Survives executor loss (unlike ``localCheckpoint``). Written as Parquet:
-    an RDD ``checkpoint()`` would evaluate the plan twice (count, then write).
-    """
-    return materialize(df, "cut")
-
-
 def save_full(df: DataFrame, target: str, fmt: str = "parquet",
               partition_by: Sequence[str] | None = None) -> None:
     """Full refresh: replace the whole target (a path, or a table name when
