@@ -58,17 +58,17 @@ def _in_test_metrics(spark, sf, period, grouping):
 # ---- text and scalar functions ------------------------------------------------
 
 def q_clean_text(spark, sf):
-    docs = fx.table(spark, sf, "documents")
+    docs = fx.table(spark, sf, "documents", spread_rows=True)
     return docs.select("doc_id", clean_text("text").alias("text_clean"))
 
 
 def q_clean_text_strict(spark, sf):
-    docs = fx.table(spark, sf, "documents")
+    docs = fx.table(spark, sf, "documents", spread_rows=True)
     return docs.select("doc_id", clean_text("text", strict=True).alias("text_clean"))
 
 
 def q_clean_text_pages(spark, sf):
-    pages = fx.table(spark, sf, "pages")
+    pages = fx.table(spark, sf, "pages", spread_rows=True)
     return pages.select("page_id", clean_text("html").alias("text_clean"))
 
 
@@ -116,7 +116,7 @@ def q_clean_orders(spark, sf):
 
 
 def q_dedup_latest(spark, sf):
-    li = fx.table(spark, sf, "lineitem")
+    li = fx.table(spark, sf, "lineitem", spread_rows=True)
     return clean.dedup_latest(li, ["l_orderkey", "l_linenumber"], "l_shipdate")
 
 

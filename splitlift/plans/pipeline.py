@@ -4,6 +4,7 @@ analysis that turns a saved fact into the A/B reports."""
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -118,3 +119,21 @@ def run_analysis(fact_df: DataFrame, export_dir: str | None = None, k: int = 3,
                            ("weekly_segment_metrics", ("customer_segment", "week"))):
             sinks.export_report(out[name], f"{export_dir.rstrip('/')}/{name}", keys)
     return out
+
+
+def write_reports(out: Mapping[str, DataFrame], path: str | None, fmt: str = "parquet",
+                  parallel: int = 4) -> list[str]:
+    """Write every report (``path/<name>``), submitting up to ``parallel``
+    independent jobs at once: each report is a small aggregate over the same
+    stored base, so concurrent jobs keep the executors busy. Returns the
+    names in completion order."""
+    def write(item: tuple[str, DataFrame]) -> str:
+        name, df = item
+        w = df.write.mode("overwrite").format(fmt)
+        if path is None:
+            w.save()
+        else:
+            w.save(f"{path.rstrip('/')}/{name}")
+        return name
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        return list(pool.map(write, out.items()))

@@ -32,9 +32,11 @@ def spread(df: DataFrame) -> DataFrame:
 _TABLES: dict[tuple[int, str, bool], DataFrame] = {}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = True) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = False) -> DataFrame:
     """One given table. The tables are read-only inputs, so the DataFrame (its
-    file listing and footer schema, not data) is built once per session."""
+    file listing and footer schema, not data) is built once per session.
+    ``spread_rows`` round-robins an unsplit scan for row-heavy work that has no
+    key to partition by (text cleaning, map-side partial aggregation)."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     key = (id(spark), path, spread_rows)
     if key not in _TABLES:
@@ -72,7 +74,9 @@ def _pick(key: Column, values: tuple[str, ...]) -> Column:
 def fx_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One order item per line, with its amounts in cents."""
     value = _cents("l_extendedprice")
-    li = table(spark, sf_dir, "lineitem").select(
+    # Partitioned once by order key: the basket aggregation and the join with
+    # the orders below reuse this partitioning (no further exchange).
+    li = table(spark, sf_dir, "lineitem").repartition("l_orderkey").select(
         "l_orderkey", "l_suppkey", "l_partkey", "l_linenumber", "l_quantity", "l_tax",
         value.alias("value_c"),
         _share_cents(value, "l_discount").alias("discount_c"),
@@ -108,7 +112,7 @@ def fx_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
             .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
             .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
             .select("c_custkey", "c_name", "n_name", "r_name"))
-    o = table(spark, sf_dir, "orders")
+    o = table(spark, sf_dir, "orders").repartition("o_orderkey")
     key = F.col("o_orderkey")
     joined = (o.join(baskets, o.o_orderkey == baskets.l_orderkey, "left")
                .join(cust, o.o_custkey == cust.c_custkey, "left"))
