@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,15 +26,17 @@ def known_zones() -> tuple[str, ...]:
         return ()
 
 
-_ZONE_ARRAYS: dict[tuple[str, ...], Column] = {}
+_ZONE_ARRAYS: dict[tuple[str | None, tuple[str, ...]], Column] = {}
 
 
 def _zone_array(zones: tuple[str, ...]) -> Column:
-    """One array literal per zone list, built once per process (the list has
-    ~600 names; building the literal is driver-side work, not per row)."""
-    if zones not in _ZONE_ARRAYS:
-        _ZONE_ARRAYS[zones] = F.array(*[F.lit(z) for z in zones])
-    return _ZONE_ARRAYS[zones]
+    """One array literal per zone list and application (the list has ~600
+    names; building the literal is driver-side work, not per row)."""
+    active = SparkSession.getActiveSession()
+    key = (active.sparkContext.applicationId if active is not None else None, zones)
+    if key not in _ZONE_ARRAYS:
+        _ZONE_ARRAYS[key] = F.array(*[F.lit(z) for z in zones])
+    return _ZONE_ARRAYS[key]
 
 
 def local_to_utc(local_text: Column | str, zone: Column | str,

@@ -29,7 +29,7 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-_TABLES: dict[tuple[int, str, bool], DataFrame] = {}
+_TABLES: dict[tuple[str, str, bool], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = False) -> DataFrame:
@@ -38,7 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = False
     ``spread_rows`` round-robins an unsplit scan for row-heavy work that has no
     key to partition by (text cleaning, map-side partial aggregation)."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path, spread_rows)
+    key = (spark.sparkContext.applicationId, path, spread_rows)
     if key not in _TABLES:
         df = spark.read.parquet(path)
         _TABLES[key] = spread(df) if spread_rows else df
