@@ -58,9 +58,21 @@ def build_fact(raw: RawInputs, broadcast_max_rows: int | None = fact.DEFAULT_BRO
 def run_elt(raw: RawInputs, target: str, run_date: str, fmt: str = "parquet") -> dict:
     """Build the fact, cut the plan, validate, and replace ``target``.
 
-    The fact is written once to the shared checkpoint folder; the gate and the
-    final save read those files instead of replaying the joins."""
-    built = sinks.materialize(build_fact(raw), "order_fact", run_date)
+    ``fmt="table"``: the fact is written once, as a staging table next to the
+    target; the gate reads it, and only a passing table replaces the target
+    (drop + rename, metadata only — the rows are not written twice). Other
+    formats: the fact is written once to the shared checkpoint folder, the gate
+    and the final save read those files instead of replaying the joins."""
+    fact_df = build_fact(raw)
+    if fmt == "table":
+        spark = fact_df.sparkSession
+        staging = f"{target}__staging_{run_date.replace('-', '')}"
+        fact_df.write.mode("overwrite").saveAsTable(staging)
+        report = quality.require(quality.dq_report(spark.read.table(staging), "order_id"))
+        spark.sql(f"DROP TABLE IF EXISTS {target}")
+        spark.sql(f"ALTER TABLE {staging} RENAME TO {target}")
+        return report
+    built = sinks.materialize(fact_df, "order_fact", run_date)
     report = quality.require(quality.dq_report(built, "order_id"))
     sinks.save_full(built, target, fmt)
     return report

@@ -21,7 +21,9 @@ LIBRARY_CONF = {
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
                   app_name: str = "splitlift", extra: dict | None = None) -> SparkSession:
     """Local/test session. On a cluster, pass the cluster's own session instead."""
+    warehouse = tempfile.mkdtemp(prefix="splitlift-wh-", dir=os.environ.get("TMPDIR", "/tmp"))
     builder = (SparkSession.builder.master(master).appName(app_name)
+               .config("spark.sql.warehouse.dir", warehouse)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")

@@ -90,3 +90,17 @@ def test_parquet_and_export(spark, tmpdir_path):
     export_report(df, f"{tmpdir_path}/rep", ["k"])
     (f,) = glob.glob(f"{tmpdir_path}/rep/*.csv")
     assert open(f).read().splitlines() == ["k,v", "a,1", "b,2"]
+
+
+def test_table_target_is_swapped_only_after_the_gate(spark):
+    from splitlift.operators.quality import DataQualityError
+    raw = pipeline.RawInputs(fx.fx_orders(spark, SF_SMALL), fx.fx_consumers(spark, SF_SMALL),
+                             fx.fx_merchants(spark, SF_SMALL), fx.fx_abtest(spark, SF_SMALL))
+    report = pipeline.run_elt(raw, "order_fact_t", run_date="2024-01-02", fmt="table")
+    assert report["n_rows"] == 1500 and spark.read.table("order_fact_t").count() == 1500
+    # duplicate merchants make order_id non-unique: the gate fails, the old table stays
+    bad = pipeline.RawInputs(raw.orders, raw.consumers, raw.merchants.unionByName(raw.merchants),
+                             raw.abtest)
+    with pytest.raises(DataQualityError):
+        pipeline.run_elt(bad, "order_fact_t", run_date="2024-01-03", fmt="table")
+    assert spark.read.table("order_fact_t").count() == 1500
