@@ -22,8 +22,9 @@ _SPACE_RUN = re.compile(r"\s+")
 _EDGE_NON_WORD = re.compile(r"^\W+|\W+$")
 _NOT_UPPER_ALNUM_SPACE = re.compile(r"[^A-Z0-9 ]+")
 
-# Printable ASCII without '&' never changes under unescape/NFKD.
-_PLAIN_ASCII = r"^[\x20-\x7E]*$"
+# Printable ASCII without '&' never changes under unescape/NFKD. ``\z`` is the
+# absolute end: Java's ``$`` would also match before a final line break.
+_PLAIN_ASCII = r"^[\x20-\x7E]*\z"
 
 
 def fold_text(text: str | None) -> str | None:
