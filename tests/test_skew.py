@@ -41,3 +41,31 @@ def test_hot_customer_segments_and_metrics(spark):
     g = metrics.ab_group_metrics(base).first()
     assert g.total_orders == 30_000 and g.unique_customers == 501
     assert g.total_revenue == round(sum((i % 100) + 0.25 for i in range(30_000)), 2)
+
+
+def test_aqe_splits_the_hot_customer_partition(spark):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        orders = _orders(spark, 60_000)
+        consumers = spark.range(500).select(F.col("id").cast("string").alias("customer_id"),
+                                            F.lit("pt").alias("language")).unionByName(
+            spark.createDataFrame([("hot", "en")], "customer_id string, language string"))
+        j = fact.join_consumers(orders, consumers)
+        assert len(j.collect()) == 60_000               # runs this plan, so AQE finalises it
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=true" in plan
+        assert "SortMergeJoin(skew=true)" in plan and "AQEShuffleRead skewed" in plan
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
