@@ -4,7 +4,6 @@ import os
 import tarfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from splitlift import schemas
 from splitlift.operators.items import order_item_metrics

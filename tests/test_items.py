@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from splitlift.operators.items import (explode_garnish, explode_items, order_item_metrics,
                                        order_item_metrics_grouped)

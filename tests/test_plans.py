@@ -1,6 +1,4 @@
 """Plan shape checks over the whole catalog."""
-import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from splitlift.operators import metrics

@@ -1,11 +1,9 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from splitlift.functions.scalar import (lift_pct, local_to_utc, parse_items, round_half_up,
                                         significance_flag, step_bucket)
-from splitlift.schemas import ITEMS
 
 
 @pytest.mark.parametrize("ansi", ["true", "false"])

@@ -3,7 +3,6 @@ aggregates combine map-side instead of collecting the key in one task."""
 from pyspark.sql import functions as F
 
 from splitlift.operators import fact, metrics, segments
-from splitlift.operators.items import order_item_metrics
 
 
 def _orders(spark, n=30_000):

@@ -2,7 +2,6 @@ import math
 import statistics
 
 import pytest
-from pyspark.sql import functions as F
 
 from splitlift.functions.tdist import t_two_sided_p
 from splitlift.operators import stats

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from splitlift.functions.text import clean_text, fold_text, fold_text_strict, zero_pad
 from splitlift.sources.fixtures import table
