@@ -27,26 +27,39 @@ def _n_items(col: str = "items") -> F.Column:
 
 
 # ---- inputs -----------------------------------------------------------------
+# The inputs below are lazy plans (no data is cached). Several queries share
+# them, so each is built once per application, tables dir and ANSI mode (casts
+# capture the mode when the plan is built).
+
+_PLANS: dict[tuple, DataFrame] = {}
+
+
+def _shared(kind: str, spark: SparkSession, sf: str, build: Callable[[], DataFrame]) -> DataFrame:
+    key = (spark.sparkContext.applicationId, kind, sf, spark.conf.get("spark.sql.ansi.enabled", None))
+    if key not in _PLANS:
+        _PLANS[key] = build()
+    return _PLANS[key]
+
 
 def _orders(spark, sf):
-    return clean.clean_orders(fx.fx_orders(spark, sf))
+    return _shared("orders", spark, sf, lambda: clean.clean_orders(fx.fx_orders(spark, sf)))
 
 
 def _consumers(spark, sf):
-    return clean.clean_consumers(fx.fx_consumers(spark, sf))
+    return _shared("consumers", spark, sf, lambda: clean.clean_consumers(fx.fx_consumers(spark, sf)))
 
 
 def _merchants(spark, sf):
-    return clean.clean_merchants(fx.fx_merchants(spark, sf))
+    return _shared("merchants", spark, sf, lambda: clean.clean_merchants(fx.fx_merchants(spark, sf)))
 
 
 def _fact(spark, sf):
-    return fact.order_fact(_orders(spark, sf), _consumers(spark, sf), _merchants(spark, sf),
-                           fx.fx_abtest(spark, sf))
+    return _shared("fact", spark, sf, lambda: fact.order_fact(
+        _orders(spark, sf), _consumers(spark, sf), _merchants(spark, sf), fx.fx_abtest(spark, sf)))
 
 
 def _base(spark, sf):
-    return pipeline.analysis_base(_fact(spark, sf))
+    return _shared("base", spark, sf, lambda: pipeline.analysis_base(_fact(spark, sf)))
 
 
 def _in_test_metrics(spark, sf, period, grouping):
