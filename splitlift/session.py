@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -33,17 +34,44 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
 def apply_library_conf(spark: SparkSession) -> SparkSession:
-    """Pin the runtime settings the transforms depend on (session zone above all)."""
+    """Pin the runtime settings the transforms depend on (session zone above
+    all) and make the package importable by the Python workers."""
     for key, value in LIBRARY_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors (``addPyFile`` of a zip), once per
+    application: the Arrow UDFs and ``mapInPandas`` functions live in it and
+    are unpickled on the workers. Same as ``--py-files`` on spark-submit."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out_dir = tempfile.mkdtemp(prefix="splitlift-pyfiles-", dir=os.environ.get("TMPDIR", "/tmp"))
+    archive = os.path.join(out_dir, "splitlift.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as zf:
+        for folder, _, files in os.walk(pkg_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for plan cuts and intermediate tables.
 
