@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, secrets
+from . import exact_dedup, secrets, substring_dedup
 from ._io import table
 
 
+def op4_substring_dedup(spark, sf_dir):
+    return substring_dedup.removal_digest(
+        substring_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op5_secret_scan(spark, sf_dir):
     return secrets.secrets_digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
@@ -14,4 +19,4 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_secret_scan, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op4_substring_dedup, op5_secret_scan, op10_exact_dedup)}

@@ -53,4 +53,21 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
 
-ORACLE_SQL = {"op5_secret_scan": OP5, "op10_exact_dedup": OP10}
+OP4 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, s, list_slice(w, s, s + 19) AS v
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d)),
+again AS (SELECT doc_id, s FROM (SELECT doc_id, s,
+            row_number() OVER (PARTITION BY v ORDER BY doc_id, s) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM again),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY p) AS t
+         FROM words ANTI JOIN gone ON words.doc_id = gone.doc_id AND words.p = gone.p GROUP BY words.doc_id),
+runs AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, p - lag(p, 1, -1) OVER (PARTITION BY doc_id ORDER BY p) AS gap
+         FROM gone) WHERE gap > 1 GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n.n, 0) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256, coalesce(runs.n, 0) AS n_spans
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN runs USING (doc_id)"""
+
+ORACLE_SQL = {"op4_substring_dedup": OP4, "op5_secret_scan": OP5, "op10_exact_dedup": OP10}
