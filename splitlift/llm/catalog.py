@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, secrets, substring_dedup
+from . import exact_dedup, ngram_jaccard, secrets, substring_dedup
 from ._io import table
 
 
+def op3_ngram_jaccard_join(spark, sf_dir):
+    return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents")).drop("dk")
+
+
 def op4_substring_dedup(spark, sf_dir):
     return substring_dedup.removal_digest(
         substring_dedup.remove_repeats(table(spark, sf_dir, "documents")))
@@ -19,4 +23,4 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_substring_dedup, op5_secret_scan, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op4_substring_dedup, op5_secret_scan, op10_exact_dedup)}

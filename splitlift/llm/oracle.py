@@ -70,4 +70,23 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n.n, 0) AS n_removed,
        sha256(coalesce(t, '')) AS kept_sha256, coalesce(runs.n, 0) AS n_spans
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN runs USING (doc_id)"""
 
-ORACLE_SQL = {"op4_substring_dedup": OP4, "op5_secret_scan": OP5, "op10_exact_dedup": OP10}
+OP3 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, v FROM (
+  SELECT doc_id, list_slice(w, s, s + 4) AS v
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS s FROM d WHERE len(w) > 0))),
+ids AS (SELECT v, row_number() OVER () AS i FROM (SELECT v FROM g GROUP BY v HAVING count(*) > 1)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+s AS (SELECT doc_id, i FROM g JOIN ids USING (v)),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.i = b.i AND a.doc_id < b.doc_id
+         GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+          WHERE 100 * c >= 80 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS r FROM documents
+          UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON edges.a = reach.r)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r) AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN reach USING (doc_id) GROUP BY d.doc_id"""
+
+ORACLE_SQL = {"op3_ngram_jaccard_join": OP3, "op4_substring_dedup": OP4, "op5_secret_scan": OP5, "op10_exact_dedup": OP10}

@@ -38,11 +38,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._io import cut
+from ._pack import pack_texts, unpack_texts
 from ._text import Words, gram_hashes, powers, mix, slices, U
 
 WINDOW = 20
@@ -79,17 +79,6 @@ def _window_hashes(h: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray
     return mix(total + U(window))
 
 
-def _pack(texts: pa.Array) -> pa.Array:
-    zip_ = zstandard.ZstdCompressor(level=1)
-    return pa.array([zip_.compress((t.as_py() or "").encode()) for t in texts], pa.binary())
-
-
-def _unpack(batch: pa.RecordBatch) -> pa.RecordBatch:
-    unzip = zstandard.ZstdDecompressor()
-    texts = pa.array([unzip.decompress(z.as_py()).decode() for z in batch.column("z")], pa.large_string())
-    return batch.append_column("text", texts)
-
-
 def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(ord, dk, text): ids with NULL last, and a key of id and text."""
     return df.select(F.col(id_col).alias("id"),
@@ -98,17 +87,6 @@ def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                      F.col(text_col).alias("text"))
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """Texts compressed before they are shuffled."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, _, _ in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("id"), rows.column("ord"), rows.column("dk"), _pack(rows.column("text"))],
-                    names=["id", "ord", "dk", "z"])
-    return docs.mapInArrow(run, "id long, ord long, dk long, z binary")
-
-
 def anchor_rows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(grp, key, dk, pos, weight): anchors, and markers (pos NULL)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +134,7 @@ def window_rows(packed: DataFrame, marks: DataFrame, window: int = WINDOW, ancho
     are the offsets and hashes of those that are still to be decided."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for rows, raw, offsets in slices(_unpack(whole), "text"):
+            for rows, raw, offsets in slices(unpack_texts(whole), "text"):
                 yield from _window_batch(rows, raw, offsets, window, anchor)
     joined = packed.join(marks, "dk")
     return joined.select("ord", "dk", "z", F.col("marks.pos").alias("pos"),
@@ -254,16 +232,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     (first word, number of words)."""
     docs = _documents(df, id_col, text_col)
     marks = repeated(anchor_rows(docs, window, anchor), budget)
-    marked = mark_repeats(window_rows(_packed(docs).drop("id"), marks, window, anchor))
+    marked = mark_repeats(window_rows(pack_texts(docs, ["ord", "dk"]), marks, window, anchor))
     per_doc = (marked.groupBy("dk", "ord")
                .agg(F.collect_list(F.struct("start", "mask")).alias("m"))
                .select("dk", "ord", F.col("m.start").alias("start"), F.col("m.mask").alias("mask")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for rows, raw, offsets in slices(_unpack(whole), "text"):
+            for rows, raw, offsets in slices(unpack_texts(whole), "text"):
                 yield _keep(rows, raw, offsets, window)
-    out = (_packed(docs).join(per_doc, ["dk", "ord"], "left").select("id", "z", "start", "mask")
+    out = (pack_texts(docs, ["id", "ord", "dk"]).join(per_doc, ["dk", "ord"], "left").select("id", "z", "start", "mask")
            .mapInArrow(run, "id long, kept string, n_words long, n_removed long,"
                             " spans array<struct<start:int,n:int>>"))
     return out.withColumnsRenamed({"id": id_col, "kept": text_col})
