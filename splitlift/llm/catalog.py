@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, ngram_jaccard, secrets, substring_dedup
+from . import decontaminate, exact_dedup, ngram_jaccard, secrets, substring_dedup
 from ._io import table
 
 
@@ -19,8 +19,14 @@ def op5_secret_scan(spark, sf_dir):
     return secrets.secrets_digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op8_decontamination(spark, sf_dir):
+    return decontaminate.contaminated_pairs(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("dk")
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op4_substring_dedup, op5_secret_scan, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op4_substring_dedup, op5_secret_scan,
+                                  op8_decontamination, op10_exact_dedup)}
