@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, ngram_jaccard, secrets, substring_dedup
+from . import bpe, decontaminate, exact_dedup, ngram_jaccard, secrets, substring_dedup
 from ._io import table
+from ._vocab import default_vocabulary
 
 
 def op3_ngram_jaccard_join(spark, sf_dir):
@@ -19,6 +20,12 @@ def op5_secret_scan(spark, sf_dir):
     return secrets.secrets_digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op6_bpe(spark, sf_dir):
+    path = default_vocabulary()
+    encoded = bpe.bpe_encode(table(spark, sf_dir, "documents"), path)
+    return bpe.bpe_digest(bpe.bpe_decode(encoded, path))
+
+
 def op8_decontamination(spark, sf_dir):
     return decontaminate.contaminated_pairs(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("dk")
@@ -29,4 +36,4 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op4_substring_dedup, op5_secret_scan,
-                                  op8_decontamination, op10_exact_dedup)}
+                                  op6_bpe, op8_decontamination, op10_exact_dedup)}
