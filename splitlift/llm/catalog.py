@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, ngram_jaccard, secrets, substring_dedup
+from . import bpe, decontaminate, exact_dedup, ngram_jaccard, quality, secrets, substring_dedup
 from ._io import table
 from ._vocab import default_vocabulary
 
@@ -31,9 +31,14 @@ def op8_decontamination(spark, sf_dir):
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("dk")
 
 
+def op9_quality(spark, sf_dir):
+    return quality.quality_scores(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("dk")
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op4_substring_dedup, op5_secret_scan,
-                                  op6_bpe, op8_decontamination, op10_exact_dedup)}
+                                  op6_bpe, op8_decontamination, op9_quality, op10_exact_dedup)}
