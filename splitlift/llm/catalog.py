@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, ngram_jaccard, quality, secrets, substring_dedup
+from . import bpe, decontaminate, exact_dedup, ngram_jaccard, quality, secrets, substring_dedup, toxicity
 from ._io import table
 from ._vocab import default_vocabulary
 
 
+def op1_toxicity(spark, sf_dir):
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_ngram_jaccard_join(spark, sf_dir):
     return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents")).drop("dk")
 
@@ -40,5 +44,5 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op4_substring_dedup, op5_secret_scan,
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_ngram_jaccard_join, op4_substring_dedup, op5_secret_scan,
                                   op6_bpe, op8_decontamination, op9_quality, op10_exact_dedup)}
