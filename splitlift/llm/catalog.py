@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, ngram_jaccard, quality, secrets, substring_dedup, toxicity
+from . import bpe, decontaminate, exact_dedup, language_id, ngram_jaccard, quality, secrets, substring_dedup, toxicity
 from ._io import table
 from ._vocab import default_vocabulary
 
@@ -11,6 +11,11 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_language_id(spark, sf_dir):
+    return language_id.identify_languages(
+        table(spark, sf_dir, "documents"), default_vocabulary("byte_bpe_50k.tiktoken"))
+
+
 def op3_ngram_jaccard_join(spark, sf_dir):
     return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents")).drop("dk")
 
@@ -44,5 +49,5 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_ngram_jaccard_join, op4_substring_dedup, op5_secret_scan,
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_ngram_jaccard_join, op4_substring_dedup, op5_secret_scan,
                                   op6_bpe, op8_decontamination, op9_quality, op10_exact_dedup)}
