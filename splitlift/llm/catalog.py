@@ -41,8 +41,7 @@ def op8_decontamination(spark, sf_dir):
 
 
 def op9_quality(spark, sf_dir):
-    return quality.quality_scores(
-        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("dk")
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_exact_dedup(spark, sf_dir):

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._io import cut
+from ._rows import drop_rows, row_key
 from ._text import U, Words, gram_hashes, slices
 
 MIN_MATCH = 5
@@ -175,7 +176,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     ``in_order`` (whether the tiles lie in the item's order)."""
     items = cut(item_tokens(benchmark, item_col, item_text_col, min_match), "items")
     table, lengths = seed_table(items)
-    texts = docs.select(F.xxhash64(id_col, text_col).alias("dk"), F.col(id_col).cast("long").alias("id"),
+    texts = docs.select(row_key(id_col, text_col).alias("dk"), F.col(id_col).cast("long").alias("id"),
                         F.col(text_col).alias("text"))
     seeded = cut(seeded_documents(texts, table, lengths).withColumn("uid", F.monotonically_increasing_id()), "seeded")
     # A row per item and seed: items may repeat in the table, so each has a number.
@@ -213,6 +214,4 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                       ) -> DataFrame:
     """The rows of ``df`` that no benchmark item contaminates, with all their columns."""
-    bad = contaminated_pairs(df, benchmark, id_col, text_col).select(F.col("dk").alias("__dk")).distinct()
-    rows = df.withColumn("__own", F.xxhash64(id_col, text_col))
-    return rows.join(bad, F.col("__own") == F.col("__dk"), "left_anti").select(*df.columns)
+    return drop_rows(df, contaminated_pairs(df, benchmark, id_col, text_col), id_col, text_col)

@@ -69,11 +69,16 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("digest").alias("text_sha256"))
 
 
-def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns."""
-    kept = (exact_dedup(df, id_col, text_col).where("kept")
-            .select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__digest")))
-    rows = df.withColumn("__own", text_digest(F.col(text_col)))
-    out = rows.join(kept, F.col(id_col).eqNullSafe(F.col("__id"))
-                    & (F.col("__own") == F.col("__digest")), "left_semi")
-    return out.dropDuplicates([id_col, "__own"]).select(*df.columns)
+def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                items: int = MG_ITEMS, top: int = MG_TOP) -> DataFrame:
+    """The rows of ``df`` that stay, with all their columns. Copies of the winners go
+    map-side, before the texts that remain are shuffled once."""
+    rows = df.withColumn("__digest", text_digest(F.col(text_col)))
+    digests = cut(rows.select(F.col(id_col).alias("id"), F.col("__digest").alias("digest"),
+                              F.monotonically_increasing_id().alias("uid")), "digests")
+    winners = cut(verified_winners(digests, items, top), "winners")
+    keep = winners.select(F.col("digest").alias("__heavy"), F.col("keep.id").alias("__keep"))
+    left = (rows.join(F.broadcast(keep), F.col("__digest") == F.col("__heavy"), "left")
+            .where(F.col("__heavy").isNull() | F.col(id_col).eqNullSafe(F.col("__keep"))))
+    order = Window.partitionBy("__digest").orderBy(F.col(id_col).desc_nulls_last())
+    return left.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").select(*df.columns)

@@ -101,11 +101,11 @@ def text_statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def document_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and ``x``, the statistics of ``text``."""
+def document_statistics(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns ``keep`` and ``x``, the statistics of the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, raw, offsets in slices(batch, "text"):
+            for rows, raw, offsets in slices(batch, text_col):
                 x = text_statistics(raw, offsets).astype(np.float32)
                 ends = pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
@@ -113,7 +113,7 @@ def document_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
                     names=[*keep, "x"])
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
-    return docs.select(*keep, "text").mapInArrow(run, f"{schema}, x array<float>")
+    return docs.select(*keep, text_col).mapInArrow(run, f"{schema}, x array<float>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -241,22 +241,33 @@ def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
+def fitted(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str
+           ) -> tuple[DataFrame, Model]:
+    """(id, held_out, x) of every row, cut, and the model learned from them."""
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    stats = cut(document_statistics(docs, ["id"]), "statistics").withColumn("held_out", held_out(F.col("id")))
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("y")).where("y in (0, 1)")
+    return stats, fit(stats.withColumn("train", ~F.col("held_out")), known)
+
+
 def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: id, ``dk`` (a key of id and text), held_out, score
-    (0 to 1) and predicted (1 if the score reaches the threshold)."""
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, text_col).alias("dk"),
-                     F.col(text_col).alias("text"))
-    stats = cut(document_statistics(docs, ["id", "dk"]), "statistics").withColumn("held_out", held_out(F.col("id")))
-    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("y")).where("y in (0, 1)")
-    model = fit(stats.withColumn("train", ~F.col("held_out")), known)
-    out = scored(stats, model, ["id", "dk", "held_out"])
+    """One row per input row: id, held_out, score (0 to 1) and predicted (1 if the
+    score reaches the threshold)."""
+    stats, model = fitted(df, labels, id_col, text_col, label_col)
+    out = scored(stats, model, ["id", "held_out"])
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int")).withColumnRenamed("id", id_col)
 
 
-def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` predicted to be good, with all their columns."""
-    bad = (quality_scores(df, labels, id_col, text_col).where("predicted = 0")
-           .select(F.col("dk").alias("__dk")).distinct())
-    rows = df.withColumn("__own", F.xxhash64(id_col, text_col))
-    return rows.join(bad, F.col("__own") == F.col("__dk"), "left_anti").select(*df.columns)
+def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+              label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``df`` predicted to be good, with all their columns: texts are
+    scored again where they are read, so that none is shuffled."""
+    _, model = fitted(df, labels, id_col, text_col, label_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, raw, offsets in slices(batch, text_col):
+                good = model.score(text_statistics(raw, offsets).astype(np.float32).astype(float)) >= threshold
+                yield rows.filter(pa.array(good))
+    return df.mapInArrow(run, df.schema)
