@@ -7,3 +7,9 @@ def default_vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """Place of a file of the installed ``public_tokenizers``, read on the driver."""
     import public_tokenizers
     return public_tokenizers.path(name)
+
+
+def splitting_pattern() -> str:
+    """The pattern that splits text before the merges of the rank files."""
+    import public_tokenizers
+    return public_tokenizers.PATTERN

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, language_id, ngram_jaccard, quality, secrets, substring_dedup, toxicity
+from . import bpe, decontaminate, exact_dedup, language_id, ngram_jaccard, quality, secrets, substring_dedup, token_counts, toxicity
 from ._io import table
-from ._vocab import default_vocabulary
+from ._vocab import default_vocabulary, splitting_pattern
 
 
 def op1_toxicity(spark, sf_dir):
@@ -35,6 +35,13 @@ def op6_bpe(spark, sf_dir):
     return bpe.bpe_digest(bpe.bpe_decode(encoded, path))
 
 
+def op7_token_counts(spark, sf_dir):
+    return token_counts.corpus_rollup(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+        default_vocabulary("byte_bpe_50k.tiktoken"), default_vocabulary("byte_bpe_multi_50k.tiktoken"),
+        splitting_pattern())
+
+
 def op8_decontamination(spark, sf_dir):
     return decontaminate.contaminated_pairs(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("dk")
@@ -49,4 +56,4 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_ngram_jaccard_join, op4_substring_dedup, op5_secret_scan,
-                                  op6_bpe, op8_decontamination, op9_quality, op10_exact_dedup)}
+                                  op6_bpe, op7_token_counts, op8_decontamination, op9_quality, op10_exact_dedup)}
