@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import lru_cache
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -16,42 +15,38 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@lru_cache(maxsize=1)
-def known_zones() -> tuple[str, ...]:
-    """IANA zone names available to this Python (empty if tz data is missing)."""
-    try:
-        import zoneinfo
-        return tuple(sorted(zoneinfo.available_timezones() | {"UTC"}))
-    except Exception:  # pragma: no cover - tz data absent
-        return ()
+_ZONES: dict[str, tuple[str, ...]] = {}
 
+# Offset forms that a zone may have besides a region name: Z, or a signed offset
+# up to 18 hours, on its own or after UTC, GMT or UT.
+OFFSET_ZONE = (r"^(?:Z|(?:UTC|GMT|UT)?[+-](?:(?:0?[0-9]|1[0-7])(?::[0-5]?[0-9])?|18(?::0?0)?"
+               r"|(?:0[0-9]|1[0-7])[0-5][0-9]|1800))\z")
 
-_ZONE_ARRAYS: dict[tuple[str | None, tuple[str, ...]], Column] = {}
 
+def known_zones(spark: SparkSession | None = None) -> tuple[str, ...]:
+    """Zone names that Spark's JVM accepts: its region ids and short ids. Asked of
+    the JVM that plans the query, once per application."""
+    spark = spark or SparkSession.active()
+    app = spark.sparkContext.applicationId
+    if app not in _ZONES:
+        jvm = spark.sparkContext._jvm
+        zone = jvm.java.time.ZoneId
+        names = [jvm.java.lang.String.join(",", ids)
+                 for ids in (zone.getAvailableZoneIds(), zone.SHORT_IDS.keySet())]
+        _ZONES[app] = tuple(sorted({n for text in names for n in text.split(",")}))
+    return _ZONES[app]
 
-def _zone_array(zones: tuple[str, ...]) -> Column:
-    """One array literal per zone list and application (the list has ~600
-    names; building the literal is driver-side work, not per row)."""
-    active = SparkSession.getActiveSession()
-    key = (active.sparkContext.applicationId if active is not None else None, zones)
-    if key not in _ZONE_ARRAYS:
-        _ZONE_ARRAYS[key] = F.array(*[F.lit(z) for z in zones])
-    return _ZONE_ARRAYS[key]
 
-
-def local_to_utc(local_text: Column | str, zone: Column | str,
-                 zones: Sequence[str] | None = None) -> Column:
+def local_to_utc(local_text: Column | str, zone: Column | str) -> Column:
     """Wall-clock text in a per-row zone -> UTC timestamp.
 
-    Malformed text, a NULL zone or an unknown zone give NULL instead of failing
-    the job (an unknown zone raises inside ``to_utc_timestamp``)."""
+    The zone is a region name or an offset. Malformed text, a NULL zone or an
+    unknown zone give NULL instead of failing the job (an unknown zone raises
+    inside ``to_utc_timestamp``)."""
     zone = _c(zone)
-    zones = known_zones() if zones is None else tuple(zones)
     ts = F.try_to_timestamp(_c(local_text))
-    if not zones:
-        return F.to_utc_timestamp(ts, zone)
-    safe_zone = F.when(F.array_contains(_zone_array(zones), zone), zone)
-    return F.when(safe_zone.isNotNull(), F.to_utc_timestamp(ts, F.coalesce(safe_zone, F.lit("UTC"))))
+    valid = zone.isin(*known_zones()) | zone.rlike(OFFSET_ZONE)  # a hash lookup per row
+    return F.when(valid, F.to_utc_timestamp(ts, F.when(valid, zone).otherwise("UTC")))
 
 
 def round_half_up(c: Column | str, digits: int = 2) -> Column:
@@ -93,7 +88,7 @@ def segment_label(rank: Column | str, high: float = 0.90, medium: float = 0.50,
 
 def week_start_text(date_col: Column | str) -> Column:
     """Monday on or before the date, as yyyy-MM-dd (a Monday maps to itself)."""
-    return F.date_format(F.date_sub(F.next_day(_c(date_col), "Mon"), 7), "yyyy-MM-dd")
+    return F.date_format(F.date_trunc("week", _c(date_col)), "yyyy-MM-dd")
 
 
 def month_start_text(date_col: Column | str) -> Column:

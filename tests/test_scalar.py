@@ -23,6 +23,19 @@ def test_local_to_utc(spark, ansi):
     assert got[5] == dt.datetime(2019, 1, 10, 12, 0)
 
 
+ZONES = {"-03:00": 3, "GMT-3": 3, "UTC-03:00": 3, "Z": 0, "+5": -5, "+05": -5, "+0530": -5.5, "UT+1": -1,
+         "+18:00": -18, "-18": 18, "GMT+05:30": -5.5, "Etc/GMT+3": 3, "UTC": 0, "EST": 5, "-7:5": 7 + 5 / 60}
+
+
+def test_offset_zones_convert_and_unknown_ones_do_not_fail(spark):
+    bad = ["ROC", "Factory", "localtime", "+19", "+18:01", "+03:60", "utc", "", "+ 3", "Z\n", None]
+    df = spark.createDataFrame([(z, "2024-03-10T00:00:00") for z in [*ZONES, *bad]], "z string, t string")
+    got = {r.z: r.u for r in df.select("z", local_to_utc("t", "z").alias("u")).collect()}
+    for zone, hours in ZONES.items():
+        assert got[zone] == dt.datetime(2024, 3, 10) + dt.timedelta(hours=hours), zone
+    assert all(got[z] is None for z in bad)
+
+
 @pytest.mark.parametrize("ansi", ["true", "false"])
 def test_step_bucket(spark, ansi):
     spark.conf.set("spark.sql.ansi.enabled", ansi)
