@@ -1,10 +1,11 @@
 """Text normalisers and id padding (column expressions).
 
-Spark has no NFKD or HTML-unescape builtin, so each normaliser has two paths:
-rows that are printable ASCII without ``&`` are folded with native JVM
-expressions (codegen, no Python); every other row goes through one Arrow
-``pandas_udf``. The UDF is fed NULL for fast-path rows, so only the rows that
-need Unicode handling cross into Python, in Arrow batches.
+Spark has no NFKD or HTML-unescape builtin, so each normaliser has two paths. Rows
+of ASCII text and Latin letters - accented names and cities are the normal case -
+are folded with native JVM expressions: a character table for ``translate``, built
+by rule from the Unicode data, and plain replacements of the common entities. Every
+other row (other scripts, rare entities) goes through one Arrow ``pandas_udf``,
+which is fed NULL for native rows.
 """
 
 from __future__ import annotations
@@ -22,9 +23,41 @@ _SPACE_RUN = re.compile(r"\s+")
 _EDGE_NON_WORD = re.compile(r"^\W+|\W+$")
 _NOT_UPPER_ALNUM_SPACE = re.compile(r"[^A-Z0-9 ]+")
 
-# Printable ASCII without '&' never changes under unescape/NFKD. ``\z`` is the
-# absolute end: Java's ``$`` would also match before a final line break.
-_PLAIN_ASCII = r"^[\x20-\x7E]*\z"
+# Entities decoded natively: written in full, so that what follows cannot change
+# their meaning. The ampersand goes last (an entity is decoded once).
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
+             ("&nbsp;", " "), ("&amp;", "&"))
+_LETTERS = range(0xC0, 0x250)  # Latin-1 and Latin Extended letters
+_BLANKS = "\t\n\x0b\x0c\r "
+
+
+def _fold_char(ch: str) -> str:
+    return unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode("ascii").upper()
+
+
+def _fold_char_strict(ch: str) -> str:
+    marks_off = "".join(c for c in unicodedata.normalize("NFKD", ch.upper()) if not unicodedata.combining(c))
+    return re.sub("[^A-Z0-9 ]+", "", marks_off)
+
+
+def _table(fold) -> tuple[str, str, str]:
+    """Arguments of ``translate`` - the letters that become one character, then those
+    that vanish, and the characters they become - and all these letters as a class.
+    Letters that become several characters are left to the general path."""
+    letters = [chr(c) for c in _LETTERS if chr(c).isalpha()]
+    one = [c for c in letters if len(fold(c)) == 1]
+    none = [c for c in letters if not fold(c)]
+    return "".join(one + none), "".join(map(fold, one)), "".join(one + none)
+
+
+_FOLD_FROM, _FOLD_TO, _FOLD_CLASS = _table(_fold_char)
+_STRICT_FROM, _STRICT_TO, _STRICT_CLASS = _table(_fold_char_strict)
+
+
+def _native_rows(letters: str) -> str:
+    """Pattern of texts that the native path folds. ``\\z`` is the absolute end:
+    Java's ``$`` would also match before a final line break."""
+    return "^[" + _BLANKS.replace(" ", "") + "\\x20-\\x7E" + letters + "]*\\z"
 
 
 def fold_text(text: str | None) -> str | None:
@@ -67,28 +100,47 @@ def _fold_strict_udf(values: pd.Series) -> pd.Series:
     return values.map(fold_text_strict, na_action="ignore")
 
 
+def _decode(c: Column) -> Column:
+    for entity, char in _ENTITIES:
+        c = F.replace(c, F.lit(entity), F.lit(char))
+    return c
+
+
+def _squeeze(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, f"[{_BLANKS}]+", " "))
+
+
 def _native_fold(c: Column) -> Column:
-    return F.when(c == "", F.lit(None)).otherwise(
-        F.regexp_replace(F.trim(F.upper(c)), " {2,}", " "))
+    plain = F.translate(_decode(c), _FOLD_FROM, _FOLD_TO)
+    return F.when(c == "", F.lit(None)).otherwise(_squeeze(F.upper(plain)))
 
 
 def _native_fold_strict(c: Column) -> Column:
-    squeezed = F.regexp_replace(F.trim(c), " {2,}", " ")
-    trimmed = F.regexp_replace(squeezed, "^[^A-Za-z0-9_]+|[^A-Za-z0-9_]+$", "")
-    kept = F.regexp_replace(F.upper(trimmed), "[^A-Z0-9 ]+", "")
-    return F.trim(F.regexp_replace(kept, " {2,}", " "))
+    word = "A-Za-z0-9_" + _STRICT_CLASS
+    trimmed = F.regexp_replace(_squeeze(_decode(c)), f"^[^{word}]+|[^{word}]+$", "")
+    plain = F.upper(F.translate(trimmed, _STRICT_FROM, _STRICT_TO))
+    return _squeeze(F.regexp_replace(plain, "[^A-Z0-9 ]+", ""))
+
+
+def is_native(c: Column, strict: bool = False) -> Column:
+    """Whether a text takes the native path: ASCII and Latin letters, and no ``&``
+    but those of the common entities."""
+    rest = c
+    for entity, _ in _ENTITIES:
+        rest = F.replace(rest, F.lit(entity), F.lit(""))
+    return c.rlike(_native_rows(_STRICT_CLASS if strict else _FOLD_CLASS)) & ~rest.contains("&")
 
 
 def clean_text(c: Column | str, strict: bool = False) -> Column:
     """Normalise names/cities. ``strict=False`` is the form used by the cleaning
     steps; ``strict=True`` keeps only ``[A-Z0-9 ]``."""
     c = F.col(c) if isinstance(c, str) else c
-    plain = c.rlike(_PLAIN_ASCII) & ~c.contains("&")
+    native = is_native(c, strict)
     if strict:
-        native, udf = _native_fold_strict(c), _fold_strict_udf
+        folded, udf = _native_fold_strict(c), _fold_strict_udf
     else:
-        native, udf = _native_fold(c), _fold_udf
-    return F.when(plain, native).otherwise(udf(F.when(~plain, c)))
+        folded, udf = _native_fold(c), _fold_udf
+    return F.when(native, folded).otherwise(udf(F.when(~native, c)))
 
 
 def zero_pad(c: Column | str, width: int = 7) -> Column:

@@ -1,6 +1,8 @@
 import pytest
 
-from splitlift.functions.text import clean_text, fold_text, fold_text_strict, zero_pad
+from pyspark.sql import functions as F
+
+from splitlift.functions.text import clean_text, fold_text, fold_text_strict, is_native, zero_pad
 from splitlift.sources.fixtures import table
 
 from conftest import SF_SMALL
@@ -48,12 +50,24 @@ def test_documents_equal_python(spark, strict):
         assert r.c == py(r.text), r.doc_id
 
 
-def test_fast_path_stays_in_jvm(spark):
-    df = spark.createDataFrame([("abc",)], "v string").select(clean_text("v"))
-    plan = df._jdf.queryExecution().executedPlan().toString()
+@pytest.mark.parametrize("strict", [False, True])
+def test_accented_names_stay_in_the_jvm(spark, strict):
+    names = ["São Paulo", "José &amp; Müller", "Ça-Và\tD'Été", "ÑANDÚ", "Łódź", "plain"]
+    df = spark.createDataFrame([(n,) for n in names], "v string")
+    got = df.select("v", is_native(F.col("v"), strict).alias("n"), clean_text("v", strict).alias("c")).collect()
+    py = fold_text_strict if strict else fold_text
+    assert all(r.n for r in got) and all(r.c == py(r.v) for r in got)
+    plan = df.select(clean_text("v"))._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan
 
 
+@pytest.mark.parametrize("strict", [False, True])
+def test_every_character_equals_python(spark, strict):
+    py = fold_text_strict if strict else fold_text
+    values = [f"x{chr(c)}y{chr(c)}" for c in range(1, 0x600)]
+    assert _spark_values(spark, values, strict) == [py(v) for v in values]
+
+
 def test_zero_pad(spark):
     vals = ["12", "-12", "+", "123456789", "", None, "1234567", "abc"]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v string")
