@@ -43,20 +43,15 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
         step = d * c
         frac *= step
         if abs(step - 1.0) < _EPS:
-            break
-    return frac
+            return frac
+    raise ArithmeticError(f"the continued fraction does not converge for a={a}, b={b}, x={x}")
 
 
-def regularized_beta(a: float, b: float, x: float) -> float:
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    log_front = (math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-                 + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(log_front) * _beta_fraction(a, b, x) / a
-    return 1.0 - math.exp(log_front) * _beta_fraction(b, a, 1.0 - x) / b
+def _log_gamma_step(a: float) -> float:
+    """lgamma(a + 1/2) - lgamma(a), by a series where the difference would cancel."""
+    if a < 100.0:
+        return math.lgamma(a + 0.5) - math.lgamma(a)
+    return 0.5 * math.log(a) - 1 / (8 * a) + 1 / (192 * a**3) - 1 / (640 * a**5)
 
 
 def t_two_sided_p(t: float | None, nu: float | None) -> float | None:
@@ -65,7 +60,15 @@ def t_two_sided_p(t: float | None, nu: float | None) -> float | None:
         return None
     if math.isinf(t):
         return 0.0
-    return regularized_beta(nu / 2.0, 0.5, nu / (nu + t * t))
+    if t == 0.0:
+        return 1.0
+    # I_x(nu/2, 1/2) with x = 1/(1+r), 1-x = r/(1+r); neither is formed by subtraction.
+    a, r = nu / 2.0, t * t / nu
+    x, y = 1 / (1 + r), r / (1 + r)
+    front = math.exp(_log_gamma_step(a) - math.lgamma(0.5) - a * math.log1p(r) + 0.5 * math.log(y))
+    if x < (a + 1.0) / (a + 2.5):
+        return front * _beta_fraction(a, 0.5, x) / a
+    return 1.0 - front * _beta_fraction(0.5, a, y) / 0.5
 
 
 @F.pandas_udf(T.DoubleType())

@@ -49,25 +49,31 @@ def welch_moments(users: DataFrame, segment: str = "customer_segment",
 
 def _welch(mc: Column, vc: Column, nc: Column, mt: Column, vt: Column, nt: Column
            ) -> tuple[Column, Column]:
-    """t = (mean_c - mean_t) / sqrt(v_c/n_c + v_t/n_t); Welch df. NULL when an
-    arm has fewer than two users or both variances are zero."""
+    """t = (mean_c - mean_t) / sqrt(v_c/n_c + v_t/n_t); Welch df. NULL when an arm
+    has fewer than two users. With both variances zero, t is infinite (p = 0) if
+    the means differ and undefined (NULL) if they are equal."""
     qc, qt = vc / nc, vt / nt
     se2 = qc + qt
-    ok = (nc >= 2) & (nt >= 2) & (se2 > 0)
-    t = F.when(ok, (mc - mt) / F.sqrt(se2))
-    nu = F.when(ok, se2 * se2 / (qc * qc / (nc - 1) + qt * qt / (nt - 1)))
+    enough = (nc >= 2) & (nt >= 2)
+    ok = enough & (se2 > 0)
+    t = (F.when(ok, (mc - mt) / F.sqrt(se2))
+         .when(enough & (mc > mt), float("inf")).when(enough & (mc < mt), float("-inf")))
+    nu = F.when(ok, se2 * se2 / (qc * qc / (nc - 1) + qt * qt / (nt - 1))).when(enough, 1.0)
     return t, nu
 
 
 def welch_test(moments: DataFrame, segment: str = "customer_segment", group: str = "abtest_group",
-               arms: Sequence[str] = ("control", "target")) -> DataFrame:
+               arms: Sequence[str] = ("control", "target"),
+               segments: Sequence[str] = SEGMENTS) -> DataFrame:
     """segment -> t statistic and two-sided p for orders and order value
-    (control minus target)."""
+    (control minus target). Every segment has a row, NULL where it has no users."""
     control, target = arms
     stats = [f"{s}_{tag}" for _, tag in TESTED for s in ("n", "mean", "var")]
     side_by_side = moments.groupBy(segment).agg(*[
         F.max(F.when(F.col(group) == arm, F.col(s))).alias(f"{arm}__{s}")
         for arm in (control, target) for s in stats])
+    every = moments.sparkSession.createDataFrame([(s,) for s in segments], f"`{segment}` string")
+    side_by_side = every.join(side_by_side, segment, "left")
     cols: dict[str, Column] = {}
     for _, tag in TESTED:
         def arm_col(arm: str, stat: str) -> Column:

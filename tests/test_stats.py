@@ -59,12 +59,41 @@ def test_welch_matches_python(spark):
     assert sig["Medium"].orders_significant == "No"
 
 
-def test_zero_variance_gives_null(spark):
-    rows = [(f"u{i}", "control" if i % 2 else "target", "High", str(i), 10.0) for i in range(10)]
-    base = spark.createDataFrame(rows, "customer_id string, abtest_group string, customer_segment string, "
-                                       "order_id string, order_total_amount double")
-    r = stats.welch_test(stats.welch_moments(stats.user_metrics(base))).first()
-    assert r.t_stat_orders is None and r.p_value_aov is None
+COLUMNS = ("customer_id string, abtest_group string, customer_segment string, order_id string, "
+           "order_total_amount double")
+
+
+def _tested(spark, rows):
+    base = spark.createDataFrame(rows, COLUMNS)
+    return {r.segment: r for r in stats.welch_test(stats.welch_moments(stats.user_metrics(base))).collect()}
+
+
+def test_zero_variances(spark):
+    same = [(f"u{i}", "control" if i % 2 else "target", "High", str(i), 10.0) for i in range(10)]
+    apart = [(f"v{i}", "control" if i % 2 else "target", "Low", f"l{i}", 10.0 if i % 2 else 12.0) for i in range(10)]
+    got = _tested(spark, same + apart)
+    assert got["High"].t_stat_aov is None and got["High"].p_value_aov is None      # equal means
+    assert got["Low"].t_stat_aov == float("-inf") and got["Low"].p_value_aov == 0.0
+    assert got["Low"].t_stat_orders is None
+
+
+def test_every_segment_has_a_row(spark):
+    got = _tested(spark, [("u", "control", "High", "1", 1.0)])
+    assert set(got) == {"High", "Medium", "Low"}
+    assert got["Low"].t_stat_orders is None and got["Low"].p_value_aov is None
+
+
+def test_p_values_at_many_degrees_of_freedom():
+    for nu in (1e6, 1e8, 1e10):
+        for t in (0.01, 0.5, 2.0, 5.0):
+            assert abs(t_two_sided_p(t, nu) - math.erfc(t / math.sqrt(2))) < 1e-6
+
+
+def test_a_fraction_that_does_not_converge_raises(monkeypatch):
+    from splitlift.functions import tdist
+    monkeypatch.setattr(tdist, "_MAX_TERMS", 2)
+    with pytest.raises(ArithmeticError):
+        t_two_sided_p(2.0, 7.0)
 
 
 def test_no_driver_collect_in_plan(spark):
