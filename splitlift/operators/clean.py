@@ -28,23 +28,28 @@ def dedup_latest(df: DataFrame, keys: Sequence[str], latest: str | Column,
     counts as oldest); ties are broken by the remaining orderable columns, in
     column order, greatest first. Fully identical rows collapse to one.
 
-    Planned as a grouped ``max_by`` instead of ``row_number`` over a window:
-    the aggregate combines map-side, so a key with millions of copies is
-    reduced inside every input task before the shuffle instead of landing as
-    one giant sort in a single task.
+    Planned as a grouped ``max`` of one struct (latest value first, then the
+    payload), unpacked again: each column travels once, and the aggregate
+    combines map-side, so a key with millions of copies is reduced inside every
+    input task instead of being sorted in a single one. Only columns that cannot
+    be compared (maps) are carried next to the struct that ranks them.
     """
     keys = list(keys)
-    latest_col = F.col(latest) if isinstance(latest, str) else latest
-    payload_cols = [c for c in df.columns if c not in keys]
-    types = dict((f.name, f.dataType) for f in df.schema.fields)
-    rank_parts = [latest_col.alias(latest_name)] + [
-        F.col(c) for c in payload_cols
-        if _orderable(types[c]) and not (isinstance(latest, str) and c == latest)]
-    best = (df.groupBy(*keys)
-              .agg(F.max_by(F.struct(*[F.col(c) for c in payload_cols]),
-                            F.struct(*rank_parts)).alias("__best")))
-    return best.select(*[F.col(k) for k in keys],
-                       *[F.col(f"__best.{c}").alias(c) for c in payload_cols]).select(*df.columns)
+    payload = [c for c in df.columns if c not in keys]
+    types = {f.name: f.dataType for f in df.schema.fields}
+    named = isinstance(latest, str)
+    first = F.col(latest) if named else latest.alias(latest_name)
+    rank = F.struct(first, *[F.col(c) for c in payload
+                             if _orderable(types[c]) and not (named and c == latest)])
+    others = [c for c in payload if not _orderable(types[c])]
+    if others:
+        best = F.max_by(F.struct(rank.alias("rank"), *[F.col(c) for c in others]), rank)
+        at = {c: f"__best.{c}" if c in others else f"__best.rank.{c}" for c in payload}
+    else:
+        best = F.max(rank)
+        at = {c: f"__best.{c}" for c in payload}
+    rows = df.groupBy(*keys).agg(best.alias("__best"))
+    return rows.select(*[F.col(k) for k in keys], *[F.col(at[c]).alias(c) for c in payload]).select(*df.columns)
 
 
 def clean_orders(raw: DataFrame, name_width: int = 7) -> DataFrame:

@@ -37,3 +37,10 @@ def test_equals_row_number_on_lineitem(spark):
     got = dedup_latest(li, keys, "l_shipdate")
     assert got.count() == ref.count()
     assert got.exceptAll(ref).count() == 0
+
+
+def test_columns_that_cannot_be_compared_come_along(spark):
+    df = spark.createDataFrame([("a", 1, {"k": "old"}), ("a", 2, {"k": "new"})], "id string, ts int, m map<string,string>")
+    assert [(r.id, r.ts, r.m) for r in dedup_latest(df, ["id"], "ts").collect()] == [("a", 2, {"k": "new"})]
+    by_column = dedup_latest(df.drop("m"), ["id"], -F.col("ts"))
+    assert [(r.id, r.ts) for r in by_column.collect()] == [("a", 1)]
