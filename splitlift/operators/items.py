@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..schemas import ORDER_ITEM
 
-METRIC_COLUMNS = ("item_total_value_sum", "item_total_value_avg", "total_discount")
-
 
 def explode_items(df: DataFrame, order: str = "order_id", items: str = "items") -> DataFrame:
     """One row per item; NULL or empty arrays keep one row with a NULL item."""
@@ -32,8 +30,8 @@ def _finish(value: Column, discount: Column, n_items: Column) -> list[Column]:
     ]
 
 
-def item_metric_columns(items: str | Column = "items") -> list[Column]:
-    """The rollup as in-row expressions: no explode, no shuffle.
+def with_item_metrics(df: DataFrame, items: str = "items") -> DataFrame:
+    """Adds the three item metrics to every order row, in-row: no explode, no shuffle.
 
     With x = items (or [NULL] when NULL/empty) and u = distinct(x):
     value = sum of item values over u + sum of sub-item values over all of x,
@@ -41,12 +39,18 @@ def item_metric_columns(items: str | Column = "items") -> list[Column]:
     average = value / size(u); amounts are cents, results in currency units.
     Identical items of one order therefore count once, while their sub-items
     count once per copy, exactly as grouping by (order, item) does.
-    """
-    arr = F.col(items) if isinstance(items, str) else items
-    x = F.when(arr.isNotNull() & (F.size(arr) > 0), arr).otherwise(
+
+    u is taken from the sorted array (elements that differ from the one before),
+    so a basket of n items costs n log n. Valid per row, i.e. when ``order_id``
+    is unique (the fact's gate)."""
+    arr = F.col(items)
+    filled = F.when(arr.isNotNull() & (F.size(arr) > 0), arr).otherwise(
         F.array(F.lit(None).cast(ORDER_ITEM)))
-    u = F.array_distinct(x)
-    zero = F.lit(0.0)
+    # Each step is a column of its own, so that it is computed once per row.
+    step = df.withColumn("__x", F.array_sort(filled))
+    step = step.withColumn("__u", F.filter("__x", lambda it, i: (i == 0) | ~it.eqNullSafe(
+        F.get(F.col("__x"), i - 1))))
+    x, u, zero = F.col("__x"), F.col("__u"), F.lit(0.0)
 
     def sub_sum(field: str) -> Column:
         return F.aggregate(x, zero, lambda acc, it: acc + F.coalesce(
@@ -57,19 +61,12 @@ def item_metric_columns(items: str | Column = "items") -> list[Column]:
 
     value = own_sum("totalValue") + sub_sum("totalValue")
     discount = own_sum("totalDiscount") + sub_sum("discount")
-    return _finish(value, discount, F.size(u))
-
-
-def with_item_metrics(df: DataFrame, items: str = "items") -> DataFrame:
-    """Adds the three item metrics to every order row (one projection).
-
-    Valid per row, i.e. when ``order_id`` is unique (the fact's gate)."""
-    return df.select("*", *item_metric_columns(items))
+    return step.select("*", *_finish(value, discount, F.size(u))).drop("__x", "__u")
 
 
 def order_item_metrics(df: DataFrame, order: str = "order_id", items: str = "items") -> DataFrame:
     """order_id + item metrics, computed in-row."""
-    return df.select(order, *item_metric_columns(items))
+    return with_item_metrics(df.select(order, items), items).drop(items)
 
 
 def order_item_metrics_grouped(df: DataFrame, order: str = "order_id",
