@@ -2,7 +2,8 @@
 
     python -m splitlift elt --orders P --consumers P --merchants P --abtest P \\
         --target PATH [--run-date YYYY-MM-DD] [--partitions N]
-    python -m splitlift analysis --fact PATH --out DIR [--k 3] [--parallel 4]
+    python -m splitlift analysis --fact PATH|TABLE [--format parquet|table|...] \\
+        --out DIR [--k 3] [--parallel 4]
 
 Both use the active cluster session when launched through spark-submit (its
 ``spark.checkpoint.dir`` is used for plan cuts), or a local one otherwise.
@@ -18,6 +19,7 @@ from pyspark.sql import SparkSession
 
 from .plans import pipeline
 from .session import apply_library_conf, checkpoint_dir
+from .sources import readers, sinks
 
 
 def _session() -> SparkSession:
@@ -38,6 +40,7 @@ def main(argv: list[str] | None = None) -> int:
     elt.add_argument("--format", default="parquet")
     ana = sub.add_parser("analysis", help="compute and write every report")
     ana.add_argument("--fact", required=True)
+    ana.add_argument("--format", default="parquet", help="'table', or a file format such as parquet or delta")
     ana.add_argument("--out", required=True)
     ana.add_argument("--k", type=int, default=3)
     ana.add_argument("--parallel", type=int, default=4)
@@ -51,9 +54,10 @@ def main(argv: list[str] | None = None) -> int:
         report = pipeline.run_elt(raw, args.target, args.run_date, fmt=args.format)
         print(json.dumps(report, default=str))
     else:
-        out = pipeline.run_analysis(spark.read.parquet(args.fact), export_dir=f"{args.out}/csv",
-                                    k=args.k)
+        fact = readers.read_saved(spark, args.fact, args.format)
+        out = pipeline.run_analysis(fact, export_dir=f"{args.out}/csv", k=args.k)
         done = pipeline.write_reports(out, f"{args.out}/parquet", parallel=args.parallel)
+        sinks.remove_materialized(spark)
         print(json.dumps({"reports": done}))
     return 0
 

@@ -7,24 +7,16 @@ from pyspark.sql import functions as F
 
 from ..schemas import ORDER_FACT_COLUMNS
 
-# A dimension is broadcast only after a row count proves it small; above the
-# bound the join is left to the planner (sort-merge, or AQE's runtime switch).
-DEFAULT_BROADCAST_MAX_ROWS = 2_000_000
+# Orders without a customer match nobody; their rows are dealt over this many
+# values of the join key instead of meeting in one task.
+NULL_LANES = 1024
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int | None = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint behind an explicit size check (one count of the side)."""
-    if max_rows is None:
-        return df
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def join_merchants(orders: DataFrame, merchants: DataFrame,
-                   broadcast_max_rows: int | None = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
-    """orders LEFT JOIN merchants USING (merchant_id)."""
+def join_merchants(orders: DataFrame, merchants: DataFrame) -> DataFrame:
+    """orders LEFT JOIN merchants USING (merchant_id). Which side is broadcast, if
+    any, is left to the planner and AQE, which know the sides' bytes."""
     m = merchants.withColumnRenamed("created_at", "merchant_created_at")
-    return orders.join(broadcast_if_small(m, broadcast_max_rows), ["merchant_id"], "left")
+    return orders.join(m, ["merchant_id"], "left")
 
 
 def join_consumers(df: DataFrame, consumers: DataFrame) -> DataFrame:
@@ -42,16 +34,28 @@ def join_abtest(df: DataFrame, abtest: DataFrame) -> DataFrame:
     return df.join(ab, ["customer_id"], "left")
 
 
+def join_customers(df: DataFrame, consumers: DataFrame, abtest: DataFrame) -> DataFrame:
+    """Both customer joins as one join of the orders.
+
+    Consumers and assignment meet first, on the small side, so the orders are
+    joined once and AQE can split a hot customer's partition (with a second join
+    on the same key it could not). Orders with a NULL customer get a key of their
+    own that matches nothing."""
+    c = (consumers.withColumnRenamed("customer_name", "consumer_name")
+                  .withColumnRenamed("created_at", "consumer_created_at"))
+    ab = abtest.select("customer_id", F.col("is_target").alias("abtest_group"))
+    customers = (c.join(ab, ["customer_id"], "full_outer").where("customer_id is not null")
+                  .withColumnRenamed("customer_id", "__customer"))
+    lane = F.concat(F.lit("\0"), F.pmod(F.xxhash64("order_id"), F.lit(NULL_LANES)).cast("string"))
+    return (df.withColumn("__key", F.coalesce("customer_id", lane))
+              .join(customers, F.col("__key") == F.col("__customer"), "left")
+              .drop("__key", "__customer"))
+
+
 def order_fact(orders: DataFrame, consumers: DataFrame, merchants: DataFrame,
-               abtest: DataFrame, broadcast_max_rows: int | None = DEFAULT_BROADCAST_MAX_ROWS
-               ) -> DataFrame:
-    """The 29-column order fact from the cleaned inputs.
-
-    The two customer joins share the key, so the order side is exchanged once
-    for both; skewed customer keys are split by AQE's skew-join handling.
-    """
-    joined = join_abtest(
-        join_consumers(join_merchants(orders, merchants, broadcast_max_rows), consumers), abtest)
+               abtest: DataFrame) -> DataFrame:
+    """The 29-column order fact from the cleaned inputs."""
+    joined = join_customers(join_merchants(orders, merchants), consumers, abtest)
     derived = {
         "customer_name": F.coalesce(F.col("customer_name"), F.col("consumer_name")),
         "delivery_address_city": F.coalesce(F.col("delivery_address_city"), F.col("merchant_city")),

@@ -7,8 +7,6 @@ longs, and the 2-decimal rounding of the totals is exact.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,14 +14,6 @@ from ..functions.scalar import ratio, to_cents
 
 GROUP = "abtest_group"
 
-# Per-period metrics, in output order (after grouping, group and period).
-PERIOD_METRICS = (
-    "unique_consumers", "total_revenue", "total_orders", "avg_aov",
-    "total_discount", "avg_discount", "total_item_value", "avg_item_value_sum",
-    "avg_item_value_avg", "avg_orders_per_consumer", "avg_revenue_per_consumer",
-)
-
-
 def _money_total(cents: Column, digits: int | None = 2) -> Column:
     v = cents / F.lit(100)
     return v if digits is None else F.round(v, digits)
@@ -103,7 +93,7 @@ def restrict_to(df: DataFrame, keys: DataFrame, key: str = "city_state") -> Data
 
 def period_metrics(df: DataFrame, period: str, grouping: str, group: str = GROUP,
                    orders_unique: bool = False) -> DataFrame:
-    """(grouping, group, period) -> the 11 metrics of ``PERIOD_METRICS``.
+    """(grouping, group, period) -> eleven metrics.
 
     Rows with a NULL group stay in; reports filter them out.
     """
@@ -144,7 +134,3 @@ def period_metrics(df: DataFrame, period: str, grouping: str, group: str = GROUP
 def in_test(df: DataFrame, group: str = GROUP) -> DataFrame:
     """Rows that belong to an arm of the test."""
     return df.filter(F.col(group).isNotNull())
-
-
-def sort_report(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.orderBy(*keys)

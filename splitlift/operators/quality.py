@@ -45,6 +45,15 @@ def require(report: DataFrame) -> dict:
     return row
 
 
+def require_unique(df: DataFrame, key: str, name: str) -> None:
+    """Raise unless no two rows of a dimension share ``key`` (NULL keys never join
+    and are left out): a duplicate would multiply the rows of the fact."""
+    twice = (df.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1")
+             .agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("example")).first())
+    if twice.n:
+        raise DataQualityError(f"{name}: {twice.n} values of {key} occur more than once, e.g. {twice.example!r}")
+
+
 def _dtype_group(dtype: str) -> str:
     if dtype in ("string", "boolean"):
         return "text"

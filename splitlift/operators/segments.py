@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.scalar import segment_label
 
 
-def orders_per_customer(df: DataFrame, customer: str = "customer_id",
-                        order: str = "order_id") -> DataFrame:
-    """customer -> number of distinct orders (the NULL customer is a group too)."""
-    return df.groupBy(customer).agg(F.count_distinct(order).alias("orders_total"))
+def orders_per_customer(df: DataFrame, customer: str = "customer_id", order: str = "order_id",
+                        orders_unique: bool = False) -> DataFrame:
+    """customer -> number of distinct orders (the NULL customer is a group too). With
+    a key proven unique, a plain count combines map-side to a row per customer."""
+    n = F.count(order) if orders_unique else F.count_distinct(order)
+    return df.groupBy(customer).agg(n.alias("orders_total"))
 
 
 def customer_percent_rank(counts: DataFrame, value: str = "orders_total") -> DataFrame:
@@ -40,9 +42,16 @@ def customer_percent_rank(counts: DataFrame, value: str = "orders_total") -> Dat
 
 
 def customer_segments(df: DataFrame, high: float = 0.90, medium: float = 0.50,
-                      customer: str = "customer_id", order: str = "order_id") -> DataFrame:
+                      customer: str = "customer_id", order: str = "order_id",
+                      orders_unique: bool = False) -> DataFrame:
     """customer_id, orders_total, pct_rank, customer_segment (High/Medium/Low)."""
-    ranked = customer_percent_rank(orders_per_customer(df, customer, order))
+    return rank_segments(orders_per_customer(df, customer, order, orders_unique), high, medium)
+
+
+def rank_segments(counts: DataFrame, high: float = 0.90, medium: float = 0.50) -> DataFrame:
+    """Segments from a table of order counts (read twice: cut it first if it is
+    costly)."""
+    ranked = customer_percent_rank(counts)
     return ranked.withColumn("customer_segment", segment_label("pct_rank", high, medium))
 
 

@@ -26,6 +26,18 @@ def _n_items(col: str = "items") -> F.Column:
     return F.when(F.col(col).isNotNull(), F.size(col)).alias("n_items")
 
 
+def _items_text(col: str = "items") -> F.Column:
+    """All fields of all items as one text, items in sorted order."""
+    def sub_item(g):
+        return F.concat_ws("/", g["totalValue"]["value"], g["discount"]["value"])
+
+    def item(it):
+        return F.concat_ws(":", it["sequence"].cast("string"), it["externalId"],
+                           it["quantity"].cast("long").cast("string"), it["totalValue"]["value"],
+                           it["totalDiscount"]["value"], F.array_join(F.transform(it["garnishItems"], sub_item), "+"))
+    return F.array_join(F.array_sort(F.transform(col, item)), ",").alias("items_text")
+
+
 # ---- inputs -----------------------------------------------------------------
 # The inputs below are lazy plans (no data is cached). Several queries share
 # them, so each is built once per application, tables dir and ANSI mode (casts
@@ -71,17 +83,17 @@ def _in_test_metrics(spark, sf, period, grouping):
 # ---- text and scalar functions ------------------------------------------------
 
 def q_clean_text(spark, sf):
-    docs = fx.table(spark, sf, "documents", spread_rows=True)
+    docs = fx.table(spark, sf, "documents")
     return docs.select("doc_id", clean_text("text").alias("text_clean"))
 
 
 def q_clean_text_strict(spark, sf):
-    docs = fx.table(spark, sf, "documents", spread_rows=True)
+    docs = fx.table(spark, sf, "documents")
     return docs.select("doc_id", clean_text("text", strict=True).alias("text_clean"))
 
 
 def q_clean_text_pages(spark, sf):
-    pages = fx.table(spark, sf, "pages", spread_rows=True)
+    pages = fx.table(spark, sf, "pages")
     return pages.select("page_id", clean_text("html").alias("text_clean"))
 
 
@@ -125,11 +137,11 @@ def q_clean_consumers(spark, sf):
 
 def q_clean_orders(spark, sf):
     o = _orders(spark, sf)
-    return o.select(*[c for c in o.columns if c != "items"], _n_items())
+    return o.select(*[c for c in o.columns if c != "items"], _n_items(), _items_text())
 
 
 def q_dedup_latest(spark, sf):
-    li = fx.table(spark, sf, "lineitem", spread_rows=True)
+    li = fx.table(spark, sf, "lineitem")
     return clean.dedup_latest(li, ["l_orderkey", "l_linenumber"], "l_shipdate")
 
 
@@ -157,7 +169,7 @@ def q_join_abtest(spark, sf):
 
 def q_order_fact(spark, sf):
     f = _fact(spark, sf)
-    return f.select(*[c for c in f.columns if c != "items"], _n_items())
+    return f.select(*[c for c in f.columns if c != "items"], _n_items(), _items_text())
 
 
 # ---- data quality -------------------------------------------------------------------

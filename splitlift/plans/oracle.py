@@ -60,61 +60,100 @@ def PAD(x: str, width: int = 7) -> str:
             f"ELSE lpad({x}, {width}, '0') END")
 
 
-ZONE = ("CASE o.o_orderkey % 3 WHEN 0 THEN 'America/Sao_Paulo' "
-        "WHEN 1 THEN 'America/Manaus' ELSE 'UTC' END")
+ZONE = ("CASE o.o_orderkey % 8 WHEN 0 THEN 'America/Sao_Paulo' WHEN 1 THEN 'America/Manaus' "
+        "WHEN 2 THEN 'UTC' WHEN 3 THEN '-03:00' WHEN 4 THEN 'GMT+5' WHEN 5 THEN 'Europe/Berlin' "
+        "WHEN 6 THEN 'Mars/Base' END")
+
+
+def UTC_OF(local: str) -> str:
+    def region(zone: str) -> str:
+        return f"timezone('UTC', timezone('{zone}', {local}))"
+    return (f"CASE o.o_orderkey % 8 WHEN 0 THEN {region('America/Sao_Paulo')} WHEN 1 THEN {region('America/Manaus')} "
+            f"WHEN 2 THEN {local} WHEN 3 THEN {local} + INTERVAL 3 HOUR WHEN 4 THEN {local} - INTERVAL 5 HOUR "
+            f"WHEN 5 THEN {region('Europe/Berlin')} END")
+
+
+# Raw order rows: the order, an older version of some, an exact copy of some.
+RAW_ORDERS = """
+ro AS (
+  SELECT orders.*, v, CASE WHEN v = 1 THEN o_orderdate - INTERVAL 1 DAY ELSE o_orderdate END AS created
+  FROM orders, (VALUES (0), (1), (2)) AS t(v)
+  WHERE v = 0 OR (v = 1 AND o_orderkey % 13 = 0 AND o_orderkey % 8 < 6) OR (v = 2 AND o_orderkey % 17 = 0))"""
 
 TENTHS = "CAST(floor(abs(s_acctbal) / 10) AS BIGINT)"
 
 # ---- shared CTEs -----------------------------------------------------------------
 
 LINES = """
-li AS (
+l0 AS (
   SELECT l_orderkey, l_suppkey, l_partkey, l_linenumber, l_quantity, l_tax,
          CAST(ROUND(CAST(l_extendedprice AS DECIMAL(18,2)) * 100, 0) AS BIGINT) AS value_c,
          CAST(ROUND(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(18,2)) * 100, 0) AS BIGINT) AS discount_c,
          CAST(ROUND(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(18,2)) * 100, 0) AS BIGINT) AS tax_c
-  FROM lineitem),
+  FROM lineitem, (VALUES (0), (1)) AS t(copy)
+  WHERE copy = 0 OR (l_linenumber = 1 AND l_orderkey % 6 = 0)),
+li AS (
+  SELECT *, CASE WHEN l_tax > 0 AND l_quantity > 25 THEN 2 WHEN l_tax > 0 THEN 1 ELSE 0 END AS n_sub,
+         CASE WHEN l_tax > 0 THEN tax_c + CASE WHEN l_quantity > 25 THEN 50 ELSE 0 END ELSE 0 END AS sub_value_c,
+         CASE WHEN l_tax > 0 THEN tax_c // 10 + CASE WHEN l_quantity > 25 THEN 5 ELSE 0 END ELSE 0 END AS sub_discount_c
+  FROM l0),
+line_text AS (
+  SELECT l_orderkey, CAST(l_linenumber AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR) || ':'
+         || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ':' || CAST(value_c AS VARCHAR) || ':'
+         || CAST(discount_c AS VARCHAR) || ':'
+         || CASE WHEN n_sub > 0 THEN CAST(tax_c AS VARCHAR) || '/' || CAST(tax_c // 10 AS VARCHAR) ELSE '' END
+         || CASE WHEN n_sub > 1 THEN '+50/5' ELSE '' END AS item
+  FROM li),
 items_u AS (
   -- identical items of one order count once (grouping by the whole item)
-  SELECT DISTINCT l_orderkey, l_linenumber, l_quantity, l_partkey, value_c, discount_c,
-         CASE WHEN l_tax > 0 THEN tax_c END AS garnish_c
+  SELECT DISTINCT l_orderkey, l_linenumber, l_quantity, l_partkey, value_c, discount_c, n_sub, sub_value_c
   FROM li),
 basket_u AS (
   SELECT l_orderkey, count(*) AS n_distinct, sum(value_c) AS value_c, sum(discount_c) AS discount_c
   FROM items_u GROUP BY l_orderkey),
+basket_t AS (
+  SELECT l_orderkey, string_agg(item, ',' ORDER BY item) AS items_text FROM line_text GROUP BY l_orderkey),
 basket AS (
   SELECT li.l_orderkey, min(l_suppkey) AS first_supplier, count(*) AS n_items,
          any_value(u.n_distinct) AS n_distinct, any_value(u.value_c) AS value_c,
-         any_value(u.discount_c) AS discount_c,
-         sum(CASE WHEN l_tax > 0 THEN tax_c ELSE 0 END) AS garnish_c,
-         sum(CASE WHEN l_tax > 0 THEN 1 ELSE 0 END) AS n_garnish,
+         any_value(u.discount_c) AS discount_c, any_value(t.items_text) AS items_text,
+         sum(sub_value_c) AS garnish_c, sum(sub_discount_c) AS garnish_discount_c, sum(n_sub) AS n_garnish,
          sum(li.value_c) AS all_value_c,
          max(l_linenumber) AS max_sequence
-  FROM li JOIN basket_u u ON u.l_orderkey = li.l_orderkey
+  FROM li JOIN basket_u u ON u.l_orderkey = li.l_orderkey JOIN basket_t t ON t.l_orderkey = li.l_orderkey
   GROUP BY li.l_orderkey),
+parsed AS (
+  -- baskets whose JSON text can be parsed
+  SELECT * FROM basket WHERE l_orderkey % 23 <> 0),
 cust AS (
   SELECT c_custkey, c_name, n_name, r_name
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
+_NAME = "(CASE WHEN o.o_orderkey % 5 = 0 THEN 'José  ' || c.c_name || ' &amp; Cia' ELSE c.c_name END)"
+_CITY = "(CASE WHEN o.o_orderkey % 9 = 0 THEN 'São ' || c.n_name ELSE c.n_name END)"
+_CONSUMER = "(CASE WHEN c_custkey % 4 = 1 THEN c_name || ' Ção' ELSE c_name END)"
+_MERCHANT_CITY = "(CASE WHEN s_suppkey % 4 = 0 THEN n_name || ' d''Été' ELSE n_name END)"
+
 CLEAN_ORDERS = f"""
 co AS (
   SELECT o.o_orderkey,
-         CAST(o.o_custkey AS VARCHAR) AS customer_id,
-         CASE WHEN o.o_orderkey % 7 <> 0 THEN {FOLD_ASCII('c.c_name')} END AS customer_name,
-         CASE WHEN o.o_orderkey % 11 <> 0 THEN {FOLD_ASCII('c.n_name')} END AS delivery_address_city,
+         CASE WHEN o.o_orderkey % 19 <> 0 THEN CAST(o.o_custkey AS VARCHAR) END AS customer_id,
+         CASE WHEN o.o_orderkey % 7 <> 0 THEN {FOLD(_NAME)} END AS customer_name,
+         CASE WHEN o.o_orderkey % 11 <> 0 THEN {FOLD(_CITY)} END AS delivery_address_city,
          {PAD('CAST(o.o_custkey AS VARCHAR)')} AS delivery_address_external_id,
          c.r_name AS delivery_address_state,
          CAST(b.first_supplier AS VARCHAR) AS merchant_id,
-         timezone('UTC', timezone({ZONE}, o.o_orderdate)) AS order_created_at_utc,
+         {UTC_OF('o.o_orderdate')} AS order_created_at_utc,
          CAST(o.o_orderkey AS VARCHAR) AS order_id,
          {R('o.o_totalprice', 2)} AS order_total_amount,
          o.o_orderpriority AS origin_platform,
          CAST(NULL AS VARCHAR) AS order_scheduled_date,
          {ZONE} AS merchant_timezone,
-         CAST(b.n_items AS INTEGER) AS n_items, b.n_distinct,
-         b.value_c, b.discount_c, b.garnish_c, b.n_garnish, b.max_sequence
+         CAST(p.n_items AS INTEGER) AS n_items, p.items_text, p.n_distinct,
+         p.value_c, p.discount_c + p.garnish_discount_c AS discount_c, p.garnish_c, p.n_garnish, p.max_sequence
   FROM orders o
   LEFT JOIN basket b ON b.l_orderkey = o.o_orderkey
+  LEFT JOIN parsed p ON p.l_orderkey = o.o_orderkey
   LEFT JOIN cust c ON c.c_custkey = o.o_custkey)"""
 
 CLEAN_MERCHANTS = f"""
@@ -131,7 +170,7 @@ cm AS (
          CAST(s_suppkey % 60 AS VARCHAR) AS delivery_time,
          {R('s_acctbal', 2)} AS minimum_order_value,
          CAST(s_suppkey + 10000 AS VARCHAR) AS merchant_zip_code,
-         {FOLD_ASCII('n_name')} AS merchant_city,
+         {FOLD(_MERCHANT_CITY)} AS merchant_city,
          r_name AS merchant_state,
          'XX' AS merchant_country
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
@@ -142,7 +181,7 @@ cc AS (
          CASE c_custkey % 3 WHEN 0 THEN 'pt' WHEN 1 THEN 'en' ELSE 'es' END AS language,
          '2018-01-01' AS created_at,
          CASE WHEN c_acctbal >= 0 THEN 'true' ELSE 'false' END AS active,
-         {FOLD_ASCII('c_name')} AS customer_name,
+         {FOLD(_CONSUMER)} AS customer_name,
          CAST(c_nationkey AS VARCHAR) AS customer_phone_area,
          CAST(c_custkey AS VARCHAR) AS customer_phone_number
   FROM customer)"""
@@ -165,7 +204,7 @@ fact AS (
          cm.created_at AS merchant_created_at, cm.enabled, cm.price_range, cm.average_ticket,
          cm.takeout_time, cm.delivery_time, cm.minimum_order_value, cm.merchant_city,
          cm.merchant_state, cm.merchant_country, ab.is_target AS abtest_group,
-         co.n_items, co.n_distinct, co.value_c, co.discount_c, co.garnish_c
+         co.n_items, co.items_text, co.n_distinct, co.value_c, co.discount_c, co.garnish_c
   FROM co
   LEFT JOIN cm ON cm.merchant_id = co.merchant_id
   LEFT JOIN cc ON cc.customer_id = co.customer_id
@@ -374,7 +413,7 @@ _DEDUP_TIEBREAK = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l
 
 _CO_COLS = ("customer_id, customer_name, delivery_address_city, delivery_address_external_id, "
             "delivery_address_state, merchant_id, order_created_at_utc, order_id, order_total_amount, "
-            "origin_platform, order_scheduled_date, merchant_timezone, n_items")
+            "origin_platform, order_scheduled_date, merchant_timezone, n_items, items_text")
 
 
 def build() -> dict[str, str]:
@@ -384,15 +423,15 @@ def build() -> dict[str, str]:
     q["clean_text"] = f"SELECT doc_id, {FOLD('text')} AS text_clean FROM documents"
     q["clean_text_strict"] = f"SELECT doc_id, {FOLD_STRICT('text')} AS text_clean FROM documents"
     q["clean_text_pages"] = f"SELECT page_id, {FOLD('html')} AS text_clean FROM pages"
-    q["pad_external_id"] = (f"SELECT CAST(o_orderkey AS VARCHAR) AS order_id, "
-                            f"{PAD('CAST(o_custkey AS VARCHAR)')} AS delivery_address_external_id FROM orders")
-    q["order_utc"] = ("SELECT CAST(o.o_orderkey AS VARCHAR) AS order_id, " + ZONE + " AS merchant_timezone, "
-                      f"timezone('UTC', timezone({ZONE}, o.o_orderdate)) AS order_created_at_utc FROM orders o")
-    q["parse_items"] = (with_(LINES) +
+    q["pad_external_id"] = (with_(RAW_ORDERS) + f"SELECT CAST(o_orderkey AS VARCHAR) AS order_id, "
+                            f"{PAD('CAST(o_custkey AS VARCHAR)')} AS delivery_address_external_id FROM ro")
+    q["order_utc"] = (with_(RAW_ORDERS) + "SELECT CAST(o.o_orderkey AS VARCHAR) AS order_id, " + ZONE +
+                      f" AS merchant_timezone, {UTC_OF('o.created')} AS order_created_at_utc FROM ro o")
+    q["parse_items"] = (with_(LINES, RAW_ORDERS) +
                         "SELECT CAST(o.o_orderkey AS VARCHAR) AS order_id, CAST(b.n_items AS INTEGER) AS n_items, "
                         "CAST(b.n_garnish AS INTEGER) AS n_garnish, CAST(b.all_value_c AS BIGINT) AS value_cents, "
                         "CAST(b.max_sequence AS INTEGER) AS max_sequence "
-                        "FROM orders o LEFT JOIN basket b ON b.l_orderkey = o.o_orderkey")
+                        "FROM ro o LEFT JOIN parsed b ON b.l_orderkey = o.o_orderkey")
     q["ticket_bucket"] = (f"SELECT CAST(s_suppkey AS VARCHAR) AS merchant_id, "
                           f"CASE WHEN s_suppkey % 10 = 9 THEN NULL ELSE CAST({TENTHS} // 10 AS VARCHAR) || '.' "
                           f"|| CAST({TENTHS} % 10 AS VARCHAR) END AS average_ticket, "
@@ -445,13 +484,15 @@ def build() -> dict[str, str]:
                           "SELECT co.order_id, l.l_linenumber AS sequence, CAST(l.l_partkey AS VARCHAR) AS external_id, "
                           "l.l_quantity AS quantity, CAST(l.value_c AS VARCHAR) AS value, "
                           "CAST(l.discount_c AS VARCHAR) AS discount, "
-                          "CAST(CASE WHEN l.l_orderkey IS NULL THEN NULL WHEN l.l_tax > 0 THEN 1 ELSE 0 END AS INTEGER) AS n_garnish "
-                          "FROM co LEFT JOIN li l ON l.l_orderkey = co.o_orderkey")
-    q["explode_garnish"] = (lines_with +
+                          "CAST(l.n_sub AS INTEGER) AS n_garnish "
+                          "FROM co LEFT JOIN li l ON l.l_orderkey = co.o_orderkey AND co.o_orderkey % 23 <> 0")
+    subs = ("\nsub AS (SELECT li.*, g FROM li, (VALUES (0), (1), (2)) AS t(g) "
+            "WHERE (g = 0 AND n_sub = 0) OR (g > 0 AND g <= n_sub))")
+    q["explode_garnish"] = (with_(LINES, CLEAN_ORDERS, subs) +
                             "SELECT co.order_id, l.l_linenumber AS sequence, CAST(l.l_partkey AS VARCHAR) AS external_id, "
-                            "CASE WHEN l.l_tax > 0 THEN CAST(l.tax_c AS VARCHAR) END AS garnish_value, "
-                            "CASE WHEN l.l_tax > 0 THEN '0' END AS garnish_discount "
-                            "FROM co LEFT JOIN li l ON l.l_orderkey = co.o_orderkey")
+                            "CASE l.g WHEN 1 THEN CAST(l.tax_c AS VARCHAR) WHEN 2 THEN '50' END AS garnish_value, "
+                            "CASE l.g WHEN 1 THEN CAST(l.tax_c // 10 AS VARCHAR) WHEN 2 THEN '5' END AS garnish_discount "
+                            "FROM co LEFT JOIN sub l ON l.l_orderkey = co.o_orderkey AND co.o_orderkey % 23 <> 0")
     v = "coalesce(value_c + garnish_c, 0)"
     q["order_item_metrics"] = (lines_with +
                                f"SELECT order_id, {R(f'CAST({v} AS DOUBLE) / 100', 2)} AS item_total_value_sum, "

@@ -3,7 +3,8 @@ analysis that turns a saved fact into the A/B reports."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import uuid
+from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -27,6 +28,8 @@ REPORT_COLUMNS = (
 )
 GROUPINGS = {"city": "city_state", "segment": "customer_segment"}
 
+Save = Callable[[DataFrame, str], DataFrame]
+
 
 @dataclass
 class RawInputs:
@@ -47,85 +50,110 @@ def load_raw(spark: SparkSession, paths: Mapping[str, str], partitions: int | No
     )
 
 
-def build_fact(raw: RawInputs, broadcast_max_rows: int | None = fact.DEFAULT_BROADCAST_MAX_ROWS
-               ) -> DataFrame:
+def build_fact(raw: RawInputs) -> DataFrame:
     """Clean the three raw datasets and join them with the assignment."""
     return fact.order_fact(clean.clean_orders(raw.orders), clean.clean_consumers(raw.consumers),
-                           clean.clean_merchants(raw.merchants), raw.abtest,
-                           broadcast_max_rows=broadcast_max_rows)
+                           clean.clean_merchants(raw.merchants), raw.abtest)
+
+
+def check_dimensions(raw: RawInputs) -> None:
+    """Dimension keys must be unique, or the joins would multiply orders."""
+    quality.require_unique(raw.consumers, "customer_id", "consumers")
+    quality.require_unique(raw.merchants, "id", "merchants")
+    quality.require_unique(raw.abtest, "customer_id", "abtest")
 
 
 def run_elt(raw: RawInputs, target: str, run_date: str, fmt: str = "parquet") -> dict:
-    """Build the fact, cut the plan, validate, and replace ``target``.
+    """Check the dimensions, build the fact, stage it, validate, and replace ``target``.
 
-    ``fmt="table"``: the fact is written once, as a staging table next to the
-    target; the gate reads it, and only a passing table replaces the target
-    (drop + rename, metadata only — the rows are not written twice). Other
-    formats: the fact is written once to the shared checkpoint folder, the gate
-    and the final save read those files instead of replaying the joins."""
+    The fact is written once, beside the target (a table when ``fmt="table"``,
+    else files of that format); the gate reads what was staged, and only a passing
+    fact is swapped in. A failure at any point leaves the previous target, and the
+    staged copy is removed."""
+    check_dimensions(raw)
     fact_df = build_fact(raw)
-    if fmt == "table":
-        spark = fact_df.sparkSession
-        staging = f"{target}__staging_{run_date.replace('-', '')}"
-        fact_df.write.mode("overwrite").saveAsTable(staging)
-        report = quality.require(quality.dq_report(spark.read.table(staging), "order_id"))
-        spark.sql(f"DROP TABLE IF EXISTS {target}")
-        spark.sql(f"ALTER TABLE {staging} RENAME TO {target}")
-        return report
-    built = sinks.materialize(fact_df, "order_fact", run_date)
-    report = quality.require(quality.dq_report(built, "order_id"))
-    sinks.save_full(built, target, fmt)
+    spark = fact_df.sparkSession
+    tag = f"{run_date.replace('-', '')}_{uuid.uuid4().hex[:8]}"
+    staging = f"{target.rstrip('/')}__staging_{tag}"
+    try:
+        sinks.save_full(fact_df, staging, fmt)
+        report = quality.require(quality.dq_report(readers.read_saved(spark, staging, fmt), "order_id"))
+        (sinks.swap_table if fmt == "table" else sinks.swap_path)(spark, staging, target)
+    finally:
+        if fmt == "table":
+            spark.sql(f"DROP TABLE IF EXISTS {staging}")
+        else:
+            sinks.delete(spark, staging)
     return report
 
 
-def analysis_base(fact_df: DataFrame, high: float = 0.90, medium: float = 0.50) -> DataFrame:
-    """Fact + customer segment + item metrics + calendar columns."""
-    seg = segments.customer_segments(fact_df, high, medium)
-    base = segments.with_segment(fact_df.drop(*PERSONAL), seg)
+def analysis_base(fact_df: DataFrame, high: float = 0.90, medium: float = 0.50,
+                  orders_unique: bool = False, counts: DataFrame | None = None) -> DataFrame:
+    """Fact + customer segment + item metrics + calendar columns. ``counts``: orders
+    per customer, if they are at hand."""
+    if counts is None:
+        counts = segments.orders_per_customer(fact_df, orders_unique=orders_unique)
+    base = segments.with_segment(fact_df.drop(*PERSONAL), segments.rank_segments(counts, high, medium))
     return periods.add_periods(items.with_item_metrics(base))
 
 
 def period_report(base: DataFrame, period: str, grouping: str, top: DataFrame | None = None,
-                  orders_unique: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(metrics of the rows in the test, lift) for one period x grouping."""
+                  orders_unique: bool = False, save: Save | None = None) -> tuple[DataFrame, DataFrame]:
+    """(metrics of the rows in the test, lift) for one period x grouping. With
+    ``save``, the metrics are stored and the lift starts from what was stored."""
     rows = metrics.restrict_to(base, top, grouping) if top is not None else base
     m = metrics.in_test(metrics.period_metrics(rows, period, grouping, orders_unique=orders_unique))
+    m = save(m, f"{grouping}_{period}") if save else m
     return m, lift.lift(m, period, grouping)
 
 
-def reports(base: DataFrame, k: int = 3, orders_unique: bool = False) -> dict[str, DataFrame]:
-    """All named reports of the analysis, lazily (nothing runs here)."""
+def reports(base: DataFrame, k: int = 3, orders_unique: bool = False, save: Save | None = None
+            ) -> dict[str, DataFrame]:
+    """All named reports of the analysis, in presentation order.
+
+    Without ``save`` nothing runs here. With it, results that several reports are
+    derived from (top cities, period metrics, the test) are stored once."""
+    save = save or (lambda df, name: df)
     out: dict[str, DataFrame] = {
-        "ab_distribution": metrics.ab_distribution(base),
+        "ab_distribution": metrics.ab_distribution(base).orderBy(metrics.GROUP),
         "ab_overview": metrics.ab_overview(base, orders_unique),
-        "ab_group_metrics": metrics.ab_group_metrics(base),
-        "ab_retention": metrics.ab_retention(base),
-        "ab_orders_per_customer": metrics.ab_orders_per_customer(base),
+        "ab_group_metrics": metrics.ab_group_metrics(base).orderBy(metrics.GROUP),
+        "ab_retention": metrics.ab_retention(base).orderBy(metrics.GROUP),
+        "ab_orders_per_customer": metrics.ab_orders_per_customer(base).orderBy(metrics.GROUP),
     }
-    top = metrics.top_k(base, "city_state", k)
-    out["top_cities"] = top
+    top = save(metrics.top_k(base, "city_state", k), "top_cities")
+    out["top_cities"] = top.orderBy(top.orders.desc(), "city_state")
     for pname, pcol in PERIODS.items():
         for gname, gcol in GROUPINGS.items():
-            m, lf = period_report(base, pcol, gcol, top if gname == "city" else None, orders_unique)
-            out[f"{pname}_{gname}_metrics"] = m
-            out[f"{pname}_{gname}_lift"] = lf
-    test = stats.welch_test(stats.welch_moments(stats.user_metrics(base)))
-    out["welch_test"] = test
-    out["significance"] = stats.significance(test)
+            m, lf = period_report(base, pcol, gcol, top if gname == "city" else None, orders_unique, save)
+            out[f"{pname}_{gname}_metrics"] = m.orderBy(gcol, pcol, metrics.GROUP)
+            out[f"{pname}_{gname}_lift"] = lf.orderBy(gcol, pcol)
+    test = save(stats.welch_test(stats.welch_moments(stats.user_metrics(base))), "welch_test")
+    out["welch_test"] = test.orderBy("segment")
+    out["significance"] = stats.significance(test).orderBy("segment")
     return out
 
 
 def run_analysis(fact_df: DataFrame, export_dir: str | None = None, k: int = 3,
-                 orders_unique: bool = True, run_date: str | None = None) -> dict[str, DataFrame]:
-    """Reports from a saved, validated fact (``orders_unique`` relies on the
-    gate of :func:`run_elt`).
-
-    The enriched base is reduced to the report columns and written once to
-    the shared checkpoint folder; every report scans that narrow table, and a
-    lost executor costs a re-read of files rather than the segment join and
-    item rollup. The weekly reports are exported as CSV when asked."""
-    base = sinks.materialize(analysis_base(fact_df).select(*REPORT_COLUMNS), "report_base", run_date)
-    out = reports(base, k, orders_unique)
+                 orders_unique: bool | None = None, run_date: str | None = None) -> dict[str, DataFrame]:
+    """Reports from a saved fact.
+
+    ``orders_unique``: whether order ids are known to be unique, so that counts
+    need no distinct; None finds out (one aggregate). Both give the same numbers.
+
+    The enriched base is reduced to the report columns and written once to the
+    shared checkpoint folder, as are orders per customer, the period metrics and
+    the test; every report starts from those, and a lost executor costs a re-read
+    of files. ``sinks.remove_materialized`` deletes them when the reports are
+    written. The weekly reports are exported as CSV when asked."""
+    if orders_unique is None:
+        orders_unique = bool(quality.dq_report(fact_df.select("order_id"), "order_id").first().key_is_unique)
+
+    def save(df: DataFrame, name: str) -> DataFrame:
+        return sinks.materialize(df, f"report_{name}", run_date)
+    counts = save(segments.orders_per_customer(fact_df, orders_unique=orders_unique), "orders_per_customer")
+    base = save(analysis_base(fact_df, counts=counts).select(*REPORT_COLUMNS), "base")
+    out = reports(base, k, orders_unique, save)
     if export_dir:
         for name, keys in (("weekly_city_metrics", ("city_state", "week")),
                            ("weekly_segment_metrics", ("customer_segment", "week"))):

@@ -22,6 +22,8 @@ LIBRARY_CONF = {
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
                   app_name: str = "splitlift", extra: dict | None = None) -> SparkSession:
     """Local/test session. On a cluster, pass the cluster's own session instead."""
+    if not master.startswith("local"):
+        raise ValueError("build_session is for one machine; use the cluster's session")
     warehouse = tempfile.mkdtemp(prefix="splitlift-wh-", dir=os.environ.get("TMPDIR", "/tmp"))
     builder = (SparkSession.builder.master(master).appName(app_name)
                .config("spark.sql.warehouse.dir", warehouse)
@@ -76,12 +78,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for plan cuts and intermediate tables.
 
     Uses the cluster's ``spark.checkpoint.dir`` (or a directory already
-    registered on the context) when set; only when both are unset (local runs,
-    tests) a fresh scratch folder is created and registered.
+    registered on the context). Where both are unset, a local master (runs on
+    one machine, tests) gets a fresh scratch folder; any other master is refused,
+    since a folder of the driver's machine is not shared with the executors.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError(f"set spark.checkpoint.dir to a shared folder (master {sc.master})")
         current = tempfile.mkdtemp(prefix="splitlift-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)

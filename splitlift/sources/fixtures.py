@@ -15,33 +15,25 @@ from pyspark.sql import functions as F
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 # Fixed values of the derivation (FIXTURES.md §3).
-ZONES = ("America/Sao_Paulo", "America/Manaus", "UTC")
+# Regions, offsets, an unknown name and no zone at all, by order key mod 8.
+ZONES = ("America/Sao_Paulo", "America/Manaus", "UTC", "-03:00", "GMT+5", "Europe/Berlin", "Mars/Base", None)
+N_VALID_ZONES = 6
+MALFORMED = "not json"
 LANGUAGES = ("pt", "en", "es")
 CURRENCY = "BRL"
 FIXED_CREATED_AT = "2018-01-01"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer partitions than the cluster has
-    cores (a single unsplittable file or row group); a scan that is already
-    split (the normal case for large inputs) is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+_TABLES: dict[tuple[str, str], DataFrame] = {}
 
 
-_TABLES: dict[tuple[str, str, bool], DataFrame] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = False) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One given table. The tables are read-only inputs, so the DataFrame (its
-    file listing and footer schema, not data) is built once per session.
-    ``spread_rows`` round-robins an unsplit scan for row-heavy work that has no
-    key to partition by (text cleaning, map-side partial aggregation)."""
+    file listing and footer schema, not data) is built once per session."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path, spread_rows)
+    key = (spark.sparkContext.applicationId, path)
     if key not in _TABLES:
-        df = spark.read.parquet(path)
-        _TABLES[key] = spread(df) if spread_rows else df
+        _TABLES[key] = spark.read.parquet(path)
     return _TABLES[key]
 
 
@@ -64,15 +56,16 @@ def _money(cents: Column) -> Column:
     return F.struct(_txt(cents).alias("value"), F.lit(CURRENCY).alias("currency"))
 
 
-def _pick(key: Column, values: tuple[str, ...]) -> Column:
+def _pick(key: Column, values: tuple[str | None, ...]) -> Column:
     expr = None
     for i, v in enumerate(values[:-1]):
         expr = F.when(key == i, v) if expr is None else expr.when(key == i, v)
-    return expr.otherwise(values[-1])
+    return expr.otherwise(F.lit(values[-1]))
 
 
 def fx_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One order item per line, with its amounts in cents."""
+    """One order item per line, with its amounts in cents; the first line of some
+    orders is there twice (identical items), and large lines have two sub-items."""
     value = _cents("l_extendedprice")
     # Partitioned once by order key: the basket aggregation and the join with
     # the orders below reuse this partitioning (no further exchange).
@@ -81,13 +74,15 @@ def fx_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         value.alias("value_c"),
         _share_cents(value, "l_discount").alias("discount_c"),
         _share_cents(value, "l_tax").alias("tax_c"))
-    sub_item = F.struct(
-        F.lit("extra").alias("name"),
-        _money(F.lit(0)).alias("discount"),
-        F.lit(1.0).alias("quantity"),
-        F.lit(1).alias("sequence"),
-        _money(F.col("tax_c")).alias("totalValue"))
-    garnish = F.array_repeat(sub_item, F.when(F.col("l_tax") > 0, 1).otherwise(0))
+
+    def sub_item(name: str, sequence: int, value: Column, discount: Column) -> Column:
+        return F.struct(F.lit(name).alias("name"), _money(discount).alias("discount"), F.lit(1.0).alias("quantity"),
+                        F.lit(sequence).alias("sequence"), _money(value).alias("totalValue"))
+    first = sub_item("extra", 1, F.col("tax_c"), F.floor(F.col("tax_c") / 10).cast("long"))
+    second = sub_item("second", 2, F.lit(50).cast("long"), F.lit(5).cast("long"))
+    taxed, large = F.col("l_tax") > 0, F.col("l_quantity") > 25
+    garnish = (F.when(taxed & large, F.array(first, second)).when(taxed, F.array(first))
+               .otherwise(F.array_repeat(first, 0)))
     item = F.struct(
         F.col("l_linenumber").alias("sequence"),
         F.col("l_quantity").alias("quantity"),
@@ -95,11 +90,14 @@ def fx_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         _money(F.col("value_c")).alias("totalValue"),
         _money(F.col("discount_c")).alias("totalDiscount"),
         garnish.alias("garnishItems"))
-    return li.select("l_orderkey", "l_suppkey", item.alias("item"))
+    twice = (F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 6 == 0)
+    return li.select("l_orderkey", "l_suppkey", F.explode(
+        F.array_repeat(item, F.when(twice, 2).otherwise(1))).alias("item"))
 
 
 def fx_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw orders: one row per order, items as a JSON array text.
+    """Raw orders, items as a JSON array text: one row per order, and for some orders
+    an older version or an exact copy as well.
 
     The lines of an order are gathered with ``collect_list`` per order key;
     that group is one order's basket (a handful of lines), the same unit the
@@ -116,20 +114,28 @@ def fx_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     joined = (o.join(baskets, o.o_orderkey == baskets.l_orderkey, "left")
                .join(cust, o.o_custkey == cust.c_custkey, "left"))
+    older = (key % 13 == 0) & (key % len(ZONES) < N_VALID_ZONES)
+    versions = F.concat(F.array(F.lit(0)), F.when(older, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")),
+                        F.when(key % 17 == 0, F.array(F.lit(2))).otherwise(F.array().cast("array<int>")))
+    joined = joined.withColumn("version", F.explode(versions))
+    is_older = F.col("version") == 1
+    created = F.col("o_orderdate") - F.when(is_older, F.expr("interval 1 day")).otherwise(F.expr("interval 0 day"))
+    name = F.when(key % 5 == 0, F.concat(F.lit("José  "), "c_name", F.lit(" &amp; Cia"))).otherwise(F.col("c_name"))
+    city = F.when(key % 9 == 0, F.concat(F.lit("São "), "n_name")).otherwise(F.col("n_name"))
     return joined.select(
-        _txt(F.col("o_custkey")).alias("customer_id"),
-        F.when(key % 7 != 0, F.col("c_name")).alias("customer_name"),
-        F.when(key % 11 != 0, F.col("n_name")).alias("delivery_address_city"),
+        F.when(key % 19 != 0, _txt(F.col("o_custkey"))).alias("customer_id"),
+        F.when(key % 7 != 0, name).alias("customer_name"),
+        F.when(key % 11 != 0, city).alias("delivery_address_city"),
         _txt(F.col("o_custkey")).alias("delivery_address_external_id"),
         F.col("r_name").alias("delivery_address_state"),
         _txt(F.col("first_supplier")).alias("merchant_id"),
-        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("order_created_at"),
-        _pick(key % 3, ZONES).alias("merchant_timezone"),
+        F.date_format(created, "yyyy-MM-dd'T'HH:mm:ss").alias("order_created_at"),
+        _pick(key % len(ZONES), ZONES).alias("merchant_timezone"),
         _txt(key).alias("order_id"),
-        F.col("o_totalprice").alias("order_total_amount"),
-        F.col("o_orderpriority").alias("origin_platform"),
+        (F.col("o_totalprice") + F.when(is_older, 1.0).otherwise(0.0)).alias("order_total_amount"),
+        F.when(is_older, "older").otherwise(F.col("o_orderpriority")).alias("origin_platform"),
         F.lit(None).cast("string").alias("order_scheduled_date"),
-        F.col("items"),
+        F.when(key % 23 == 0, MALFORMED).otherwise(F.col("items")).alias("items"),
     )
 
 
@@ -140,7 +146,8 @@ def fx_consumers(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(F.col("c_custkey") % 3, LANGUAGES).alias("language"),
         F.lit(FIXED_CREATED_AT).alias("created_at"),
         F.when(F.col("c_acctbal") >= 0, "true").otherwise("false").alias("active"),
-        F.col("c_name").alias("customer_name"),
+        F.when(F.col("c_custkey") % 4 == 1, F.concat("c_name", F.lit(" Ção")))
+         .otherwise(F.col("c_name")).alias("customer_name"),
         _txt(F.col("c_nationkey")).alias("customer_phone_area"),
         _txt(F.col("c_custkey")).alias("customer_phone_number"),
     )
@@ -163,7 +170,7 @@ def fx_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
         _txt(k % 60).alias("delivery_time"),
         _txt(F.col("s_acctbal")).alias("minimum_order_value"),
         _txt(k + 10000).alias("merchant_zip_code"),
-        F.col("n_name").alias("merchant_city"),
+        F.when(k % 4 == 0, F.concat("n_name", F.lit(" d'Été"))).otherwise(F.col("n_name")).alias("merchant_city"),
         F.col("r_name").alias("merchant_state"),
         F.lit("XX").alias("merchant_country"),
     )

@@ -3,7 +3,10 @@ inside tar.gz archives; plus catalog tables."""
 
 from __future__ import annotations
 
+import codecs
+import csv
 import io
+import itertools
 import os
 import tarfile
 from collections.abc import Iterator
@@ -43,9 +46,11 @@ def load_dataset(spark: SparkSession, path: str, schema: T.StructType | None = N
         reader = spark.read.schema(schema) if schema is not None else spark.read
         df = reader.json(path)
     elif fmt == "csv":
-        reader = spark.read.option("header", True)
-        reader = reader.schema(schema) if schema is not None else reader
-        df = reader.csv(path)
+        # Text columns named by the header; a file whose header differs from the
+        # first one's fails instead of being read by position.
+        df = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+        if schema is not None:
+            df = _by_name(df, schema, path)
     elif fmt == "parquet":
         df = spark.read.parquet(path)
         if schema is not None:
@@ -61,8 +66,17 @@ def load_dataset(spark: SparkSession, path: str, schema: T.StructType | None = N
     return df
 
 
-def read_table(spark: SparkSession, name: str) -> DataFrame:
-    return spark.read.table(name)
+def _by_name(df: DataFrame, schema: T.StructType, path: str) -> DataFrame:
+    """The schema's columns, wherever the header has them; others are left out."""
+    missing = [f.name for f in schema.fields if f.name not in df.columns]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)} in the header ({', '.join(df.columns)})")
+    return df.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def read_saved(spark: SparkSession, source: str, fmt: str = "parquet") -> DataFrame:
+    """A saved dataset: a catalog table (``fmt='table'``) or files of a format."""
+    return spark.read.table(source) if fmt == "table" else spark.read.format(fmt).load(source)
 
 
 def _csv_member(tar: tarfile.TarFile) -> tarfile.TarInfo | None:
@@ -75,45 +89,51 @@ def _csv_member(tar: tarfile.TarFile) -> tarfile.TarInfo | None:
     return None
 
 
-def _decode(raw: bytes) -> str:
+def _encoding(stream) -> str:
+    """utf-8 if the whole stream is, else latin-1; read in blocks."""
+    decoder = codecs.getincrementaldecoder("utf-8")()
     try:
-        return raw.decode("utf-8")
+        while block := stream.read(1 << 20):
+            decoder.decode(block)
+        decoder.decode(b"", final=True)
+        return "utf-8"
     except UnicodeDecodeError:
-        return raw.decode("latin-1")
-
-
-def _archive_lines(batches: Iterator[pd.DataFrame], batch_rows: int = 50_000
-                   ) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            with tarfile.open(fileobj=io.BytesIO(content), mode="r:gz") as tar:
-                member = _csv_member(tar)
-                if member is None:
-                    raise FileNotFoundError(f"no CSV member in {path}")
-                text = _decode(tar.extractfile(member).read())
-            lines = text.split("\n")
-            if lines and lines[-1] == "":
-                lines.pop()
-            lines = [ln[:-1] if ln.endswith("\r") else ln for ln in lines]
-            for start in range(0, len(lines), batch_rows):
-                chunk = lines[start:start + batch_rows]
-                yield pd.DataFrame({"path": [path] * len(chunk),
-                                    "line_no": range(start, start + len(chunk)),
-                                    "line": chunk})
+        return "latin-1"
+    finally:
+        stream.seek(0)
+
+
+def _archive_rows(names: list[str], batch_rows: int = 50_000):
+    """Rows of the archives' CSV members as text, fields taken by header name. A
+    member is decompressed as a stream; ``batch_rows`` rows are held at a time."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                with tarfile.open(fileobj=io.BytesIO(content), mode="r:gz") as tar:
+                    member = _csv_member(tar)
+                    if member is None:
+                        raise FileNotFoundError(f"no CSV member in {path}")
+                    stream = tar.extractfile(member)
+                    text = io.TextIOWrapper(stream, encoding=_encoding(stream), newline="")
+                    rows = csv.reader(text)
+                    header = [h.strip("\ufeff ") for h in next(rows, [])]
+                    missing = [n for n in names if n not in header]
+                    if missing:
+                        raise ValueError(f"{path}: no column {', '.join(missing)} in the header")
+                    at = [header.index(n) for n in names]
+                    fields = ([r[i] if i < len(r) and r[i] != "" else None for i in at] for r in rows if r)
+                    while chunk := list(itertools.islice(fields, batch_rows)):
+                        yield pd.DataFrame(chunk, columns=names, dtype=object)
+    return run
 
 
 def read_archive_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV (with header) stored inside tar.gz archives -> typed DataFrame.
 
-    Each archive is decompressed by one task (gzip is not splittable), in a
-    ``mapInPandas`` that emits the member's lines in batches; header removal
-    and field parsing (``from_csv`` with the declared schema) run as native
-    expressions. Many archives are read in parallel. Lines are split on
-    ``\\n`` only; quoted fields holding line breaks are not supported.
-    """
+    Each archive is one task (gzip is not splittable) and many archives are read in
+    parallel; ``binaryFile`` hands a task the compressed file, so an archive can
+    have 2 GB at most. Columns are matched by header name."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    lines = files.mapInPandas(_archive_lines, "path string, line_no long, line string")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    body = lines.filter(F.col("line_no") > 0).filter(F.length("line") > 0)
-    parsed = body.select(F.from_csv("line", ddl).alias("r"))
-    return parsed.select(*[F.col(f"r.{f.name}").alias(f.name) for f in schema.fields])
+    names = schema.fieldNames()
+    rows = files.mapInPandas(_archive_rows(names), ", ".join(f"`{n}` string" for n in names))
+    return rows.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])

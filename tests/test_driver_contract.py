@@ -26,4 +26,4 @@ def test_entry_from_foreign_cwd_with_plain_session(tmp_path):
     out = subprocess.run([sys.executable, "-c", SCRIPT], cwd=tmp_path, env=env,
                          capture_output=True, text=True, timeout=600)
     assert out.returncode == 0, out.stderr[-3000:]
-    assert "ENTRY 604" in out.stdout and "TEXT 200" in out.stdout and "KEYS True" in out.stdout
+    assert "ENTRY 485" in out.stdout and "TEXT 200" in out.stdout and "KEYS True" in out.stdout

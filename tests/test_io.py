@@ -97,9 +97,105 @@ def test_table_target_is_swapped_only_after_the_gate(spark):
                              fx.fx_merchants(spark, SF_SMALL), fx.fx_abtest(spark, SF_SMALL))
     report = pipeline.run_elt(raw, "order_fact_t", run_date="2024-01-02", fmt="table")
     assert report["n_rows"] == 1500 and spark.read.table("order_fact_t").count() == 1500
-    # duplicate merchants make order_id non-unique: the gate fails, the old table stays
+    # duplicate merchants would multiply orders: refused before anything is joined
     bad = pipeline.RawInputs(raw.orders, raw.consumers, raw.merchants.unionByName(raw.merchants),
                              raw.abtest)
     with pytest.raises(DataQualityError):
         pipeline.run_elt(bad, "order_fact_t", run_date="2024-01-03", fmt="table")
     assert spark.read.table("order_fact_t").count() == 1500
+
+
+def _inputs(spark):
+    return pipeline.RawInputs(fx.fx_orders(spark, SF_SMALL), fx.fx_consumers(spark, SF_SMALL),
+                              fx.fx_merchants(spark, SF_SMALL), fx.fx_abtest(spark, SF_SMALL))
+
+
+@pytest.mark.parametrize("kind", ["csv", "archive"])
+def test_columns_are_matched_by_header_name(spark, tmpdir_path, kind):
+    body = b'extra,is_target,customer_id\n9,control,"1"\n8,target,2\n7,,3\n'
+    path = os.path.join(tmpdir_path, "ab.csv" if kind == "csv" else "ab.tar.gz")
+    if kind == "csv":
+        with open(path, "wb") as f:
+            f.write(body)
+    else:
+        _tar(path, [("ab.csv", body)])
+    got = load_dataset(spark, path, schemas.ABTEST_RAW)
+    assert got.columns == schemas.ABTEST_RAW.fieldNames()
+    assert sorted((r.customer_id, r.is_target) for r in got.fillna("-").collect()) == [
+        ("1", "control"), ("2", "target"), ("3", "-")]
+
+
+@pytest.mark.parametrize("kind", ["csv", "archive"])
+def test_a_missing_column_fails(spark, tmpdir_path, kind):
+    path = os.path.join(tmpdir_path, "ab.csv" if kind == "csv" else "ab.tar.gz")
+    if kind == "csv":
+        with open(path, "wb") as f:
+            f.write(b"customer,is_target\n1,control\n")
+    else:
+        _tar(path, [("ab.csv", b"customer,is_target\n1,control\n")])
+    with pytest.raises(Exception, match="no column customer_id"):
+        load_dataset(spark, path, schemas.ABTEST_RAW).collect()
+
+
+def test_path_target_is_kept_when_the_swap_fails(spark, tmpdir_path, monkeypatch):
+    from splitlift.sources import sinks
+    target = f"{tmpdir_path}/fact"
+    spark.createDataFrame([("old",)], "order_id string").write.parquet(target)
+    real = sinks._rename
+
+    def broken(spark, old, new):
+        if "__staging_" in old:
+            raise OSError("disk gone")
+        real(spark, old, new)
+    monkeypatch.setattr(sinks, "_rename", broken)
+    with pytest.raises(OSError, match="disk gone"):
+        pipeline.run_elt(_inputs(spark), target, run_date="2024-01-01")
+    assert [r.order_id for r in spark.read.parquet(target).collect()] == ["old"]
+    assert sorted(os.listdir(tmpdir_path)) == ["fact"]          # nothing staged or set aside is left
+    monkeypatch.undo()
+    pipeline.run_elt(_inputs(spark), target, run_date="2024-01-01")
+    assert spark.read.parquet(target).count() == 1500 and sorted(os.listdir(tmpdir_path)) == ["fact"]
+
+
+def test_failing_gate_leaves_nothing_behind(spark, tmpdir_path):
+    from splitlift.operators.quality import DataQualityError
+    raw = _inputs(spark)
+    raw.orders = raw.orders.limit(0)
+    with pytest.raises(DataQualityError):
+        pipeline.run_elt(raw, f"{tmpdir_path}/fact", run_date="2024-01-01")
+    assert os.listdir(tmpdir_path) == []
+
+
+def test_materialized_files_are_removed(spark):
+    from splitlift.sources import sinks
+    df = materialize(spark.range(3), "gone")
+    path = df.inputFiles()[0]
+    assert df.count() == 3
+    sinks.remove_materialized(spark)
+    assert not sinks.exists(spark, path)
+
+
+def test_a_machine_local_folder_is_refused_on_a_cluster():
+    from splitlift.session import build_session, checkpoint_dir
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session())
+    with pytest.raises(ValueError):
+        build_session("spark://host:7077")
+
+
+def test_saved_tables_can_be_read_back(spark):
+    from splitlift.sources.readers import read_saved
+    spark.range(4).write.mode("overwrite").saveAsTable("saved_t")
+    assert read_saved(spark, "saved_t", "table").count() == 4

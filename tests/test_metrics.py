@@ -53,3 +53,10 @@ def test_restrict_is_broadcast_semi_join(base):
     top = metrics.top_k(base, "city_state", 3)
     plan = metrics.restrict_to(base, top)._jdf.queryExecution().executedPlan().toString()
     assert "LeftSemi" in plan and "Broadcast" in plan
+
+
+def test_production_reports_equal_the_exact_ones(spark, base):
+    from splitlift.plans import pipeline
+    exact, fast = pipeline.reports(base), pipeline.reports(base, orders_unique=True)
+    for name in ("ab_overview", "weekly_city_metrics", "daily_segment_lift", "monthly_city_lift", "significance"):
+        assert exact[name].exceptAll(fast[name]).count() == 0 and fast[name].exceptAll(exact[name]).count() == 0

@@ -2,7 +2,9 @@
 
 import __spark_entry__ as E
 from splitlift.operators import metrics
+from splitlift.plans import pipeline
 from splitlift.plans.catalog import _base
+from splitlift.sources import fixtures as fx
 
 from conftest import SF_SMALL
 
@@ -11,8 +13,19 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_merchants_broadcast_after_size_check(spark):
-    assert "BroadcastHashJoin" in _plan(E.queries()["join_merchants"](spark, SF_SMALL))
+def test_building_the_fact_runs_no_job_and_gathers_nothing(spark):
+    raw = [f(spark, SF_SMALL) for f in (fx.fx_orders, fx.fx_consumers, fx.fx_merchants, fx.fx_abtest)]
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    plan = _plan(pipeline.build_fact(pipeline.RawInputs(*raw)))
+    assert len(tracker.getJobIdsForGroup(None)) == before
+    assert "SinglePartition" not in plan and "GlobalLimit" not in plan
+
+
+def test_dedup_carries_each_column_once(spark):
+    plan = _plan(E.queries()["dedup_latest"](spark, SF_SMALL))
+    partial = [line for line in plan.splitlines() if "partial_max" in line][0]
+    assert partial.count("l_returnflag#") == 1 and "max_by" not in partial
 
 
 def test_column_pruning_reaches_the_scan(spark):

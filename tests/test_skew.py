@@ -3,6 +3,10 @@ aggregates combine map-side instead of collecting the key in one task."""
 from pyspark.sql import functions as F
 
 from splitlift.operators import fact, metrics, segments
+from splitlift.schemas import ITEMS, ORDER_FACT_COLUMNS
+
+ORDER_SIDE = ("order_created_at_utc", "order_scheduled_date", "origin_platform", "merchant_timezone", "customer_name",
+              "delivery_address_city", "delivery_address_state", "delivery_address_external_id")
 
 
 def _orders(spark, n=30_000):
@@ -42,7 +46,7 @@ def test_hot_customer_segments_and_metrics(spark):
     assert g.total_revenue == round(sum((i % 100) + 0.25 for i in range(30_000)), 2)
 
 
-def test_aqe_splits_the_hot_customer_partition(spark):
+def test_aqe_splits_the_hot_customer_in_the_whole_fact(spark):
     conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
             "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
@@ -53,12 +57,29 @@ def test_aqe_splits_the_hot_customer_partition(spark):
     for k, v in conf.items():
         spark.conf.set(k, v)
     try:
-        orders = _orders(spark, 60_000)
-        consumers = spark.range(500).select(F.col("id").cast("string").alias("customer_id"),
-                                            F.lit("pt").alias("language")).unionByName(
-            spark.createDataFrame([("hot", "en")], "customer_id string, language string"))
-        j = fact.join_consumers(orders, consumers)
-        assert len(j.collect()) == 60_000               # runs this plan, so AQE finalises it
+        n = 60_000
+        given = _orders(spark, n)
+        orders = given
+        for c in ORDER_FACT_COLUMNS:
+            if c in ("items",):
+                orders = orders.withColumn(c, F.lit(None).cast(ITEMS))
+            elif c not in given.columns and c in ORDER_SIDE:
+                orders = orders.withColumn(c, F.lit("x"))
+        ids = spark.range(500).select(F.col("id").cast("string").alias("customer_id")).union(
+            spark.createDataFrame([("hot",)], "customer_id string"))
+        consumers = ids.select("customer_id", F.lit("pt").alias("language"), F.lit("c").alias("created_at"),
+                               F.lit("t").alias("active"), F.lit("n").alias("customer_name"),
+                               F.lit("1").alias("customer_phone_area"), F.lit("2").alias("customer_phone_number"))
+        abtest = ids.select("customer_id", F.lit("control").alias("is_target"))
+        merchants = spark.range(7).select(
+            F.col("id").cast("string").alias("merchant_id"), *[F.lit("m").alias(c) for c in (
+                "created_at", "enabled", "price_range", "average_ticket", "takeout_time", "delivery_time",
+                "minimum_order_value", "merchant_zip_code", "merchant_city", "merchant_state", "merchant_country")])
+        j = fact.order_fact(orders, consumers, merchants, abtest).select("order_id", "customer_id", "language",
+                                                                         "abtest_group", "merchant_city")
+        rows = j.collect()                              # runs this plan, so AQE finalises it
+        assert len(rows) == n and sum(r.customer_id is None for r in rows) == n // 3
+        assert all((r.abtest_group is None) == (r.customer_id is None) for r in rows)
         plan = j._jdf.queryExecution().executedPlan().toString()
         assert "isFinalPlan=true" in plan
         assert "SortMergeJoin(skew=true)" in plan and "AQEShuffleRead skewed" in plan
@@ -68,3 +89,12 @@ def test_aqe_splits_the_hot_customer_partition(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_customer_of_one_dimension_only(spark):
+    orders = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "c"), ("4", None)], "order_id string, customer_id string")
+    consumers = spark.createDataFrame([("a", "x", "d"), (None, "y", "d")],
+                                      "customer_id string, customer_name string, created_at string")
+    ab = spark.createDataFrame([("b", "target"), (None, "control")], "customer_id string, is_target string")
+    got = {r.order_id: (r.consumer_name, r.abtest_group) for r in fact.join_customers(orders, consumers, ab).collect()}
+    assert got == {"1": ("x", None), "2": (None, "target"), "3": (None, None), "4": (None, None)}
