@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-SLICE_BYTES = 4 << 20  # text handled at once; a longer text is handled alone
+SLICE_BYTES = 2 << 20  # text handled at once; a longer text is handled alone
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

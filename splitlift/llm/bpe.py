@@ -3,25 +3,25 @@
 A byte-level BPE file (``tokenizers`` JSON) splits text into words first; merges
 never cross a word's end. So each distinct word is encoded once:
 
-1. ``word_rows``: Spark tasks split their texts into words. A block is a run of a
-   partition's rows with about ``BLOCK_BYTES`` of text; each block lists its
-   distinct words with their number in the block.
-2. ``encoded_words``: the lists are shuffled by word; a word's rows meet, it is
-   encoded once, and its ids go back to each (block, number).
-3. ``bpe_encode``: the blocks, as word numbers by position, are joined with their
-   ids (cogroup by block) and every document's ids are put together by position.
-   What travels is bounded by the block, not by the corpus or one word.
+1. ``split_rows``: Spark tasks split their texts into words. A block is a run of a
+   partition's rows with about ``BLOCK_BYTES`` of text. It gives one row with its
+   word numbers by position, and its distinct words in rows by word bucket.
+2. ``encoded_rows``: rows are shuffled by word bucket; a word's rows of all blocks
+   meet, it is encoded once, and its ids go back to each (block, number). The
+   positions travel along, so that texts are read and split a single time.
+3. ``bpe_encode``: rows are shuffled by block; word numbers are joined with their
+   ids, position by position. What a task holds is bounded by the block, and by
+   the words of one bucket; buckets grow with ``spark.sql.shuffle.partitions``.
 4. ``bpe_decode``: ids are joined with the vocabulary's id-to-piece table (a fixed
    vocabulary, about 0.5 MB) and the pieces' bytes are put together.
 
-Words are split by ``re`` where all characters of a text are known to be split as
-the library does, and by the library's own splitter elsewhere. Added tokens (such
-as an end-of-text mark) inside a text are one word, as in the library.
+Words of texts whose characters are ASCII or Latin letters are split by their byte
+classes, all texts of a slice at once; other texts by the library's own splitter.
+Added tokens (such as an end-of-text mark) inside a text are one word, as in the
+library. Within a block, words are told apart by 64-bit hashes.
 
 Defined cases: NULL is empty text, without ids; NULL ids and repeated rows are
-kept; an empty table gives an empty result; further columns are ignored. Both
-scans must see the same rows in the same partitions (files do; otherwise cut the
-input first): a block whose word lists disagree raises an error.
+kept; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,13 +38,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 32 << 20
+from ._text import slices, span_hashes
 
-# The splitting pattern of the public byte-level vocabularies, for `re`; it agrees
-# with the library on texts of SAFE characters only (tested over all of them).
-_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?[^\s\w]+|\s+(?!\S)|\s+")
-_UNSAFE = re.compile("[^\t-\r -^`-~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-˿Ͱ-ͳΑ-Ρ"
-                     "Σ-ϿЀ-҂Ҋ-ԯ‐-‧‰-‾]")
+BLOCK_BYTES = 32 << 20
+BUCKETS = 8  # word buckets per shuffle partition
+
+# Byte classes of the public splitting pattern: white space, letters, digits, rest.
+_SPACE, _LETTER, _DIGIT, _REST = 0, 1, 2, 3
+_CLASS = np.full(256, _REST, np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = _SPACE
+_CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
+_CLASS[48:58] = _DIGIT
+_CONTRACTIONS = (b"'s", b"'t", b"'re", b"'ve", b"'m", b"'ll", b"'d")
+# Texts with any other character are split by the library (tested over all of these).
+_OTHER = re.compile("[^\t-\r -~À-ÖØ-öø-ʯ]")
 _loaded: dict[str, "ByteBpe"] = {}
 
 
@@ -75,20 +81,62 @@ class ByteBpe:
             _loaded[text] = cls(text)
         return _loaded[text]
 
-    def words(self, text: str) -> list[str]:
-        if self.added is not None and self.added.search(text):
-            return [w for i, part in enumerate(self.added.split(text))
-                    for w in ([part] if i % 2 else self._plain(part))]
-        return self._plain(text)
+    def unusual(self, text: str) -> bool:
+        return bool(_OTHER.search(text) or (self.added is not None and self.added.search(text)))
 
-    def _plain(self, text: str) -> list[str]:
-        if not _UNSAFE.search(text):
-            return _SPLIT.findall(text)
-        return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+    def words(self, text: str) -> list[str]:
+        """A text's words, by the library."""
+        parts = [text] if self.added is None else self.added.split(text)
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        return [w for i, part in enumerate(parts)
+                for w in ([part] if i % 2 else [part[a:b] for _, (a, b) in split(part)])]
 
     def encode(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def starts(self, raw: np.ndarray, offsets: np.ndarray, texts: list[str]) -> np.ndarray:
+        """First bytes of all words; words tile their texts."""
+        begin = word_starts(raw, offsets)
+        odd = [i for i, t in enumerate(texts) if t and self.unusual(t)]
+        for i in odd:
+            a, b = int(offsets[i]), int(offsets[i + 1])
+            size = np.array([len(w.encode()) for w in self.words(texts[i])], np.int64)
+            begin[a:b] = False
+            begin[a + np.cumsum(size) - size] = True
+        return np.flatnonzero(begin)
+
+
+def word_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether a word starts at each byte, for texts of ASCII and letters.
+
+    A word is a run of one class with one blank before it, if there is one; of white
+    space before a word, the last character stands apart (or is that blank)."""
+    n = len(raw)
+    kind = _CLASS[raw]
+    edge = np.zeros(n, bool)  # a text's first byte
+    edge[offsets[:-1][offsets[:-1] < n]] = True
+    begin = edge.copy()
+    begin[1:] |= kind[1:] != kind[:-1]
+    space = kind == _SPACE
+    # White space right before a word of the same text, and words after a blank.
+    before = np.zeros(n, bool)
+    before[:-1] = space[:-1] & ~space[1:] & ~edge[1:]
+    after = np.zeros(n, bool)
+    after[1:] = before[:-1] & (raw[:-1] == 0x20)
+    begin = (begin | before) & ~after
+    marks = np.flatnonzero(begin & (raw == ord("'")))
+    if len(marks):
+        ends = offsets[np.searchsorted(offsets, marks, "right")]
+        body = raw.tobytes()
+        for at, end in zip(marks.tolist(), ends.tolist()):
+            for c in _CONTRACTIONS:
+                if body.startswith(c, at) and at + len(c) <= end:
+                    begin[at + 1:at + len(c)] = False
+                    if at + len(c) < end and kind[at + len(c)] == _LETTER:
+                        begin[at + len(c)] = True
+                    break
+    return begin
+
 
 def read_vocabulary(path: str) -> str:
     with open(path, encoding="utf-8") as f:
@@ -108,68 +156,6 @@ def pieces(vocabulary: str) -> list[bytes]:
     return [table.get(i, b"") for i in range(max(table) + 1)]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, list[str], pa.RecordBatch, bool]]:
-    """(block, texts, rows, whether the block ends): pieces of a partition's blocks.
-    A block's end depends on the order of rows alone."""
-    block, size = TaskContext.get().partitionId() << 32, 0
-    for batch in batches:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        first = 0
-        for i, text in enumerate(texts):
-            size += len(text)
-            if size >= limit:
-                yield block, texts[first:i + 1], batch.slice(first, i + 1 - first), True
-                block, size, first = block + 1, 0, i + 1
-        if first < len(texts):
-            yield block, texts[first:], batch.slice(first), False
-
-
-def word_rows(docs: DataFrame, vocabulary, limit: int = BLOCK_BYTES) -> DataFrame:
-    """(block, number, word): the distinct words of each block."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe.of(vocabulary.value)
-        found: dict[str, None] = {}
-        last = None
-        for block, texts, _, ends in _blocks(batches, limit):
-            for text in texts:
-                found.update(dict.fromkeys(bpe.words(text)))
-            last = block
-            if ends:
-                yield from _listed(block, found)
-                found = {}
-        if found:
-            yield from _listed(last, found)
-
-    def _listed(block: int, found: dict) -> Iterator[pa.RecordBatch]:
-        words = list(found)
-        for at in range(0, len(words), 50_000):
-            part = words[at:at + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(part), block)), pa.array(np.arange(at, at + len(part), dtype=np.int32)),
-                 pa.array(part, pa.string())], names=["block", "number", "word"])
-    return docs.select("text").mapInArrow(run, "block long, number int, word string")
-
-
-def encoded_words(rows: DataFrame, vocabulary) -> DataFrame:
-    """(block, number, ids): rows sorted by word, each run of one word encoded once."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe.of(vocabulary.value)
-        for batch in batches:
-            runs = batch.column("word").dictionary_encode()
-            ids = bpe.encode(runs.dictionary.to_pylist())
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for w in ids for i in w), np.int32, int(sizes.sum()))
-            heads = np.cumsum(sizes) - sizes
-            which = np.asarray(runs.indices)
-            flat, ends = _gather(flat, heads, sizes, which)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("block"), batch.column("number"),
-                 pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))],
-                names=["block", "number", "ids"])
-    return (rows.repartition("word").sortWithinPartitions("word")
-            .mapInArrow(run, "block long, number int, ids array<int>"))
-
-
 def _gather(flat: np.ndarray, heads: np.ndarray, sizes: np.ndarray, which: np.ndarray
             ) -> tuple[np.ndarray, np.ndarray]:
     """The runs ``which`` of ``flat`` one after another, and their ends (from 0)."""
@@ -178,91 +164,174 @@ def _gather(flat: np.ndarray, heads: np.ndarray, sizes: np.ndarray, which: np.nd
     return flat[np.arange(ends[-1]) + np.repeat(heads[which] - ends[:-1], n)], ends
 
 
-def block_rows(docs: DataFrame, vocabulary, limit: int = BLOCK_BYTES) -> DataFrame:
-    """(block, part, n_words, id, sizes, codes): word numbers by position."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe.of(vocabulary.value)
+def _squeeze(values: np.ndarray) -> bytes:
+    """32-bit numbers as zstd; bytes of one place together compress better."""
+    planes = np.ascontiguousarray(values, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(planes)
+
+
+def _numbers(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
+
+
+# Positions: words (how many distinct ones), ids and sizes of documents, numbers by
+# position. A bucket's words: words, first (number of the first), their sizes and bytes.
+_SCHEMA = ("key long, block long, words long, first int, id array<long>, sizes binary, numbers binary, body binary")
+_ARROW = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("words", pa.int64()), ("first", pa.int32()),
+                    ("id", pa.list_(pa.int64())), ("sizes", pa.binary()), ("numbers", pa.binary()),
+                    ("body", pa.binary())])
+
+
+def _row(key, block, words, first, ids, sizes, numbers, body) -> pa.RecordBatch:
+    values = (key, block, words, first, ids, sizes, numbers, body)
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _ARROW)], schema=_ARROW)
+
+
+class _Block:
+    """Texts of a block as they come: their words' hashes by position, and the bytes
+    of distinct words."""
+
+    def __init__(self, number: int):
+        self.number, self.bytes = number, 0
+        self.codes, self.seen, self.bodies, self.lengths, self.ids, self.sizes = [], [], [], [], [], []
+
+    def add(self, ids: list, raw: np.ndarray, offsets: np.ndarray, start: np.ndarray) -> None:
+        end = np.append(start[1:], len(raw))
+        found, first, code = np.unique(span_hashes(raw, start, end), return_index=True, return_inverse=True)
+        body, _ = _gather(raw, start, end - start, first)
+        self.codes.append(code.astype(np.uint32))
+        self.seen.append(found)
+        self.bodies.append(body)
+        self.lengths.append((end - start)[first])
+        self.ids += ids
+        self.sizes.append(np.diff(np.searchsorted(start, offsets)))
+        self.bytes += len(raw)
+
+    def rows(self, buckets: int) -> Iterator[pa.RecordBatch]:
+        names, first, number = np.unique(np.concatenate(self.seen), return_index=True, return_inverse=True)
+        lengths = np.concatenate(self.lengths)[first]
+        heads = (np.cumsum(np.concatenate(self.lengths)) - np.concatenate(self.lengths))[first]
+        flat = np.concatenate(self.bodies)
+        # Words are numbered by bucket and then, nearly, by the alphabet: a bucket's
+        # numbers are a range, and its neighbouring words compress well.
+        bucket = (names % np.uint64(buckets)).astype(np.int64)  # equal words, equal hashes
+        padded = np.concatenate([flat, np.zeros(8, np.uint8)])
+        at = np.arange(8)
+        letters = np.where(at < lengths[:, None], padded[heads[:, None] + at], 0).astype(np.uint8)
+        order = np.lexsort((letters.view(">u8").ravel(), bucket))
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        rank = place[number]
+        ends = np.cumsum([len(s) for s in self.seen])
+        codes = np.concatenate([rank[e - len(s):e][c] for s, c, e in zip(self.seen, self.codes, ends.tolist())])
+        # Positions have a negative key: any partition will do on their first way.
+        yield _row(-1 - self.number, self.number, len(names), 0, self.ids, _squeeze(np.concatenate(self.sizes)),
+                   _squeeze(codes), None)
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
         zip_ = zstandard.ZstdCompressor(level=3)
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            own = order[cuts[b]:cuts[b + 1]]
+            body, _ = _gather(flat, heads, lengths, own)
+            yield _row(b, self.number, len(own), int(cuts[b]), None, _squeeze(lengths[own]), None,
+                       zip_.compress(body.tobytes()))
+
+
+def split_rows(docs: DataFrame, vocabulary, limit: int = BLOCK_BYTES, buckets: int | None = None) -> DataFrame:
+    """Rows of positions (key < 0) and of distinct words (key: their bucket)."""
+    if buckets is None:
+        buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-        def numbers() -> defaultdict:
-            table: defaultdict = defaultdict()
-            table.default_factory = table.__len__
-            return table
-        table, part = numbers(), 0
-        for block, texts, rows, ends in _blocks(batches, limit):
-            codes = []
-            for text in texts:
-                words = bpe.words(text)
-                codes.append(np.fromiter(map(table.__getitem__, words), np.uint32, len(words)))
-            sizes = np.array([len(c) for c in codes], np.int64)
-            # Bytes of one place together compress better.
-            planes = np.concatenate(codes).view(np.uint8).reshape(-1, 4).T.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block]), pa.array([part], pa.int32()), pa.array([len(table)]),
-                 pa.array([rows.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([sizes]),
-                 pa.array([zip_.compress(planes)], pa.binary())],
-                names=["block", "part", "n_words", "id", "sizes", "codes"])
-            part += 1
-            if ends:
-                table, part = numbers(), 0
-    return docs.mapInArrow(run, "block long, part int, n_words long, id array<long>, sizes array<long>, codes binary")
-
-
-def _positions(blocks: pa.Table, words: pa.Table) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = ByteBpe.of(vocabulary.value)
+        block = _Block(TaskContext.get().partitionId() << 32)
+        for batch in batches:
+            for rows, raw, offsets in slices(batch, "text"):
+                texts = [t or "" for t in rows.column("text").to_pylist()]
+                block.add(rows.column("id").to_pylist(), raw, offsets, bpe.starts(raw, offsets, texts))
+                if block.bytes >= limit:
+                    yield from block.rows(buckets)
+                    block = _Block(block.number + 1)
+        if block.ids:
+            yield from block.rows(buckets)
+    return docs.mapInArrow(run, _SCHEMA)
+
+
+def encoded_rows(rows: DataFrame, vocabulary) -> DataFrame:
+    """Words replaced by their ids: each word of a bucket is encoded once."""
+    def run(group: pa.Table) -> pa.Table:
+        if group.column("key")[0].as_py() < 0:
+            return group
+        unzip = zstandard.ZstdDecompressor()
+        table: dict[bytes, int] = {}
+        lists = []
+        for row in group.select(["sizes", "body"]).to_pylist():
+            ends = np.cumsum(_numbers(row["sizes"]), dtype=np.int64).tolist()
+            body = unzip.decompress(row["body"])
+            words = [body[a:b] for a, b in zip([0, *ends], ends)]
+            lists.append(np.fromiter((table.setdefault(w, len(table)) for w in words), np.int64, len(words)))
+        ids = ByteBpe.of(vocabulary.value).encode([w.decode() for w in table])
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter((i for w in ids for i in w), np.uint32, int(sizes.sum()))
+        heads = np.cumsum(sizes) - sizes
+        new_sizes = [_squeeze(sizes[which]) for which in lists]
+        new_body = [_squeeze(_gather(flat, heads, sizes, which)[0]) for which in lists]
+        return (group.set_column(5, "sizes", pa.array(new_sizes, pa.binary()))
+                .set_column(7, "body", pa.array(new_body, pa.binary())))
+    return rows.groupBy("key").applyInArrow(run, _SCHEMA)
+
+
+def _place(group: pa.Table) -> pa.Table:
     """Ids of a block's documents: word numbers replaced by the words' ids."""
-    number = words.column("number").to_numpy()
-    ids = words.column("ids").combine_chunks()
-    ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
-    sizes = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = ids.flatten().to_numpy(zero_copy_only=False)
-    order = np.argsort(number)
-    heads = (np.cumsum(sizes) - sizes)[order]
-    sizes = sizes[order]
-    expected = max(blocks.column("n_words").to_pylist(), default=0)
-    if len(number) != expected or (expected and number[order[-1]] != expected - 1):
-        raise RuntimeError("the input's rows changed between two scans: cut it before encoding")
-    unzip = zstandard.ZstdDecompressor()
-    for row in blocks.select(["id", "sizes", "codes"]).to_pylist():
-        planes = np.frombuffer(unzip.decompress(row["codes"]), np.uint8)
-        codes = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
-        ends = np.concatenate([[0], np.cumsum(row["sizes"])]).astype(np.int64)
-        for at in range(0, len(row["id"]), 1000):  # rows of a result batch
-            to = min(at + 1000, len(row["id"]))
-            out, stops = _gather(flat, heads, sizes, codes[ends[at]:ends[to]])
-            cuts = stops[ends[at:to + 1] - ends[at]]
-            yield pa.RecordBatch.from_arrays(
+    rows = sorted(group.to_pylist(), key=lambda r: (r["key"] < 0, r["first"]))
+    lists = [r for r in rows if r["key"] >= 0]
+    size = np.concatenate([np.zeros(0, np.uint32), *(_numbers(r["sizes"]) for r in lists)]).astype(np.int64)
+    flat = np.concatenate([np.zeros(0, np.uint32), *(_numbers(r["body"]) for r in lists)]).astype(np.int32)
+    heads = np.cumsum(size) - size
+    out = []
+    for row in rows[len(lists):]:
+        if row["words"] != len(size):
+            raise RuntimeError("a block's words are not all encoded")
+        codes = _numbers(row["numbers"])
+        ends = np.concatenate([[0], np.cumsum(_numbers(row["sizes"]), dtype=np.int64)])
+        for at in range(0, len(row["id"]), 500):  # documents put together at a time
+            to = min(at + 500, len(row["id"]))
+            ids, stops = _gather(flat, heads, size, codes[ends[at]:ends[to]])
+            cuts = stops[ends[at:to + 1] - ends[at]].astype(np.int32)
+            out.append(pa.RecordBatch.from_arrays(
                 [pa.array(row["id"][at:to], pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(out))], names=["id", "ids"])
+                 pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids))], names=["id", "ids"]))
+    return pa.Table.from_batches(out, schema=pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
 
 
 def bpe_encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
-               limit: int = BLOCK_BYTES) -> DataFrame:
+               limit: int = BLOCK_BYTES, buckets: int | None = None) -> DataFrame:
     """One row per input row: id and ``ids``, its tokens' ids in order."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     vocabulary = df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
-    words = encoded_words(word_rows(docs, vocabulary, limit), vocabulary)
-
-    def place(blocks: pa.Table, table: pa.Table) -> pa.Table:
-        parts = list(_positions(blocks, table))
-        return pa.Table.from_batches(parts, schema=pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
-    out = (block_rows(docs, vocabulary, limit).groupBy("block").cogroup(words.groupBy("block"))
-           .applyInArrow(place, "id long, ids array<int>"))
-    return out.withColumnRenamed("id", id_col)
+    rows = encoded_rows(split_rows(docs, vocabulary, limit, buckets), vocabulary)
+    return (rows.groupBy("block").applyInArrow(_place, "id long, ids array<int>")
+            .withColumnRenamed("id", id_col))
 
 
 def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``encoded`` (id, ids) with the decoded text."""
-    table = encoded.sparkSession.sparkContext.broadcast(pieces(read_vocabulary(path)))
+    table = pieces(read_vocabulary(path))
+    sizes = np.array([len(p) for p in table], np.int64)
+    shared = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(table), np.uint8), sizes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = table.value
-        for batch in batches:
-            ids = batch.column("ids")
-            ends = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
-            flat = ids.flatten().to_pylist()
-            texts = [b"".join(map(piece.__getitem__, flat[a:b])).decode("utf-8", "replace")
-                     for a, b in zip(ends, ends[1:])]
-            yield batch.append_column("text", pa.array(texts, pa.string()))
+        flat, sizes = shared.value
+        heads = np.cumsum(sizes) - sizes
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                ids = batch.column("ids")
+                ends = np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths()), dtype=np.int64)])
+                raw, stops = _gather(flat, heads, sizes, np.asarray(ids.flatten()).astype(np.int64))
+                body, cuts = raw.tobytes(), stops[ends].tolist()
+                texts = [body[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+                yield batch.append_column("text", pa.array(texts, pa.string()))
     out = encoded.select(F.col(id_col).alias("id"), "ids").mapInArrow(run, "id long, ids array<int>, text string")
     return out.withColumnsRenamed({"id": id_col, "text": text_col})
 
