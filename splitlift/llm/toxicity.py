@@ -42,9 +42,9 @@ BITS = 18
 STEPS = 40
 RATE = 0.05
 DECAY = 1e-5
-BIAS = -5.0
+BIAS = -8.0
 MIN_DOCS = 5
-MIN_Z = 3.0
+MIN_Z = 4.0
 THRESHOLD = 0.7
 BAGS = 8  # partitions of the training table
 GRAMS = (3, 4, 5)
@@ -184,7 +184,7 @@ def evidence(bags: DataFrame) -> np.ndarray:
     clean, toxic = counts.reshape(2, size + 1)
     ratio = np.log((toxic[:-1] + 0.5) / (toxic[-1] + 1)) - np.log((clean[:-1] + 0.5) / (clean[-1] + 1))
     sure = ratio / np.sqrt(1 / (toxic[:-1] + 0.5) + 1 / (clean[:-1] + 0.5)) > MIN_Z
-    return np.where((toxic[:-1] >= MIN_DOCS) & sure, 0.3 * ratio, 0.0)
+    return np.where((toxic[:-1] >= MIN_DOCS) & sure, 0.6 * ratio, 0.0)
 
 
 def train(bags: DataFrame, steps: int = STEPS, rate: float = RATE) -> tuple[np.ndarray, float]:
