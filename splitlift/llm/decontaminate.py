@@ -7,11 +7,11 @@ becomes a tile, again and again. Tiles may lie in any order, so a passage whose
 sentences were shuffled is still covered. A document is contaminated by an item
 when tiles cover ``COVERAGE`` of the item's tokens.
 
-1. The benchmark's seeds - Karp-Rabin hashes of its runs of MIN_MATCH tokens - set
-   bits of a table of fixed size, built by Spark from per-task tables. It is the
+1. The benchmark's seeds - Karp-Rabin hashes of its runs of MIN_MATCH tokens - each
+   set two bits of a table of fixed size, built by Spark from per-task tables. It is the
    one thing broadcast, 2 MB for a benchmark of any size; a fuller table only lets
    more documents through to the join.
-2. One scan hashes the runs of all documents and keeps those whose bit is set; only
+2. One scan hashes the runs of all documents and keeps those whose bits are set; only
    documents with such seeds are written, with their token hashes.
 3. Seeds of documents and items are joined; the pairs that share one are tiled,
    each pair a row of its own, in Arrow batches.
@@ -54,8 +54,9 @@ def _tokens(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Words, np.n
         yield rows, words, words.hashes()
 
 
-def _bit(seeds: np.ndarray) -> np.ndarray:
-    return (seeds >> U(64 - TABLE_BITS)).astype(np.int64)
+def _bits(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A seed's two places in the table, from both ends of its hash."""
+    return (seeds >> U(64 - TABLE_BITS)).astype(np.int64), (seeds & U((1 << TABLE_BITS) - 1)).astype(np.int64)
 
 
 def item_tokens(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
@@ -84,18 +85,20 @@ def seed_table(items: DataFrame) -> tuple[np.ndarray, list[int]]:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << TABLE_BITS, bool)
         for batch in batches:
-            table[_bit(np.asarray(batch.column("seeds").flatten()).view(U))] = True
-        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([np.packbits(table).tobytes()], pa.binary())],
-                                         names=["k", "part"])
-
-    def merge(table: pa.Table) -> pa.Table:
-        out = np.zeros((1 << TABLE_BITS) // 8, np.uint8)
-        for part in table.column("part"):
-            out |= np.frombuffer(part.as_py(), np.uint8)
-        return pa.table({"k": pa.array([0]), "part": pa.array([out.tobytes()], pa.binary())})
-
-    parts = items.select("seeds").mapInArrow(mark, "k long, part binary")
-    bits = parts.groupBy("k").applyInArrow(merge, "k long, part binary").collect()
+            for places in _bits(np.asarray(batch.column("seeds").flatten()).view(U)):
+                table[places] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(table).tobytes()], pa.binary())], names=["part"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((1 << TABLE_BITS) // 8, np.uint8)  # one table at a time is added to this one
+        for batch in batches:
+            for part in batch.column("part"):
+                out |= np.frombuffer(part.as_py(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["part"])
+
+    parts = items.select("seeds").mapInArrow(mark, "part binary")
+    lanes = parts.repartition(8).mapInArrow(merge, "part binary")  # tables of 2 MB, added in two rounds
+    bits = lanes.repartition(1).mapInArrow(merge, "part binary").collect()
     table = np.unpackbits(np.frombuffer(bits[0].part, np.uint8)).astype(bool) if bits else np.zeros(1 << TABLE_BITS, bool)
     return table, sorted(r.need for r in items.where("size(seeds) > 0").select("need").distinct().collect())
 
@@ -111,7 +114,8 @@ def seeded_documents(docs: DataFrame, table: np.ndarray, lengths: list[int]) ->
                 found, owner = [np.zeros(0, U)], [np.zeros(0, np.int64)]
                 for size in lengths:
                     grams, at = gram_hashes(h, words.row, size)
-                    hit = bits[_bit(grams)]
+                    one, two = _bits(grams)
+                    hit = bits[one] & bits[two]
                     found.append(grams[hit])
                     owner.append(words.row[at[hit]])
                 seeds, rows_of = np.concatenate(found), np.concatenate(owner)
