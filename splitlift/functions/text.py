@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+import string
 import unicodedata
 
 import pandas as pd
@@ -40,6 +41,18 @@ def _fold_char_strict(ch: str) -> str:
     return re.sub("[^A-Z0-9 ]+", "", marks_off)
 
 
+def _ranges(chars: list[str]) -> str:
+    """Characters as the ranges of a character class (a class that lists hundreds of
+    them one by one is tried one by one)."""
+    out: list[list[str]] = []
+    for ch in sorted(chars):
+        if out and ord(ch) == ord(out[-1][1]) + 1:
+            out[-1][1] = ch
+        else:
+            out.append([ch, ch])
+    return "".join(f"{a}-{b}" for a, b in out)
+
+
 def _table(fold) -> tuple[str, str, str]:
     """Arguments of ``translate`` - the letters that become one character, then those
     that vanish, and the characters they become - and all these letters as a class.
@@ -47,7 +60,8 @@ def _table(fold) -> tuple[str, str, str]:
     letters = [chr(c) for c in _LETTERS if chr(c).isalpha()]
     one = [c for c in letters if len(fold(c)) == 1]
     none = [c for c in letters if not fold(c)]
-    return "".join(one + none), "".join(map(fold, one)), "".join(one + none)
+    small = string.ascii_lowercase  # upper-cased in the same pass
+    return small + "".join(one + none), small.upper() + "".join(map(fold, one)), _ranges(one + none)
 
 
 _FOLD_FROM, _FOLD_TO, _FOLD_CLASS = _table(_fold_char)
@@ -101,9 +115,10 @@ def _fold_strict_udf(values: pd.Series) -> pd.Series:
 
 
 def _decode(c: Column) -> Column:
+    decoded = c
     for entity, char in _ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
+    return F.when(c.contains("&"), decoded).otherwise(c)
 
 
 def _squeeze(c: Column) -> Column:
@@ -112,13 +127,13 @@ def _squeeze(c: Column) -> Column:
 
 def _native_fold(c: Column) -> Column:
     plain = F.translate(_decode(c), _FOLD_FROM, _FOLD_TO)
-    return F.when(c == "", F.lit(None)).otherwise(_squeeze(F.upper(plain)))
+    return F.when(c == "", F.lit(None)).otherwise(_squeeze(plain))
 
 
 def _native_fold_strict(c: Column) -> Column:
     word = "A-Za-z0-9_" + _STRICT_CLASS
     trimmed = F.regexp_replace(_squeeze(_decode(c)), f"^[^{word}]+|[^{word}]+$", "")
-    plain = F.upper(F.translate(trimmed, _STRICT_FROM, _STRICT_TO))
+    plain = F.translate(trimmed, _STRICT_FROM, _STRICT_TO)
     return _squeeze(F.regexp_replace(plain, "[^A-Z0-9 ]+", ""))
 
 
@@ -128,7 +143,8 @@ def is_native(c: Column, strict: bool = False) -> Column:
     rest = c
     for entity, _ in _ENTITIES:
         rest = F.replace(rest, F.lit(entity), F.lit(""))
-    return c.rlike(_native_rows(_STRICT_CLASS if strict else _FOLD_CLASS)) & ~rest.contains("&")
+    known = ~c.contains("&") | ~rest.contains("&")
+    return c.rlike(_native_rows(_STRICT_CLASS if strict else _FOLD_CLASS)) & known
 
 
 def clean_text(c: Column | str, strict: bool = False) -> Column:
