@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
-
 # Fixed values of the derivation (FIXTURES.md §3).
 # Regions, offsets, an unknown name and no zone at all, by order key mod 8.
 ZONES = ("America/Sao_Paulo", "America/Manaus", "UTC", "-03:00", "GMT+5", "Europe/Berlin", "Mars/Base", None)
