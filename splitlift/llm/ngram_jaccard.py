@@ -8,21 +8,26 @@ counts. Two sets share at most the sum, over groups, of the smaller count, so a
 pair whose sum of minima is under what Jaccard 0.8 needs is no link. A page of
 points has the group-wise maximum as its rectangle, which bounds all its points.
 
-Root of the tree. With one group per shingle hash the same bound says: of a set
-of n, any n - ceil(0.8 n) + 1 coordinates must hold one that a partner shares -
-otherwise the minima cannot reach 0.8 n. Each class is therefore listed under
-that many of its coordinates, the rarest by a table of ``GROUPS`` group totals
-over all documents. Coordinates that list one class are dropped: most classes end
-here. What is left is the directory of (coordinate, class).
+Root of the tree. Sets of a and b shingles with Jaccard 0.8 differ in at most
+d = (a + b) / 9 shingles, so their counts - and contents - differ in at most d
+groups. Hashed into m > d groups, they agree wholly in m - d of them; so, with the
+groups of both in one order, ``SHARED`` of the first d + SHARED are common. Each class
+is listed under that many of its groups, as (m, group, contents), the fullest first:
+an entry of several shingles is rarely shared by documents that merely quote the
+same passage. m is a power of two chosen by size; a set also uses the m of the
+smaller partners it may have. Entries that list one class are dropped, then classes
+with fewer than SHARED entries left: most classes end here. What is left is the
+directory of (coordinate, class).
 
 Leaves. Classes of one home coordinate (their longest list) are dealt into pages
-of about ``LEAF`` points. Then, twice:
-  page pairs -> bound by rectangles, then by points -> exact check of the pairs
-  that survive, page by page.
-Phase 1 pairs each page with one hub page of its home list, which joins groups of
-near copies at a cost linear in their number. Phase 2 pairs, on every shared
-coordinate, pages that hold points not yet joined to each other, so no link
-between components is missed; pages of one component are not paired again.
+of about ``LEAF`` points, with their vectors and sets. Then, in two phases:
+1. Links inside each page, then between each page and one hub page of its home
+   list: groups of near copies are joined at a cost linear in their number.
+2. On every shared coordinate, pages that hold points not joined to each other yet,
+   so that no link between components is missed. Pages of one component are not
+   paired again, and large components get pages of their own.
+Page pairs are bound by rectangles, then by points; the pairs that survive are
+checked exactly.
 
 Components come from alternating stars; copies of a text are never expanded.
 
@@ -33,6 +38,7 @@ class; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -44,12 +50,14 @@ from pyspark.sql import functions as F
 from ._graph import connected_components
 from ._io import cut
 from ._pack import pack_texts, unpack_texts
+from ._rows import drop_rows, row_key
 from ._text import U, Words, gram_hashes, mix, powers, slices
 
 SHINGLE = 5
 PERCENT = 80
-GROUPS = 1 << 18  # groups of the frequency table: 2 MB whatever the corpus
-LEAF = 64  # points of a page, of PAGE_SHINGLES / LEAF shingles each
+SHARED = 4  # entries that linked sets of SHARED_FROM shingles or more have in common
+SHARED_FROM = 64  # smaller ones have one in common at least
+LEAF = 128  # points of a page, of PAGE_SHINGLES / LEAF shingles each
 PAGE_SHINGLES = LEAF * 512
 
 
@@ -71,90 +79,115 @@ def _shingles(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     return grams, np.searchsorted(rows, np.arange(len(offsets)))
 
 
-def group_totals(docs: DataFrame, k: int = SHINGLE) -> np.ndarray:
-    """Shingles per group over all documents: GROUPS numbers, summed per task and
-    then per block of groups by Spark."""
-    blocks = 16
-    width = GROUPS // blocks
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(GROUPS, np.int64)
-        for batch in batches:
-            for _, raw, offsets in slices(batch, "text"):
-                grams, _ = _shingles(raw, offsets, k)
-                total += np.bincount((grams >> U(46)).astype(np.int64), minlength=GROUPS)
-        small = total.astype(np.int32) if total.max() < 2**31 else total
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(blocks, dtype=np.int32)),
-             pa.array([small[i * width:(i + 1) * width].astype(np.int64).tobytes() for i in range(blocks)],
-                      pa.binary())], names=["block", "part"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(width, np.int64)
-        for part in table.column("part"):
-            total += np.frombuffer(part.as_py(), np.int64)
-        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()),
-                         "part": pa.array([total.tobytes()], pa.binary())})
-
-    summed = (docs.select("text").mapInArrow(count, "block int, part binary")
-              .groupBy("block").applyInArrow(add, "block int, part binary"))
-    out = np.zeros(GROUPS, np.int64)
-    for row in summed.collect():  # 16 rows
-        out[row.block * width:(row.block + 1) * width] = np.frombuffer(row.part, np.int64)
-    return out
-
-
 def needed(n, percent: int = PERCENT):
     """Least overlap that a set of ``n`` needs with any partner."""
     return (percent * n + 99) // 100
 
 
-def set_rows(docs: DataFrame, totals: np.ndarray, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(id, dk, cls, n, lead): class and size of each document's set, and its leading
-    coordinates. A class gives its leading coordinates once per slice."""
-    rarity = docs.sparkSession.sparkContext.broadcast(totals)
+def most_different(a: int, b: int, percent: int = PERCENT) -> int:
+    """Most shingles in which linked sets of ``a`` and ``b`` can differ."""
+    return (a + b) * (100 - percent) // (100 + percent)
+
+
+def groups_for(n: int, percent: int = PERCENT) -> int:
+    """Number of groups for the smaller set of a pair, a power of two: well over the
+    differing shingles, in small sets so many that enough groups are not empty."""
+    least = 1.4 * most_different(100 * n, 100 * (100 * n // percent), percent) / 100
+    return 1 << max(1, int(np.ceil(np.log2(max(least, 1) * (4 if n < 32 else 1)))))
+
 
+@functools.lru_cache(maxsize=100_000)
+def group_plan(n: int, percent: int = PERCENT) -> tuple[tuple[int, int], ...]:
+    """(groups, entries) for a set of ``n``: as the smaller set, then for the groupings
+    of smaller partners."""
+    own = groups_for(n, percent)
+    low = needed(n, percent)
+    plan = {own: most_different(n, 100 * n // percent, percent) + SHARED}
+    for a in {low, *(x for x in (31, 32) if low <= x <= n)}:
+        plan.setdefault(groups_for(a, percent), most_different(n, n, percent) + SHARED)
+    return tuple(plan.items())
+
+
+def entries(own: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The directory coordinates of a set (its distinct hashes)."""
+    out = []
+    mixed = mix(own)
+    for size, take in group_plan(len(own), percent):
+        group = (own & U(size - 1)).astype(np.int64)
+        count = np.bincount(group, minlength=size)
+        order = np.argsort(group, kind="stable")
+        total = np.concatenate([[U(0)], np.cumsum(mixed[order], dtype=U)])
+        ends = np.cumsum(count)
+        inside = total[ends] - total[ends - count]  # sums wrap around, as differences do
+        code = mix(inside + mix(np.arange(size, dtype=U) + U(size)) + count.astype(U))
+        out.append(code[np.lexsort((code, -count))[:take]])
+    return np.concatenate(out)
+
+
+def _class_key(own: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def set_rows(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """(id, dk, cls, n): class and size of each document's set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, raw, offsets in slices(batch, "text"):
                 grams, first = _shingles(raw, offsets, k)
-                cls, n, lead, given = [], [], [], set()
-                for i in range(rows.num_rows):
-                    own = np.unique(grams[first[i]:first[i + 1]])
-                    n.append(len(own))
-                    if not len(own):
-                        cls.append(None)
-                        lead.append(None)
-                        continue
-                    key = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
-                    cls.append(key)
-                    if key in given:
-                        lead.append(None)
-                        continue
-                    given.add(key)
-                    rare = np.argsort(rarity.value[(own >> U(46)).astype(np.int64)], kind="stable")
-                    lead.append(own[rare[:len(own) - needed(len(own), percent) + 1]].view(np.int64))
+                sets = [np.unique(grams[a:b]) for a, b in zip(first, first[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("id"), rows.column("dk"), pa.array(cls, pa.int64()), pa.array(n, pa.int64()),
-                     pa.array(lead, pa.list_(pa.int64()))], names=["id", "dk", "cls", "n", "lead"])
-    return docs.mapInArrow(run, "id long, dk long, cls long, n long, lead array<long>")
+                    [rows.column("id"), rows.column("dk"),
+                     pa.array([_class_key(s) if len(s) else None for s in sets], pa.int64()),
+                     pa.array([len(s) for s in sets], pa.int64())], names=["id", "dk", "cls", "n"])
+    return docs.mapInArrow(run, "id long, dk long, cls long, n long")
 
 
-def directory(sets: DataFrame) -> DataFrame:
+def entry_rows(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(coord, cls): all classes under their coordinates, a class once per slice."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, raw, offsets in slices(batch, "text"):
+                grams, first = _shingles(raw, offsets, k)
+                given: dict[int, np.ndarray] = {}
+                for a, b in zip(first, first[1:]):
+                    if b > a:
+                        own = np.unique(grams[a:b])
+                        key = _class_key(own)
+                        if key not in given:
+                            given[key] = entries(own, percent)
+                if given:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(list(given.values())).view(np.int64)),
+                         pa.array(np.repeat(np.fromiter(given, np.int64), [len(v) for v in given.values()]))],
+                        names=["coord", "cls"])
+    return docs.select("text").mapInArrow(run, "coord long, cls long")
+
+
+def directory(listed: DataFrame) -> DataFrame:
     """(coord, cls, size): coordinates that list two classes or more."""
     same = Window.partitionBy("coord")
-    listed = (sets.where("lead is not null").select("cls", F.explode("lead").alias("coord"))
-              .withColumn("low", F.min("cls").over(same)).withColumn("high", F.max("cls").over(same))
+    listed = (listed.withColumn("low", F.min("cls").over(same)).withColumn("high", F.max("cls").over(same))
               .withColumn("size", F.count(F.lit(1)).over(same)).where("low < high"))
     return listed.select("coord", "cls", "size").dropDuplicates(["coord", "cls"])
 
 
-def points(docs: DataFrame, sets: DataFrame, listed: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(cls, n, counts, hashes) of the listed classes: group counts (16-bit, n / 4
-    groups or more) and the exact set, from one document of each class."""
+def leaves(sets: DataFrame, listed: DataFrame) -> DataFrame:
+    """(cls, n, home, page): where each listed class lies."""
+    size = sets.where("cls is not null").groupBy("cls").agg(F.first("n").alias("n"))
+    enough = F.col("entries") >= F.when(F.col("n") >= SHARED_FROM, SHARED).otherwise(1)
+    homes = (listed.groupBy("cls").agg(F.max(F.struct("size", "coord")).alias("h"), F.count(F.lit(1)).alias("entries"))
+             .join(size, "cls").where(enough).select("cls", "n", F.col("h.coord").alias("home")))
+    members = homes.groupBy("home").agg(F.count(F.lit(1)).alias("members"))
+    return homes.join(members, "home").select("cls", "n", "home", _page(
+        F.col("home"), F.col("members"), F.col("n")).alias("page"))
+
+
+def page_points(docs: DataFrame, sets: DataFrame, placed: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """(page, p): the points of each page, with their group counts (16-bit, n / 4
+    groups or more) and exact sets, from one document of each class."""
     reps = (sets.where("cls is not null").groupBy("cls").agg(F.min("dk").alias("dk"))
-            .join(listed.select("cls").distinct(), "cls", "left_semi"))
-    joined = pack_texts(docs.select("dk", "text"), ["dk"]).join(reps, "dk").select("cls", "z")
+            .join(placed.select("cls", "page"), "cls"))
+    joined = pack_texts(docs.select("dk", "text"), ["dk"]).join(reps, "dk").select("page", "cls", "z")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -169,10 +202,11 @@ def points(docs: DataFrame, sets: DataFrame, listed: DataFrame, k: int = SHINGLE
                                   .astype(np.uint16).tobytes())
                     hashes.append(own.tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("cls"), pa.array(n, pa.int64()), pa.array(counts, pa.binary()),
-                     pa.array(hashes, pa.binary())], names=["cls", "n", "counts", "hashes"])
-    out = joined.mapInArrow(run, "cls long, n long, counts binary, hashes binary")
-    return out.dropDuplicates(["cls"])
+                    [rows.column("page"), rows.column("cls"), pa.array(n, pa.int64()), pa.array(counts, pa.binary()),
+                     pa.array(hashes, pa.binary())], names=["page", "cls", "n", "counts", "hashes"])
+    out = joined.mapInArrow(run, "page long, cls long, n long, counts binary, hashes binary")
+    return out.groupBy("page").agg(F.collect_list(F.struct(
+        "cls", F.col("cls").alias("comp"), "n", "counts", "hashes")).alias("p"))
 
 
 def _fold(counts: np.ndarray, size: int) -> np.ndarray:
@@ -239,35 +273,45 @@ def _links(x: list, y: list, same: bool, percent: int) -> list[tuple[int, int]]:
     return found
 
 
-def check_pairs(pairs: DataFrame, placed: DataFrame, pts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) found by the page pairs (x, y); placed: (cls, comp, page)."""
-    def paged(what: list[str], only: DataFrame) -> DataFrame:
-        return (placed.join(only, "page", "left_semi").join(pts.select("cls", *what), "cls").groupBy("page")
-                .agg(F.collect_list(F.struct("cls", "comp", *what)).alias("p")))
+_LINKS = "a long, b long"
+
+
+def _link_rows(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()),
+                                       pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+
+
+def links_within(pages: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between points of one page."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for points in batch.column("p"):
+                if len(points) > 1:
+                    x = points.as_py()
+                    yield _link_rows(_links(x, x, True, percent))
+    return pages.select("p").mapInArrow(run, _LINKS)
+
 
-    def with_pages(of: DataFrame, what: list[str]) -> DataFrame:
-        used = of.select(F.col("x").alias("page")).union(of.select(F.col("y").alias("page"))).distinct()
-        pages = paged(what, used)
-        return (of.join(pages.select(F.col("page").alias("x"), F.col("p").alias("px")), "x")
-                .join(pages.select(F.col("page").alias("y"), F.col("p").alias("py")), "y"))
+def links_between(pairs: DataFrame, pages: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between the pages of each pair (x, y), x and y different."""
+    def with_points(of: DataFrame, *fields: str) -> DataFrame:
+        part = F.transform("p", lambda q: F.struct(*[q[f].alias(f) for f in ("cls", "comp", *fields)]))
+        px = pages.select(F.col("page").alias("x"), part.alias("px"))
+        py = pages.select(F.col("page").alias("y"), part.alias("py"))
+        return of.join(px, "x").join(py, "y")
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [_may_link(batch.column("px")[i].as_py(), batch.column("py")[i].as_py(),
-                              batch.column("x")[i] == batch.column("y")[i], percent)
-                    for i in range(batch.num_rows)]
+            keep = [_may_link(x.as_py(), y.as_py(), False, percent)
+                    for x, y in zip(batch.column("px"), batch.column("py"))]
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for i in range(batch.num_rows):
-                found += _links(batch.column("px")[i].as_py(), batch.column("py")[i].as_py(),
-                                batch.column("x")[i] == batch.column("y")[i], percent)
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()),
-                                              pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
-    surviving = cut(with_pages(pairs, ["n", "counts"]).mapInArrow(bound, "x long, y long"), "pages")
-    return cut(with_pages(surviving, ["hashes"]).mapInArrow(verify, "a long, b long"), "links")
+            for x, y in zip(batch.column("px"), batch.column("py")):
+                yield _link_rows(_links(x.as_py(), y.as_py(), False, percent))
+    surviving = cut(with_points(pairs, "n", "counts").mapInArrow(bound, "x long, y long"), "pairs")
+    return with_points(surviving, "hashes").mapInArrow(verify, _LINKS)
 
 
 def _page(head, members, n):
@@ -277,41 +321,46 @@ def _page(head, members, n):
     return F.xxhash64(head, F.pmod(F.xxhash64("cls"), spread))
 
 
-def class_components(listed: DataFrame, pts: DataFrame, percent: int = PERCENT) -> DataFrame:
+def class_components(listed: DataFrame, placed: DataFrame, pages: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, comp) over classes with a link."""
-    homes = (listed.groupBy("cls").agg(F.max(F.struct("size", "coord")).alias("h"))
-             .join(pts.select("cls", "n"), "cls")
-             .select("cls", "n", F.col("h.coord").alias("home"), F.col("h.size").alias("members")))
-    first = cut(homes.select("cls", "n", "home", "members", F.col("cls").alias("comp"),
-                             _page(F.col("home"), F.col("members"), F.col("n")).alias("page")), "leaves")
-    # Phase 1: every page with itself and with the hub page of its home list.
-    hubs = (listed.select("coord", "cls").join(first.select("cls", "page"), "cls")
-            .groupBy("coord").agg(F.min("page").alias("y")))
-    pairs = (first.select(F.col("page").alias("x"), F.col("home").alias("coord")).distinct()
-             .join(hubs, "coord").select("x", "y")
-             .union(first.select(F.col("page").alias("x"), F.col("page").alias("y"))).distinct())
-    links = check_pairs(pairs, first.select("cls", "comp", "page"), pts, percent)
-
-    # Phase 2: on every coordinate, pages whose points are not joined yet.
+    # Phase 1: every page, then with the hub page of its home list.
+    within = cut(links_within(pages, percent), "links")
+    on_page = listed.select("coord", "cls").join(placed.select("cls", "page"), "cls").select("coord", "page")
+    hubs = on_page.groupBy("coord").agg(F.min("page").alias("y"))
+    pairs = (placed.select(F.col("page").alias("x"), F.col("home").alias("coord")).distinct()
+             .join(hubs, "coord").where("x <> y").select("x", "y").distinct())
+    hub_links = cut(links_between(pairs, pages, percent), "links")
+    links = within.unionByName(hub_links)
+
+    # Phase 2: on every coordinate, pages whose points are not joined yet. Points of
+    # small components stay on their pages, which phase 1 has gone through.
     joined = cut(connected_components(links), "components")
     sizes = joined.groupBy("comp").agg(F.count(F.lit(1)).alias("comp_size"))
-    known = (first.drop("comp", "page").join(joined.withColumnRenamed("node", "cls"), "cls", "left")
-             .join(sizes, "comp", "left")
+    known = (placed.join(joined.withColumnRenamed("node", "cls"), "cls", "left").join(sizes, "comp", "left")
              .withColumn("comp", F.coalesce("comp", "cls"))
              .withColumn("own", F.coalesce("comp_size", F.lit(1)) > LEAF))
     second = cut(known.select("cls", "comp", F.when(
-        F.col("own"), _page(F.col("comp"), F.col("comp_size"), F.col("n"))).otherwise(
-        _page(F.col("home"), F.col("members"), F.col("n"))).alias("page")), "leaves")
+        F.col("own"), _page(F.col("comp"), F.col("comp_size"), F.col("n"))).otherwise(F.col("page")).alias("page")),
+        "leaves")
+    # Coordinates that list the same pages count once: a list is known by the number
+    # of its pages and the sum (bitwise) of their hashes.
     same = Window.partitionBy("coord")
     open_ = (listed.select("coord", "cls").join(second, "cls")
              .groupBy("coord", "page").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
              .withColumn("low", F.min("c0").over(same)).withColumn("high", F.max("c1").over(same))
-             .where("low < high").select("coord", "page", "c0", "c1"))
-    left = open_.select("coord", F.col("page").alias("x"), F.col("c0").alias("x0"), F.col("c1").alias("x1"))
-    right = open_.select("coord", F.col("page").alias("y"), F.col("c0").alias("y0"), F.col("c1").alias("y1"))
-    rest = (left.join(right, "coord").where(
-        "x <= y and not (x0 = x1 and y0 = y1 and x0 = y0)").select("x", "y").distinct())
-    more = check_pairs(rest, second, pts, percent)
+             .withColumn("list", F.xxhash64(F.count(F.lit(1)).over(same), F.bit_xor(F.xxhash64("page")).over(same)))
+             .where("low < high").select("list", "page").distinct())
+    spans = second.groupBy("page").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    open_ = open_.join(spans, "page")
+    left = open_.select("list", F.col("page").alias("x"), F.col("c0").alias("x0"), F.col("c1").alias("x1"))
+    right = open_.select("list", F.col("page").alias("y"), F.col("c0").alias("y0"), F.col("c1").alias("y1"))
+    rest = cut(left.join(right, "list").where("x < y and not (x0 = x1 and y0 = y1 and x0 = y0)")
+               .select("x", "y").distinct(), "pairs")
+    used = rest.select(F.col("x").alias("page")).union(rest.select("y")).distinct()
+    again = (pages.select(F.explode("p").alias("q")).select("q.cls", "q.n", "q.counts", "q.hashes")
+             .join(second.select("cls", "comp", "page").join(used, "page", "left_semi"), "cls")
+             .groupBy("page").agg(F.collect_list(F.struct("cls", "comp", "n", "counts", "hashes")).alias("p")))
+    more = links_between(rest, cut(again, "pages"), percent)
     return connected_components(links.unionByName(more))
 
 
@@ -319,12 +368,13 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                        k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the smallest id that
     links reach), and ``dk``, a key of id and text for joining back."""
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, text_col).alias("dk"),
+    docs = df.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("dk"),
                      F.col(text_col).alias("text"))
-    sets = cut(set_rows(docs, group_totals(docs, k), k, percent), "sets")
-    listed = cut(directory(sets), "directory")
-    pts = cut(points(docs, sets, listed, k), "points")
-    comps = class_components(listed, pts, percent)
+    sets = cut(set_rows(docs, k), "sets")
+    listed = cut(directory(entry_rows(docs, k, percent)), "directory")
+    placed = cut(leaves(sets, listed), "leaves")
+    pages = cut(page_points(docs, sets, placed, k), "pages")
+    comps = class_components(listed, placed, pages, percent)
     # Classes first, so that copies of a text are one row when components are joined.
     least = sets.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"))
     classes = (least.join(comps.withColumnRenamed("node", "cls"), "cls", "left")
@@ -339,9 +389,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def keep_one_per_component(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` whose id is their component's id (one row of each), with
-    all their columns."""
-    stay = (jaccard_components(df, id_col, text_col)
-            .where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col("dk").alias("__dk")))
-    rows = df.withColumn("__own", F.xxhash64(id_col, text_col))
-    return (rows.join(stay, F.col("__own") == F.col("__dk"), "left_semi")
-            .dropDuplicates(["__own"]).select(*df.columns))
+    all their columns. Rows with a NULL id stay if nothing else of theirs does."""
+    found = cut(jaccard_components(df, id_col, text_col), "components")
+    drop = found.where(~F.col(id_col).eqNullSafe(F.col("component_id")))
+    again = found.groupBy("dk").count().where("count > 1")
+    return drop_rows(df, drop, id_col, text_col, again)
