@@ -16,6 +16,8 @@ LIBRARY_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Arrow batches of long texts by bytes, not only by rows: Python workers hold a few.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
