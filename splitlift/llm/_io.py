@@ -19,7 +19,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
     The files are in the folder all executors share, so a lost executor costs
     only its running tasks and never replays what is above the cut."""
-    spark = df.sparkSession
+    spark = apply_library_conf(df.sparkSession)
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm_{name}_{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
