@@ -39,8 +39,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = default_vocabulary()
-    return bpe.bpe_digest(bpe.bpe_decode(bpe.bpe_encode(docs, path), path))
+    return bpe.bpe_digest(bpe.bpe_round_trip(docs, default_vocabulary()))
 
 
 STAGES = [

@@ -281,8 +281,9 @@ def encoded_rows(rows: DataFrame, vocabulary) -> DataFrame:
     return rows.groupBy("key").applyInArrow(run, _SCHEMA)
 
 
-def _place(group: pa.Table) -> pa.Table:
-    """Ids of a block's documents: word numbers replaced by the words' ids."""
+def _place(group: pa.Table, table: tuple[np.ndarray, np.ndarray] | None = None) -> pa.Table:
+    """Ids of a block's documents: word numbers replaced by the words' ids. With the
+    id-to-piece table, their decoded texts as well."""
     rows = sorted(group.to_pylist(), key=lambda r: (r["key"] < 0, r["first"]))
     lists = [r for r in rows if r["key"] >= 0]
     size = np.concatenate([np.zeros(0, np.uint32), *(_numbers(r["sizes"]) for r in lists)]).astype(np.int64)
@@ -298,44 +299,70 @@ def _place(group: pa.Table) -> pa.Table:
             to = min(at + 500, len(row["id"]))
             ids, stops = _gather(flat, heads, size, codes[ends[at]:ends[to]])
             cuts = stops[ends[at:to + 1] - ends[at]].astype(np.int32)
-            out.append(pa.RecordBatch.from_arrays(
+            batch = pa.RecordBatch.from_arrays(
                 [pa.array(row["id"][at:to], pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids))], names=["id", "ids"]))
-    return pa.Table.from_batches(out, schema=pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
+                 pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids))], names=["id", "ids"])
+            out.append(batch if table is None else _decoded(batch, *table))
+    fields = [("id", pa.int64()), ("ids", pa.list_(pa.int32()))] + [("text", pa.string())] * (table is not None)
+    return pa.Table.from_batches(out, schema=pa.schema(fields))
+
+
+def _decoded(batch: pa.RecordBatch, flat: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    """The batch with ``text``: its ids joined with the pieces (bytes, sizes)."""
+    ids = batch.column("ids")
+    ends = np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths()), dtype=np.int64)])
+    raw, stops = _gather(flat, np.cumsum(sizes) - sizes, sizes, np.asarray(ids.flatten()).astype(np.int64))
+    body, cuts = raw.tobytes(), stops[ends].tolist()
+    texts = [body[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+    return batch.append_column("text", pa.array(texts, pa.string()))
+
+
+def _piece_table(df: DataFrame, path: str):
+    table = pieces(read_vocabulary(path))
+    sizes = np.array([len(p) for p in table], np.int64)
+    return df.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(table), np.uint8), sizes))
+
+
+def _encoded(df: DataFrame, path: str, id_col: str, text_col: str, limit: int, buckets: int | None) -> DataFrame:
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    vocabulary = df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
+    return encoded_rows(split_rows(docs, vocabulary, limit, buckets), vocabulary)
 
 
 def bpe_encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
                limit: int = BLOCK_BYTES, buckets: int | None = None) -> DataFrame:
     """One row per input row: id and ``ids``, its tokens' ids in order."""
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    vocabulary = df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
-    rows = encoded_rows(split_rows(docs, vocabulary, limit, buckets), vocabulary)
-    return (rows.groupBy("block").applyInArrow(_place, "id long, ids array<int>")
-            .withColumnRenamed("id", id_col))
+    rows = _encoded(df, path, id_col, text_col, limit, buckets)
+
+    def place(group: pa.Table) -> pa.Table:
+        return _place(group)
+    return rows.groupBy("block").applyInArrow(place, "id long, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``encoded`` (id, ids) with the decoded text."""
-    table = pieces(read_vocabulary(path))
-    sizes = np.array([len(p) for p in table], np.int64)
-    shared = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(table), np.uint8), sizes))
+    shared = _piece_table(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, sizes = shared.value
-        heads = np.cumsum(sizes) - sizes
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                ids = batch.column("ids")
-                ends = np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths()), dtype=np.int64)])
-                raw, stops = _gather(flat, heads, sizes, np.asarray(ids.flatten()).astype(np.int64))
-                body, cuts = raw.tobytes(), stops[ends].tolist()
-                texts = [body[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
-                yield batch.append_column("text", pa.array(texts, pa.string()))
+                yield _decoded(whole.slice(at, 1000), *shared.value)
     out = encoded.select(F.col(id_col).alias("id"), "ids").mapInArrow(run, "id long, ids array<int>, text string")
     return out.withColumnsRenamed({"id": id_col, "text": text_col})
 
 
+def bpe_round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
+                   limit: int = BLOCK_BYTES, buckets: int | None = None) -> DataFrame:
+    """``bpe_decode(bpe_encode(df))`` with both joins in one task per block, so that an
+    executor runs one Python worker per core and ids pass through it once."""
+    rows, shared = _encoded(df, path, id_col, text_col, limit, buckets), _piece_table(df, path)
+
+    def place(group: pa.Table) -> pa.Table:
+        return _place(group, shared.value)
+    out = rows.groupBy("block").applyInArrow(place, "id long, ids array<int>, text string")
+    return out.withColumnsRenamed({"id": id_col, "text": text_col})
+
+
 def bpe_digest(decoded: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The contract's columns, from ``bpe_decode``."""
     return decoded.select(

@@ -30,9 +30,7 @@ def op5_secret_scan(spark, sf_dir):
 
 
 def op6_bpe(spark, sf_dir):
-    path = default_vocabulary()
-    encoded = bpe.bpe_encode(table(spark, sf_dir, "documents"), path)
-    return bpe.bpe_digest(bpe.bpe_decode(encoded, path))
+    return bpe.bpe_digest(bpe.bpe_round_trip(table(spark, sf_dir, "documents"), default_vocabulary()))
 
 
 def op7_token_counts(spark, sf_dir):
