@@ -20,10 +20,11 @@ anchors - about one word in seven - and an anchor that occurs once in the corpus
    recur within a slice are decided there, the earliest alone travels on.
 4. Suffix groups by variable-length prefix: the 8-word prefix, or all 20 words
    where more than ``PREFIX_BUDGET`` suffixes share the 8. Within a partition the
-   suffixes are sorted by prefix and corpus order, the leaves of each subtree in
-   order; a node 20 words deep with two leaves or more is a repeat, and all its
-   leaves but the first are marked. Leaves stream by: one subtree's node labels are
-   all that is held.
+   suffixes are sorted by prefix and corpus order (id and place of the anchor, which
+   lies at one distance from the start in all equal windows), the leaves of each
+   subtree in order; a node 20 words deep with two leaves or more is a repeat, and
+   all its leaves but the first are marked. Leaves stream by: one subtree's node
+   labels, each with the place of its first leaf, are all that is held.
 5. Marked windows meet their documents; runs of them are the maximal repeats.
 
 Defined cases: NULL or blank text has no words; documents under 20 words lose
@@ -129,9 +130,9 @@ def repeated(anchors: DataFrame, budget: int = PREFIX_BUDGET) -> DataFrame:
 
 
 def window_rows(packed: DataFrame, marks: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(key, ord, dk, start, mask, open, hashes): windows start..start+n of one
-    anchor. Bits of ``mask``: windows known to be repeats; ``open`` and ``hashes``
-    are the offsets and hashes of those that are still to be decided."""
+    """(key, ord, dk, at, mask, open, hashes): windows of the anchor at word ``at``;
+    window i starts i words before it. Bits of ``mask``: windows known to be repeats;
+    ``open`` and ``hashes`` are the numbers and hashes of those still to be decided."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for rows, raw, offsets in slices(unpack_texts(whole), "text"):
@@ -139,7 +140,7 @@ def window_rows(packed: DataFrame, marks: DataFrame, window: int = WINDOW, ancho
     joined = packed.join(marks, "dk")
     return joined.select("ord", "dk", "z", F.col("marks.pos").alias("pos"),
                          F.col("marks.long").alias("long")).mapInArrow(
-        run, "key long, ord long, dk long, start int, mask int, open array<int>, hashes array<long>")
+        run, "key long, ord long, dk long, at int, mask int, open array<int>, hashes array<long>")
 
 
 def _window_batch(rows, raw, offsets, window, anchor) -> Iterator[pa.RecordBatch]:
@@ -173,7 +174,7 @@ def _window_batch(rows, raw, offsets, window, anchor) -> Iterator[pa.RecordBatch
     head = np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])]) | single
     head_at = np.flatnonzero(head)
     row = np.cumsum(head) - 1
-    offset = (begin - begin[head_at][row]).astype(np.int32)
+    offset = (at - start).astype(np.int32)
     mask = np.bincount(row, np.where(done, 1 << offset.astype(np.int64), 0), len(head_at)).astype(np.int32)
     open_ = ~done
     ends = np.concatenate([[0], np.cumsum(np.bincount(row[open_], minlength=len(head_at)))]).astype(np.int32)
@@ -182,16 +183,17 @@ def _window_batch(rows, raw, offsets, window, anchor) -> Iterator[pa.RecordBatch
     key = np.where(decided, mix(dk[head_at].view(U) + begin[head_at].astype(U)), key)
     yield pa.RecordBatch.from_arrays([
         pa.array(key.view(np.int64)), pa.array(ord_[head_at]), pa.array(dk[head_at]),
-        pa.array(begin[head_at].astype(np.int32)), pa.array(mask),
+        pa.array((at - words.first[text])[head_at].astype(np.int32)), pa.array(mask),
         pa.ListArray.from_arrays(pa.array(ends), pa.array(offset[open_])),
         pa.ListArray.from_arrays(pa.array(ends), pa.array(code[open_].view(np.int64))),
-    ], names=["key", "ord", "dk", "start", "mask", "open", "hashes"])
+    ], names=["key", "ord", "dk", "at", "mask", "open", "hashes"])
 
 
 def mark_repeats(rows: DataFrame) -> DataFrame:
-    """(ord, dk, start, mask) of rows with repeats: subtrees in sorted order."""
+    """(ord, dk, at, mask) of rows with repeats: subtrees in sorted order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, seen = None, np.zeros(0, np.int64)  # labels of the open subtree's nodes
+        # Labels of the open subtree's nodes, sorted, and the first leaf of each.
+        last_key, seen, seen_ord, seen_place = None, *(np.zeros(0, np.int64) for _ in range(3))
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -199,7 +201,7 @@ def mark_repeats(rows: DataFrame) -> DataFrame:
             open_, hashes = batch.column("open"), batch.column("hashes")
             row = np.repeat(np.arange(len(key)), np.asarray(hashes.value_lengths()))
             code, bit = np.asarray(hashes.flatten()), np.asarray(open_.flatten())
-            place = np.asarray(batch.column("start"))[row] + bit
+            place = np.asarray(batch.column("at"))[row].astype(np.int64) - bit
             ord_ = np.asarray(batch.column("ord"))[row]
             # Leaves come in corpus order; equal labels of one subtree are one node.
             order = np.lexsort((np.arange(len(code)), code, key[row]))
@@ -207,22 +209,30 @@ def mark_repeats(rows: DataFrame) -> DataFrame:
             new = np.concatenate([[True], (c[1:] != c[:-1]) | (k[1:] != k[:-1])]) if len(c) else np.zeros(0, bool)
             lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(c) else np.zeros(0, np.int64)
             o, p = ord_[order], place[order]
-            later = (o != o[lead]) | (p != p[lead])
+            first_ord, first_place = o[lead], p[lead]
             if last_key is not None and len(seen) and key[0] == last_key:
-                later |= (k == last_key) & np.isin(c, seen)
+                at = np.minimum(np.searchsorted(seen, c), len(seen) - 1)
+                known = (k == last_key) & (seen[at] == c)
+                first_ord = np.where(known, seen_ord[at], first_ord)
+                first_place = np.where(known, seen_place[at], first_place)
+            later = (o != first_ord) | (p != first_place)
             hit = np.zeros(len(code), bool)
             hit[order] = later
             mask = np.asarray(batch.column("mask")) | np.bincount(
                 row, np.where(hit, 1 << bit.astype(np.int64), 0), len(key)).astype(np.int32)
-            tail = code[key[row] == key[-1]]
-            seen = np.union1d(seen, tail) if key[-1] == last_key else np.unique(tail)
+            if key[-1] != last_key:
+                seen, seen_ord, seen_place = (x[:0] for x in (seen, seen_ord, seen_place))
             last_key = key[-1]
+            tail = new & (k == last_key)
+            seen, own = np.unique(np.concatenate([seen, c[tail]]), return_index=True)
+            seen_ord = np.concatenate([seen_ord, first_ord[tail]])[own]
+            seen_place = np.concatenate([seen_place, first_place[tail]])[own]
             keep = pa.array(mask != 0)
             yield pa.RecordBatch.from_arrays([
-                batch.column("ord"), batch.column("dk"), batch.column("start"), pa.array(mask)],
-                names=["ord", "dk", "start", "mask"]).filter(keep)
-    sorted_ = rows.repartition("key").sortWithinPartitions("key", "ord", "start")
-    return sorted_.mapInArrow(run, "ord long, dk long, start int, mask int")
+                batch.column("ord"), batch.column("dk"), batch.column("at"), pa.array(mask)],
+                names=["ord", "dk", "at", "mask"]).filter(keep)
+    sorted_ = rows.repartition("key").sortWithinPartitions("key", "ord", "at")
+    return sorted_.mapInArrow(run, "ord long, dk long, at int, mask int")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -234,14 +244,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marks = repeated(anchor_rows(docs, window, anchor), budget)
     marked = mark_repeats(window_rows(pack_texts(docs, ["ord", "dk"]), marks, window, anchor))
     per_doc = (marked.groupBy("dk", "ord")
-               .agg(F.collect_list(F.struct("start", "mask")).alias("m"))
-               .select("dk", "ord", F.col("m.start").alias("start"), F.col("m.mask").alias("mask")))
+               .agg(F.collect_list(F.struct("at", "mask")).alias("m"))
+               .select("dk", "ord", F.col("m.at").alias("at"), F.col("m.mask").alias("mask")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for rows, raw, offsets in slices(unpack_texts(whole), "text"):
                 yield _keep(rows, raw, offsets, window)
-    out = (pack_texts(docs, ["id", "ord", "dk"]).join(per_doc, ["dk", "ord"], "left").select("id", "z", "start", "mask")
+    out = (pack_texts(docs, ["id", "ord", "dk"]).join(per_doc, ["dk", "ord"], "left").select("id", "z", "at", "mask")
            .mapInArrow(run, "id long, kept string, n_words long, n_removed long,"
                             " spans array<struct<start:int,n:int>>"))
     return out.withColumnsRenamed({"id": id_col, "kept": text_col})
@@ -249,13 +259,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _keep(rows, raw, offsets, window) -> pa.RecordBatch:
     words = Words(raw, offsets)
-    starts, masks = rows.column("start"), rows.column("mask")
-    sizes = np.asarray(starts.value_lengths().fill_null(0))
-    first = np.repeat(words.first[:-1], sizes) + np.asarray(starts.flatten())
+    anchors, masks = rows.column("at"), rows.column("mask")
+    sizes = np.asarray(anchors.value_lengths().fill_null(0))
+    anchor = np.repeat(words.first[:-1], sizes) + np.asarray(anchors.flatten())
     mask = np.asarray(masks.flatten())
     depth = np.zeros(len(words) + 1, np.int64)
     for bit in range(window):
-        at = first[(mask >> bit) & 1 == 1] + bit
+        at = anchor[(mask >> bit) & 1 == 1] - bit
         np.add.at(depth, at, 1)
         np.add.at(depth, at + window, -1)
     gone = np.cumsum(depth)[:-1] > 0

@@ -77,3 +77,19 @@ def test_long_text_null_ids_repeated_rows_and_empty(make):
     rows = S.remove_repeats(make([(3, text), (3, text), (None, text)])).select("doc_id", "n_removed").collect()
     assert sorted((r.doc_id or -1, r.n_removed) for r in rows) == [(-1, 30), (3, 0), (3, 0)]
     assert S.remove_repeats(make([])).agg(F.count("*")).first()[0] == 0
+
+
+def test_rows_of_one_id_on_both_sides_of_a_batch_border(make, spark):
+    rnd = random.Random(5)
+    passage = [f"p{i}" for i in range(40)]
+    text = " ".join(passage)
+    same_id = [(9, " ".join([f"w{rnd.random()}" for _ in range(rnd.randint(0, 30))] + passage[rnd.randint(0, 9):]))
+               for _ in range(12)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        assert run(make, [(3, text)] * 5) == brute([(3, text)] * 5)
+        assert run(make, same_id) == brute(same_id)
+        null_ids = S.remove_repeats(make([(None, text + f" t{i}") for i in range(5)])).select("n_removed").collect()
+        assert [r.n_removed for r in null_ids] == [0] * 5
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
