@@ -184,10 +184,11 @@ def leaves(sets: DataFrame, listed: DataFrame) -> DataFrame:
 
 def page_points(docs: DataFrame, sets: DataFrame, placed: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(page, p): the points of each page, with their group counts (16-bit, n / 4
-    groups or more) and exact sets, from one document of each class."""
+    groups or more) and exact sets, from one document of each class (copies of one row share dk)."""
     reps = (sets.where("cls is not null").groupBy("cls").agg(F.min("dk").alias("dk"))
             .join(placed.select("cls", "page"), "cls"))
-    joined = pack_texts(docs.select("dk", "text"), ["dk"]).join(reps, "dk").select("page", "cls", "z")
+    once = pack_texts(docs.select("dk", "text"), ["dk"]).groupBy("dk").agg(F.first("z").alias("z"))
+    joined = once.join(reps, "dk").select("page", "cls", "z")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -29,7 +29,7 @@ anchors - about one word in seven - and an anchor that occurs once in the corpus
 
 Defined cases: NULL or blank text has no words; documents under 20 words lose
 nothing; NULL ids rank last; rows of one id count as one document, so a repeated
-row keeps what its first copy keeps; an empty table gives an empty result; further
+row keeps what its first copy keeps (its windows are made once for all copies); an empty table gives an empty result; further
 columns are ignored.
 """
 
@@ -98,6 +98,8 @@ def anchor_rows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
                 if not len(at):
                     continue
                 at = np.unique(at)
+                _, firsts = np.unique(np.asarray(rows.column("dk")), return_index=True)
+                at = at[np.isin(words.row[at], firsts)]  # copies of a row add nothing
                 key = g[at]
                 dk = np.asarray(rows.column("dk"))[words.row[at]]
                 pos = at - words.first[words.row[at]]
@@ -123,10 +125,11 @@ def repeated(anchors: DataFrame, budget: int = PREFIX_BUDGET) -> DataFrame:
     weight = F.sum("weight").over(Window.partitionBy("grp"))
     rows = cut(anchors.withColumn("total", weight).where("total > 1 and pos is not null")
                .select("key", "dk", "pos"), "anchors")
-    # At most (rows / budget) keys, so 8 bytes of them per million rows: broadcast.
+    # At most (rows / budget) keys, so 8 bytes of them per million rows: broadcast. A
+    # set, so that copies of one row (they share dk) put each anchor there once.
     over = rows.groupBy("key").count().where(F.col("count") > budget).select("key", F.lit(True).alias("long"))
     return (rows.join(F.broadcast(over), "key", "left").groupBy("dk")
-            .agg(F.collect_list(F.struct("pos", F.coalesce("long", F.lit(False)).alias("long"))).alias("marks")))
+            .agg(F.collect_set(F.struct("pos", F.coalesce("long", F.lit(False)).alias("long"))).alias("marks")))
 
 
 def window_rows(packed: DataFrame, marks: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -137,7 +140,9 @@ def window_rows(packed: DataFrame, marks: DataFrame, window: int = WINDOW, ancho
         for whole in batches:
             for rows, raw, offsets in slices(unpack_texts(whole), "text"):
                 yield from _window_batch(rows, raw, offsets, window, anchor)
-    joined = packed.join(marks, "dk")
+    # One row per dk: the windows of its copies have the same (ord, place) and marks.
+    once = packed.groupBy("dk").agg(F.first(F.struct("ord", "z")).alias("one")).select("dk", "one.ord", "one.z")
+    joined = once.join(marks, "dk")
     return joined.select("ord", "dk", "z", F.col("marks.pos").alias("pos"),
                          F.col("marks.long").alias("long")).mapInArrow(
         run, "key long, ord long, dk long, at int, mask int, open array<int>, hashes array<long>")

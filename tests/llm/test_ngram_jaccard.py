@@ -121,3 +121,14 @@ def test_empty_table_and_long_text(make):
     assert J.jaccard_components(make([])).collect() == []
     long = " ".join(str(i) for i in range(20_000))
     assert run(make, [(9, long), (4, long + " end")]) == [(4, 19_997, 4), (9, 19_996, 4)]
+
+
+def test_copies_of_a_row_are_one_point(make):
+    text = " ".join(map(str, range(60)))
+    rows = [(1, text + " x")] + [(2, text)] * 20 + [(None, text)] * 20
+    docs = make(rows, extra=False).selectExpr("doc_id as id", "xxhash64(doc_id, text) as dk", "text")
+    sets = J.set_rows(docs).cache()
+    placed = J.leaves(sets, J.directory(J.entry_rows(docs)))
+    points = [p["cls"] for r in J.page_points(docs, sets, placed).collect() for p in r.p]
+    assert len(points) == len(set(points)) == 2
+    assert run(make, rows) == brute(rows)

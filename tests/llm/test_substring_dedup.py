@@ -93,3 +93,16 @@ def test_rows_of_one_id_on_both_sides_of_a_batch_border(make, spark):
         assert [r.n_removed for r in null_ids] == [0] * 5
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_copies_of_a_row_are_handled_once(make):
+    text = " ".join(map(str, range(60)))
+    rows = [(1, text)] + [(2, text)] * 30 + [(None, text)] * 30
+    docs = S._documents(make(rows), "doc_id", "text")
+    marks = S.repeated(S.anchor_rows(docs)).cache()
+    assert all(len(r.marks) == len({m.pos for m in r.marks}) for r in marks.collect())
+    windows = S.window_rows(S.pack_texts(docs, ["ord", "dk"]), marks)
+    assert windows.groupBy("dk", "at").count().agg(F.max("count")).first()[0] == 1
+    assert run(make, rows[:31]) == brute(rows[:31])
+    got = S.remove_repeats(make(rows)).groupBy("doc_id", "n_removed").count().collect()
+    assert {(r.doc_id, r.n_removed, r["count"]) for r in got} == {(1, 0, 1), (2, 60, 30), (None, 60, 30)}
