@@ -11,11 +11,15 @@ points has the group-wise maximum as its rectangle, which bounds all its points.
 Root of the tree. Sets of a and b shingles with Jaccard 0.8 differ in at most
 d = (a + b) / 9 shingles, so their counts - and contents - differ in at most d
 groups. Hashed into m > d groups, they agree wholly in m - d of them; so, with the
-groups of both in one order, ``SHARED`` of the first d + SHARED are common. Each class
-is listed under that many of its groups, as (m, group, contents), the fullest first:
-an entry of several shingles is rarely shared by documents that merely quote the
-same passage. m is a power of two chosen by size; a set also uses the m of the
-smaller partners it may have. Entries that list one class are dropped, then classes
+groups of both in one order, ``SHARED`` of the first d + SHARED are common (one of the
+first d + 1 where no set of the pair reaches SHARED_FROM shingles). Each class is listed
+under that many of its groups, as (m, group, contents), the fullest first: an entry of
+several shingles is rarely shared by documents that merely quote the same passage.
+Empty groups say nothing and are no entries: if either set of a pair has as many
+groups that are not empty, the common ones are among them. A set that has fewer is
+listed under a prefix of its shingles too, in the order of their hashes, which holds
+for pairs of such sets. m is a power of two chosen by size; a set also uses the m of
+the smaller partners it may have. Entries that list one class are dropped, then classes
 with fewer than SHARED entries left: most classes end here. What is left is the
 directory of (coordinate, class).
 
@@ -97,22 +101,22 @@ def groups_for(n: int, percent: int = PERCENT) -> int:
 
 
 @functools.lru_cache(maxsize=100_000)
-def group_plan(n: int, percent: int = PERCENT) -> tuple[tuple[int, int], ...]:
-    """(groups, entries) for a set of ``n``: as the smaller set, then for the groupings
-    of smaller partners."""
+def group_plan(n: int, percent: int = PERCENT) -> tuple[tuple[int, int, int], ...]:
+    """(groups, most differing groups, entries to share) for a set of ``n``: as the
+    smaller set, then for the groupings of smaller partners."""
     own = groups_for(n, percent)
-    low = needed(n, percent)
-    plan = {own: most_different(n, 100 * n // percent, percent) + SHARED}
+    low, high = needed(n, percent), 100 * n // percent
+    plan = {own: (most_different(n, high, percent), SHARED if high >= SHARED_FROM else 1)}
     for a in {low, *(x for x in (31, 32) if low <= x <= n)}:
-        plan.setdefault(groups_for(a, percent), most_different(n, n, percent) + SHARED)
-    return tuple(plan.items())
+        plan.setdefault(groups_for(a, percent), (most_different(n, n, percent), SHARED if n >= SHARED_FROM else 1))
+    return tuple((size, *rest) for size, rest in plan.items())
 
 
 def entries(own: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The directory coordinates of a set (its distinct hashes)."""
     out = []
     mixed = mix(own)
-    for size, take in group_plan(len(own), percent):
+    for size, differ, share in group_plan(len(own), percent):
         group = (own & U(size - 1)).astype(np.int64)
         count = np.bincount(group, minlength=size)
         order = np.argsort(group, kind="stable")
@@ -120,7 +124,11 @@ def entries(own: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         ends = np.cumsum(count)
         inside = total[ends] - total[ends - count]  # sums wrap around, as differences do
         code = mix(inside + mix(np.arange(size, dtype=U) + U(size)) + count.astype(U))
-        out.append(code[np.lexsort((code, -count))[:take]])
+        full = np.flatnonzero(count)
+        out.append(code[full[np.lexsort((code[full], -count[full]))[:differ + share]]])
+        if len(full) < differ + share:
+            spare = len(own) - needed(len(own), percent)
+            out.append(np.sort(mix(mixed + U(size)))[:spare + share])
     return np.concatenate(out)
 
 
@@ -143,7 +151,9 @@ def set_rows(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 
 def entry_rows(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(coord, cls): all classes under their coordinates, a class once per slice."""
+    """(grp, coord, cls): all classes under their coordinates, a class once per slice.
+    Of a coordinate's classes in a slice two stay in the coordinate's own group; the
+    others are known to be on a longer list and are dealt out at random."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, raw, offsets in slices(batch, "text"):
@@ -156,19 +166,24 @@ def entry_rows(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Dat
                         if key not in given:
                             given[key] = entries(own, percent)
                 if given:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(list(given.values())).view(np.int64)),
-                         pa.array(np.repeat(np.fromiter(given, np.int64), [len(v) for v in given.values()]))],
-                        names=["coord", "cls"])
-    return docs.select("text").mapInArrow(run, "coord long, cls long")
+                    coord = np.concatenate(list(given.values()))
+                    cls = np.repeat(np.fromiter(given, np.int64), [len(v) for v in given.values()])
+                    order = np.argsort(coord, kind="stable")
+                    edge = np.concatenate([[True], np.diff(coord[order]) != 0, [True]])
+                    known = order[~(edge[1:] | edge[:-1])]
+                    grp = coord.copy()
+                    grp[known] = mix(coord[known] + cls[known].view(U))
+                    yield pa.RecordBatch.from_arrays([pa.array(grp.view(np.int64)), pa.array(coord.view(np.int64)),
+                                                      pa.array(cls)], names=["grp", "coord", "cls"])
+    return docs.select("text").mapInArrow(run, "grp long, coord long, cls long")
 
 
 def directory(listed: DataFrame) -> DataFrame:
     """(coord, cls, size): coordinates that list two classes or more."""
-    same = Window.partitionBy("coord")
-    listed = (listed.withColumn("low", F.min("cls").over(same)).withColumn("high", F.max("cls").over(same))
-              .withColumn("size", F.count(F.lit(1)).over(same)).where("low < high"))
-    return listed.select("coord", "cls", "size").dropDuplicates(["coord", "cls"])
+    same = Window.partitionBy("grp")
+    lists = cut(listed.withColumn("low", F.min("cls").over(same)).withColumn("high", F.max("cls").over(same))
+                .where("low < high or grp <> coord").select("coord", "cls").distinct(), "lists")
+    return lists.join(lists.groupBy("coord").agg(F.count(F.lit(1)).alias("size")), "coord")
 
 
 def leaves(sets: DataFrame, listed: DataFrame) -> DataFrame:

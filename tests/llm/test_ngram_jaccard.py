@@ -132,3 +132,38 @@ def test_copies_of_a_row_are_one_point(make):
     points = [p["cls"] for r in J.page_points(docs, sets, placed).collect() for p in r.p]
     assert len(points) == len(set(points)) == 2
     assert run(make, rows) == brute(rows)
+
+
+def test_small_sets_share_no_entry_without_a_shingle_in_common():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 4, 5, 8, 12, 20, 31, 32, 45, 56, 63):
+        seen = set()
+        for _ in range(100):
+            own = J.entries(np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))).tolist()
+            assert own and not seen & set(own)
+            seen |= set(own)
+
+
+def test_linked_sets_in_few_groups_share_an_entry():
+    rng = np.random.default_rng(4)
+    for _ in range(3000):
+        n = int(rng.integers(4, 100))
+        few = np.uint64(int(rng.integers(1, 8)))  # hashes in few groups: most are empty
+        a, more = (x - x % np.uint64(256) + x % few for x in (
+            rng.integers(0, 2**62, n, dtype=np.uint64), rng.integers(0, 2**62, n, dtype=np.uint64)))
+        cut, add = int(rng.integers(0, n // 5 + 1)), int(rng.integers(0, n // 4 + 1))
+        b = np.concatenate([a[cut:], more[:add]])
+        if 100 * (n - cut) >= 80 * (n + add):
+            common = set(J.entries(np.unique(a)).tolist()) & set(J.entries(np.unique(b)).tolist())
+            assert len(common) >= (J.SHARED if n >= J.SHARED_FROM and n - cut + add >= J.SHARED_FROM else 1)
+
+
+def test_long_lists_are_dealt_out_and_whole(make):
+    rows = [(i, "same words on every page here " + f"w{i}") for i in range(40)]
+    listed = J.entry_rows(make(rows).coalesce(1)).cache()
+    assert listed.groupBy("grp").count().agg({"count": "max"}).first()[0] <= 2
+    want = {}
+    for r in listed.collect():
+        want.setdefault(r.coord, set()).add(r.cls)
+    want = {(c, k, len(v)) for c, v in want.items() if len(v) > 1 for k in v}
+    assert want and {tuple(r) for r in J.directory(listed).collect()} == want
