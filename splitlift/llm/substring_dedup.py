@@ -1,9 +1,12 @@
-"""Substring deduplication by prefix-partitioned suffix trees.
+"""Substring deduplication by anchor sampling and grouping at one depth.
 
 A window is ``WINDOW`` consecutive words. Every window equal to one that starts
 earlier in the corpus (smaller document id, or same id and earlier start) is a
 repeat; the words that repeats cover are removed.
 
+No suffix tree is built: of the trees that prefixes would partition, only the nodes 20
+words deep are needed, as equal hashes; longer repeats are unions of windows.
+
 Which suffixes. All windows of 20 words contain 13 runs of ``ANCHOR`` = 8 words;
 the leftmost smallest hash of them is the window's anchor. Equal windows have
 equal anchors at equal places, so the suffixes that matter are those starting at
