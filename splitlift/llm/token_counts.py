@@ -11,7 +11,8 @@ Totals are sums of the rollups. A batch counts once its rollup is written whole
 over when it is delivered again, and one that is committed is not applied twice.
 
 What a delete or revision takes away is the id's net contribution in the committed
-ledger, so the caller needs to know the id alone. All steps are joins and grouped
+ledger, so the caller needs to know the id alone. A recount takes away no more than what
+the id has under the row's own source and language. All steps are joins and grouped
 sums with map-side partials on narrow rows; a source with a third of all documents
 is a third of the rows of no single task.
 
@@ -74,7 +75,7 @@ def count_tokens(df: DataFrame, path: str, pattern: str, keep: list[str], text_c
 
 def changes(counts: DataFrame, op: str, tokenizer: str, id_col: str = "doc_id", source_col: str = "source",
             lang_col: str = "lang") -> DataFrame:
-    """Change rows of one kind - insert or revise - from counted documents."""
+    """Change rows of one kind - insert, revise or recount - from counted documents."""
     return counts.select(
         F.lit(op).alias("op"), F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"),
         F.col(lang_col).cast("string").alias("lang"), F.lit(tokenizer).alias("tokenizer"), "n_tokens")
@@ -122,10 +123,15 @@ class TokenRollup:
             raise ValueError(f"no batch name: {batch!r}")
         if batch in self.batches():
             return False
-        plus = changed.where("op in ('insert', 'revise')").select(
+        plus = changed.where("op in ('insert', 'revise', 'recount')").select(
             "id", *KEYS, F.lit(1).cast("long").alias("n_docs"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
-        gone = changed.where("op in ('delete', 'revise') and id is not null").select("id").distinct()
-        minus = self.state().join(gone, "id").select(
+        state = self.state()
+        gone = (changed.where("op in ('delete', 'revise', 'recount') and id is not null")
+                .select(F.col("id").alias("of"), F.col("source").alias("s"), F.col("lang").alias("l"),
+                        (F.col("op") != "recount").alias("whole")).distinct())
+        same = (state["id"] == gone["of"]) & (gone["whole"] | (
+            state["source"].eqNullSafe(gone["s"]) & state["lang"].eqNullSafe(gone["l"])))
+        minus = state.join(gone, same, "left_semi").select(
             "id", *KEYS, (-F.col("n_docs")).alias("n_docs"), (-F.col("n_tokens")).alias("n_tokens"))
         ledger = f"{self.path}/ledger/{batch}"
         plus.unionByName(minus).write.mode("overwrite").option("compression", "zstd").parquet(ledger)
@@ -143,14 +149,16 @@ class TokenRollup:
 
 def corpus_rollup(docs: DataFrame, labels: DataFrame, first: str, second: str, pattern: str) -> DataFrame:
     """Totals after three batches over ``documents``: all are inserted with the counts
-    of the first rank file; those labelled toxic are deleted; of the rest, those not in
-    English are revised to the counts of the second rank file."""
+    of the first rank file; those labelled toxic are deleted; of the rest, rows not
+    labelled English (a NULL language too) are recounted with the second rank file. An
+    id's English rows keep their counts; rows with a NULL id cannot be taken away and
+    keep theirs."""
     store = TokenRollup.scratch(docs.sparkSession)
     keep = ["doc_id", "source", "lang"]
     toxic = labels.where("toxic = 1").select("doc_id").distinct()
     store.commit("1-insert", changes(count_tokens(docs, first, pattern, keep), "insert", "byte_bpe_50k"))
     store.commit("2-toxic", deletions(toxic))
-    foreign = count_tokens(docs.where("lang <> 'en' and doc_id is not null"), second, pattern, keep)
-    store.commit("3-multilingual", changes(cut(foreign, "counts").join(toxic, "doc_id", "left_anti"), "revise",
+    foreign = count_tokens(docs.where("not (lang <=> 'en') and doc_id is not null"), second, pattern, keep)
+    store.commit("3-multilingual", changes(cut(foreign, "counts").join(toxic, "doc_id", "left_anti"), "recount",
                                            "byte_bpe_multi_50k"))
     return store.totals()

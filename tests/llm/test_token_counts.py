@@ -60,3 +60,18 @@ def test_empty_table(make, spark):
     paths = [default_vocabulary(n) for n in ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")]
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert T.corpus_rollup(make([]), labels, *paths, splitting_pattern()).collect() == []
+
+
+def test_recount_leaves_other_rows_of_the_id(spark):
+    paths = [default_vocabulary(n) for n in ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")]
+    one, two = (tiktoken.Encoding(n, pat_str=splitting_pattern(), mergeable_ranks=T.read_ranks(n), special_tokens={})
+                for n in paths)
+    rows = [(1, "in English", "en"), (1, "en français", "fr"), (2, "no language", None), (3, "gone", "de"), (4, "x y", "en")]
+    docs = spark.createDataFrame([(i, t, k, "s") for i, t, k in rows], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(3, 1)], "doc_id long, toxic int")
+    got = {(r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in T.corpus_rollup(
+        docs, labels, *paths, splitting_pattern()).collect()}
+    count = lambda e, *texts: sum(len(e.encode_ordinary(t)) for t in texts)
+    assert got == {("en", "byte_bpe_50k"): (2, count(one, "in English", "x y")),
+                   ("fr", "byte_bpe_multi_50k"): (1, count(two, "en français")),
+                   (None, "byte_bpe_multi_50k"): (1, count(two, "no language"))}
