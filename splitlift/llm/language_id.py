@@ -18,7 +18,7 @@ A text's log-likelihood is the sum over its words, plus the language's log share
 
 Words are runs of ASCII letters and non-ASCII characters, ASCII lower-cased, with a
 blank in front; runs of more than ``LONGEST`` bytes are read in parts of that size.
-Pieces have ``PIECE`` bytes at most.
+All pieces of the vocabulary are used, of any length.
 
 Defined cases: ``und`` and score 0 for NULL or empty text, for text without a letter,
 and for all texts if nothing can be learned; NULL ids are scored and never learned
@@ -42,7 +42,6 @@ from .quality import held_out
 
 SAMPLE = 3000
 TURNS = 4
-PIECE = 10
 LONGEST = 48
 SMOOTH = 0.1
 PARTS = 8  # partitions of the word table
@@ -57,8 +56,7 @@ def read_pieces(path: str) -> list[bytes]:
     """Byte strings of a rank file (base64 and rank on each line)."""
     with open(path, "rb") as f:
         found = {base64.b64decode(line.split()[0]) for line in f if line.strip()}
-    found = {p for p in found if len(p) <= PIECE} | {bytes([b]) for b in range(256)}
-    return sorted(found)
+    return sorted(found | {bytes([b]) for b in range(256)})
 
 
 class Pieces:
@@ -66,9 +64,10 @@ class Pieces:
 
     def __init__(self, pieces: list[bytes]):
         self.n = len(pieces)
-        p = powers(PIECE + 1)
+        p = powers(max(map(len, pieces)) + 1)
         self.hash = np.array([_piece_hash(np.frombuffer(x, np.uint8), p) for x in pieces], U)
         self.size = np.array([len(x) for x in pieces])
+        self.lengths = frozenset(self.size.tolist())
         self.bits = max(12, (32 * self.n).bit_length())
         self.one = np.full(1 << self.bits, -1, np.int32)
         self.two = np.full(1 << self.bits, -1, np.int32)
@@ -99,27 +98,30 @@ def _salt(size: int) -> np.uint64:
     return U(size * 0x9E3779B97F4A7C15 % 2**64)
 
 
-def lookups(words: np.ndarray, pieces: Pieces) -> list[np.ndarray]:
+def lookups(words: np.ndarray, pieces: Pieces) -> list[np.ndarray | None]:
     """words: (count, length) bytes. For each piece length k, the piece numbers of
-    words[:, i:i + k] for every i."""
-    p = powers(PIECE + 1)
+    words[:, i:i + k] for every i; None where no piece is found."""
     body = words.astype(U) + U(1)
     length = body.shape[1]
+    top = max((k for k in pieces.lengths if k <= length), default=0)
+    p = powers(top + 1)
     total, out = None, []
-    for k in range(1, min(PIECE, length) + 1):
+    for k in range(1, top + 1):
         last = body[:, k - 1:] * p[k - 1]
         total = last if total is None else total[:, :length - k + 1] + last
-        out.append(pieces.find(mix((total + _salt(k)).ravel())).reshape(total.shape))
+        hit = pieces.find(mix((total + _salt(k)).ravel())).reshape(total.shape) if k in pieces.lengths else None
+        out.append(hit if hit is not None and (k == 1 or (hit < pieces.n).any()) else None)
     return out
 
 
-def forward(found: list[np.ndarray], prob: np.ndarray) -> list[np.ndarray]:
+def forward(found: list[np.ndarray | None], prob: np.ndarray) -> list[np.ndarray]:
     """a(0..length), each (count, languages); prob: (pieces + 1, languages), scaled."""
     count, length = found[0].shape
     a = [np.ones((count, prob.shape[1]))]
+    ks = [k for k, f in enumerate(found, 1) if f is not None]
     for j in range(1, length + 1):
         now = np.zeros_like(a[0])
-        for k in range(1, min(j, len(found)) + 1):
+        for k in (k for k in ks if k <= j):
             now += a[j - k] * prob[found[k - 1][:, j - k]]
         a.append(now)
     return a
@@ -127,6 +129,7 @@ def forward(found: list[np.ndarray], prob: np.ndarray) -> list[np.ndarray]:
 
 def scaled(prob: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Probabilities times _SCALE per byte, and zero for "no piece"."""
+    size = np.minimum(size, LONGEST + 1)  # longer pieces fit in no word
     return np.concatenate([prob * _SCALE ** size[:, None], np.zeros((1, prob.shape[1]))])
 
 
@@ -224,18 +227,19 @@ def _expected(body, lang, n, table: Pieces, p: np.ndarray, total: np.ndarray) ->
     """Adds expected piece counts of words of one length, each in its own language."""
     found = lookups(body, table)
     count, length = body.shape
-    own = [p[f, lang[:, None]] for f in found]
+    own = [None if f is None else p[f, lang[:, None]] for f in found]
+    ks = [k for k, f in enumerate(found, 1) if f is not None]
     a = np.zeros((length + 1, count))
     b = np.zeros((length + 1, count))
     a[0] = b[length] = 1
     for j in range(1, length + 1):
-        for k in range(1, min(j, len(found)) + 1):
+        for k in (k for k in ks if k <= j):
             a[j] += a[j - k] * own[k - 1][:, j - k]
     for i in range(length - 1, -1, -1):
-        for k in range(1, min(length - i, len(found)) + 1):
+        for k in (k for k in ks if k <= length - i):
             b[i] += own[k - 1][:, i] * b[i + k]
     weight = n / a[length]
-    for k in range(1, len(found) + 1):
+    for k in ks:
         m = length - k + 1
         share = a[:m].T * own[k - 1] * b[k:].T * weight[:, None]
         np.add.at(total, (found[k - 1].ravel(), np.repeat(lang, m)), share.ravel())

@@ -139,3 +139,18 @@ def test_forward_sums_all_segmentations():
     L._expected(np.frombuffer(b" abcab", np.uint8)[None], np.array([1]), np.array([3.0]), table,
                 L.scaled(prob, table.size), counts)
     assert np.isclose((counts[:-1, 1] * table.size).sum(), 18) and counts[:, 0].sum() == 0
+
+
+def test_long_pieces_take_part_in_the_sum():
+    pieces = L.read_pieces(default_vocabulary("byte_bpe_50k.tiktoken"))
+    assert b" government" in pieces and len(pieces) >= 50_256
+    table = L.Pieces(pieces)
+    size = table.size.astype(float)
+    prob = (2.0 ** -size / (2.0 ** -size).sum())[:, None]
+    chance = dict(zip(pieces, prob[:, 0]))
+    word = b" governments"
+    a = [1.0]
+    for j in range(1, len(word) + 1):
+        a.append(sum(a[i] * chance.get(word[i:j], 0.0) for i in range(j)))
+    got = L.forward(L.lookups(np.frombuffer(word, np.uint8)[None], table), L.scaled(prob, table.size))[-1][0, 0]
+    assert got / L._SCALE ** len(word) == pytest.approx(a[-1], rel=1e-9)
