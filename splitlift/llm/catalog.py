@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, language_id, ngram_jaccard, quality, secrets, substring_dedup, token_counts, toxicity
+from . import (bpe, decontaminate, exact_dedup, language_id, licenses, ngram_jaccard, periodic_runs, quality, secrets,
+               substring_dedup, token_counts, toxicity, whitening)
 from ._io import table
 from ._vocab import default_vocabulary, splitting_pattern
 
@@ -53,5 +54,19 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark, sf_dir):
+    return whitening.whitened_rows(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
+def op12_license_scan(spark, sf_dir):
+    return licenses.license_digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
+
+
+def op13_periodic_runs(spark, sf_dir):
+    return periodic_runs.runs_digest(periodic_runs.periodic_runs(
+        periodic_runs.with_loops(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_ngram_jaccard_join, op4_substring_dedup, op5_secret_scan,
-                                  op6_bpe, op7_token_counts, op8_decontamination, op9_quality, op10_exact_dedup)}
+                                  op6_bpe, op7_token_counts, op8_decontamination, op9_quality, op10_exact_dedup,
+                                  op11_embedding_whitening, op12_license_scan, op13_periodic_runs)}

@@ -89,4 +89,33 @@ reach AS (SELECT doc_id, doc_id AS r FROM documents
 SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r) AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN reach USING (doc_id) GROUP BY d.doc_id"""
 
-ORACLE_SQL = {"op3_ngram_jaccard_join": OP3, "op4_substring_dedup": OP4, "op5_secret_scan": OP5, "op10_exact_dedup": OP10}
+# crc32 bit by bit over the decimal digits of the id; a stretch of words equal to the word
+# q further on is a run unless a longer or equal stretch of a divisor of q holds it.
+OP13 = r"""
+WITH h AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  xor(list_reduce(list_prepend(4294967295, flatten(list_transform(
+      string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda s, c: xor(xor(s, c) >> 1, 3988292384 * (xor(s, c) & 1))), 4294967295) AS h
+  FROM documents),
+l AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) ELSE len(w) END AS a FROM h),
+t AS (SELECT doc_id, n, i, w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END] AS v
+  FROM (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p, unnest(range(n)) AS i FROM l)),
+pairs AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM t x JOIN t y
+  ON x.doc_id = y.doc_id AND x.v = y.v AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+same AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS m
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM pairs)
+  GROUP BY doc_id, q, g HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT * FROM same r WHERE NOT EXISTS (SELECT 1 FROM same b WHERE b.doc_id = r.doc_id AND b.q < r.q
+  AND r.q % b.q = 0 AND b.s <= r.s AND b.s + b.m >= r.s + r.m)),
+g AS (SELECT doc_id, count(*) AS n_runs, min({'m': -m, 's': s, 'q': q}) AS top,
+  string_agg(s || ',' || m || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + m)) AS i FROM runs),
+kept AS (SELECT t.doc_id, string_agg(v, ' ' ORDER BY i) AS c
+  FROM t ANTI JOIN gone ON t.doc_id = gone.doc_id AND t.i = gone.i GROUP BY t.doc_id)
+SELECT l.doc_id, coalesce(n_runs, 0) AS n_runs, top.s AS start, -top.m AS length, top.q AS period,
+  1000 * -top.m // top.q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+  sha256(coalesce(c, '')) AS collapsed_sha256, n AS n_words
+FROM l LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+ORACLE_SQL = {"op3_ngram_jaccard_join": OP3, "op4_substring_dedup": OP4, "op5_secret_scan": OP5, "op10_exact_dedup": OP10,
+              "op13_periodic_runs": OP13}
