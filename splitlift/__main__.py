@@ -19,7 +19,7 @@ from pyspark.sql import SparkSession
 
 from .plans import pipeline
 from .session import apply_library_conf, checkpoint_dir
-from .sources import readers, sinks
+from .sources import readers, scope
 
 
 def _session() -> SparkSession:
@@ -55,9 +55,11 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(report, default=str))
     else:
         fact = readers.read_saved(spark, args.fact, args.format)
-        out = pipeline.run_analysis(fact, export_dir=f"{args.out}/csv", k=args.k)
-        done = pipeline.write_reports(out, f"{args.out}/parquet", parallel=args.parallel)
-        sinks.remove_materialized(spark)
+        proof = readers.saved_report(spark, args.fact, args.format) or {}
+        with scope.Scope(spark, "analysis"):
+            out = pipeline.run_analysis(fact, export_dir=f"{args.out}/csv", k=args.k,
+                                        orders_unique=proof.get("key_is_unique"))
+            done = pipeline.write_reports(out, f"{args.out}/parquet", parallel=args.parallel)
         print(json.dumps({"reports": done}))
     return 0
 

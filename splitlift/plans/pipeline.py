@@ -3,12 +3,11 @@ analysis that turns a saved fact into the A/B reports."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from .. import schemas
 from ..operators import clean, fact, items, lift, metrics, periods, quality, segments, stats
@@ -50,10 +49,15 @@ def load_raw(spark: SparkSession, paths: Mapping[str, str], partitions: int | No
     )
 
 
-def build_fact(raw: RawInputs) -> DataFrame:
-    """Clean the three raw datasets and join them with the assignment."""
-    return fact.order_fact(clean.clean_orders(raw.orders), clean.clean_consumers(raw.consumers),
-                           clean.clean_merchants(raw.merchants), raw.abtest)
+def build_fact(raw: RawInputs, before: Observation | None = None, after: Observation | None = None) -> DataFrame:
+    """Clean the three raw datasets and join them with the assignment. ``before`` and
+    ``after`` count the orders ahead of the joins and behind them."""
+    orders = clean.clean_orders(raw.orders)
+    if before is not None:
+        orders = quality.watched(orders, "order_id", before)
+    out = fact.order_fact(orders, clean.clean_consumers(raw.consumers), clean.clean_merchants(raw.merchants),
+                          raw.abtest)
+    return out if after is None else quality.watched(out, "order_id", after)
 
 
 def check_dimensions(raw: RawInputs) -> None:
@@ -64,27 +68,23 @@ def check_dimensions(raw: RawInputs) -> None:
 
 
 def run_elt(raw: RawInputs, target: str, run_date: str, fmt: str = "parquet") -> dict:
-    """Check the dimensions, build the fact, stage it, validate, and replace ``target``.
-
-    The fact is written once, beside the target (a table when ``fmt="table"``,
-    else files of that format); the gate reads what was staged, and only a passing
-    fact is swapped in. A failure at any point leaves the previous target, and the
-    staged copy is removed."""
+    """Check the dimensions, build the fact, write it as a new version of ``target``
+    (a table when ``fmt="table"``, else files of that format), and commit that version
+    if it passes the gate.
+
+    The gate's counts are taken while the fact is written: order ids are unique after
+    the dedup, and joins with unique keys keep them so. Only where these counts prove
+    nothing is the written fact read for them. The report, kept with the version, tells
+    the analysis that ids are unique. A run that fails or is killed at any point leaves
+    the old version, or the whole new one."""
     check_dimensions(raw)
-    fact_df = build_fact(raw)
-    spark = fact_df.sparkSession
-    tag = f"{run_date.replace('-', '')}_{uuid.uuid4().hex[:8]}"
-    staging = f"{target.rstrip('/')}__staging_{tag}"
-    try:
-        sinks.save_full(fact_df, staging, fmt)
-        report = quality.require(quality.dq_report(readers.read_saved(spark, staging, fmt), "order_id"))
-        (sinks.swap_table if fmt == "table" else sinks.swap_path)(spark, staging, target)
-    finally:
-        if fmt == "table":
-            spark.sql(f"DROP TABLE IF EXISTS {staging}")
-        else:
-            sinks.delete(spark, staging)
-    return report
+    before, after = Observation(), Observation()
+
+    def gate(written: DataFrame) -> dict:
+        report = quality.observed_report(before, after)
+        counted = {"counted_while_writing": report is not None}
+        return {**quality.require(report or quality.dq_report(written, "order_id")), **counted, "run_date": run_date}
+    return sinks.save_full(build_fact(raw, before, after), target, fmt, gate)
 
 
 def analysis_base(fact_df: DataFrame, high: float = 0.90, medium: float = 0.50,
@@ -144,8 +144,7 @@ def run_analysis(fact_df: DataFrame, export_dir: str | None = None, k: int = 3,
     The enriched base is reduced to the report columns and written once to the
     shared checkpoint folder, as are orders per customer, the period metrics and
     the test; every report starts from those, and a lost executor costs a re-read
-    of files. ``sinks.remove_materialized`` deletes them when the reports are
-    written. The weekly reports are exported as CSV when asked."""
+    of files. They go when the scope that is open here is closed. The weekly reports are exported as CSV when asked."""
     if orders_unique is None:
         orders_unique = bool(quality.dq_report(fact_df.select("order_id"), "order_id").first().key_is_unique)
 

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import versioned
+
 _JSON = (".json", ".json.gz", ".jsonl", ".jsonl.gz")
 _CSV = (".csv", ".csv.gz")
 _PARQUET = (".parquet",)
@@ -75,8 +77,14 @@ def _by_name(df: DataFrame, schema: T.StructType, path: str) -> DataFrame:
 
 
 def read_saved(spark: SparkSession, source: str, fmt: str = "parquet") -> DataFrame:
-    """A saved dataset: a catalog table (``fmt='table'``) or files of a format."""
-    return spark.read.table(source) if fmt == "table" else spark.read.format(fmt).load(source)
+    """A saved dataset: a catalog table (``fmt='table'``) or files of a format. Of a
+    target that is refreshed in versions, the committed one."""
+    return versioned.target_of(spark, source, fmt).read()
+
+
+def saved_report(spark: SparkSession, source: str, fmt: str = "parquet") -> dict | None:
+    """What the gate found when a saved dataset was written; None if that is not known."""
+    return versioned.target_of(spark, source, fmt).report()
 
 
 def _csv_member(tar: tarfile.TarFile) -> tarfile.TarInfo | None:

@@ -1,107 +1,28 @@
-"""Sinks: plan cuts in the shared checkpoint folder, full-refresh tables (staged,
-then swapped in) and report export."""
+"""Sinks: plan cuts in the shared checkpoint folder, full-refresh targets and report
+export."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-from ..session import checkpoint_dir
-
-
-_written: dict[str, list[str]] = {}
+from . import scope, versioned
 
 
 def materialize(df: DataFrame, name: str, run_date: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet under the session's shared checkpoint folder and
-    read it back: later actions (validation, save) start from the files instead
-    of re-running the joins, and lost executors do not replay the lineage. The
-    files stay until :func:`remove_materialized`."""
-    spark = df.sparkSession
-    tag = f"{name}_{run_date}" if run_date else name
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{tag}_{uuid.uuid4().hex[:8]}"
-    df.write.mode("overwrite").parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove_materialized(spark: SparkSession) -> None:
-    """Delete the files of all :func:`materialize` calls of this application. Call
-    it when no DataFrame that reads them is needed any more."""
-    for path in _written.pop(spark.sparkContext.applicationId, []):
-        delete(spark, path)
-
-
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    fs, p = _fs(spark, path)
-    fs.delete(p, True)
-
-
-def _rename(spark: SparkSession, old: str, new: str) -> None:
-    fs, p = _fs(spark, old)
-    if not fs.rename(p, spark._jvm.org.apache.hadoop.fs.Path(new)):
-        raise OSError(f"cannot rename {old} to {new}")
-
-
-def _swap(has_old: bool, keep_old, put_new, restore_old, drop_old) -> None:
-    """New in place of old: the old one is set aside first and dropped last, so a
-    failure in between puts it back."""
-    if has_old:
-        keep_old()
-    try:
-        put_new()
-    except Exception:
-        if has_old:
-            restore_old()
-        raise
-    if has_old:
-        drop_old()
-
-
-def swap_path(spark: SparkSession, staging: str, target: str) -> None:
-    """Staged files in place of ``target``. On a file system with renames the target
-    is missing for the time of one rename; on object stores a rename copies, and a
-    table format should be used instead."""
-    target = target.rstrip("/")
-    aside = f"{target}__old_{uuid.uuid4().hex[:8]}"
-    _swap(exists(spark, target), lambda: _rename(spark, target, aside),
-          lambda: _rename(spark, staging, target), lambda: _rename(spark, aside, target),
-          lambda: delete(spark, aside))
-
-
-def swap_table(spark: SparkSession, staging: str, target: str) -> None:
-    """A staged table in place of ``target``, likewise."""
-    aside = f"{target}__old_{uuid.uuid4().hex[:8]}"
-
-    def rename(old: str, new: str) -> None:
-        spark.sql(f"ALTER TABLE {old} RENAME TO {new}")
-    _swap(spark.catalog.tableExists(target), lambda: rename(target, aside), lambda: rename(staging, target),
-          lambda: rename(aside, target), lambda: spark.sql(f"DROP TABLE {aside}"))
+    """Write ``df`` as Parquet in the current scope (a folder under the session's
+    shared checkpoint folder) and read it back: later actions start from the files
+    instead of re-running the joins, and lost executors do not replay the lineage. The
+    files stay until the scope is closed."""
+    return scope.current(df.sparkSession).cut(df, f"{name}_{run_date}" if run_date else name)
 
 
 def save_full(df: DataFrame, target: str, fmt: str = "parquet",
-              partition_by: Sequence[str] | None = None) -> None:
-    """Full refresh: replace the whole target (a path, or a table name when
-    ``fmt='table'``)."""
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    if fmt == "table":
-        writer.saveAsTable(target)
-    else:
-        writer.format(fmt).save(target)
+              check: Callable[[DataFrame], dict] | None = None) -> dict:
+    """Full refresh: a new version of the whole target (a path, or a table name when
+    ``fmt='table'``), current once it is written and ``check`` has passed it."""
+    return versioned.refresh(df, target, check or (lambda written: {}), fmt)
 
 
 def export_report(df: DataFrame, path: str, sort_by: Sequence[str], single_file: bool = True

@@ -10,7 +10,7 @@ from splitlift.operators.items import order_item_metrics
 from splitlift.plans import pipeline
 from splitlift.plans.catalog import _fact
 from splitlift.sources import fixtures as fx
-from splitlift.sources.readers import detect_format, load_dataset, read_archive_csv
+from splitlift.sources.readers import detect_format, load_dataset, read_archive_csv, read_saved, saved_report
 from splitlift.sources.sinks import export_report, materialize
 
 from conftest import SF_SMALL
@@ -60,7 +60,9 @@ def test_raw_files_round_trip_through_elt(spark, tmpdir_path):
                             partitions=4)
     report = pipeline.run_elt(raw, f"{d}/fact", run_date="2024-01-01")
     assert report["key_is_unique"] and report["n_rows"] == 1500
-    saved = spark.read.parquet(f"{d}/fact")
+    assert report["counted_while_writing"] and report["run_date"] == "2024-01-01"
+    saved = read_saved(spark, f"{d}/fact")
+    assert saved_report(spark, f"{d}/fact") == report
     expected = _fact(spark, SF_SMALL)
     cols = [c for c in expected.columns if c != "items"]
     assert saved.select(cols).exceptAll(expected.select(cols)).count() == 0
@@ -137,26 +139,6 @@ def test_a_missing_column_fails(spark, tmpdir_path, kind):
         load_dataset(spark, path, schemas.ABTEST_RAW).collect()
 
 
-def test_path_target_is_kept_when_the_swap_fails(spark, tmpdir_path, monkeypatch):
-    from splitlift.sources import sinks
-    target = f"{tmpdir_path}/fact"
-    spark.createDataFrame([("old",)], "order_id string").write.parquet(target)
-    real = sinks._rename
-
-    def broken(spark, old, new):
-        if "__staging_" in old:
-            raise OSError("disk gone")
-        real(spark, old, new)
-    monkeypatch.setattr(sinks, "_rename", broken)
-    with pytest.raises(OSError, match="disk gone"):
-        pipeline.run_elt(_inputs(spark), target, run_date="2024-01-01")
-    assert [r.order_id for r in spark.read.parquet(target).collect()] == ["old"]
-    assert sorted(os.listdir(tmpdir_path)) == ["fact"]          # nothing staged or set aside is left
-    monkeypatch.undo()
-    pipeline.run_elt(_inputs(spark), target, run_date="2024-01-01")
-    assert spark.read.parquet(target).count() == 1500 and sorted(os.listdir(tmpdir_path)) == ["fact"]
-
-
 def test_failing_gate_leaves_nothing_behind(spark, tmpdir_path):
     from splitlift.operators.quality import DataQualityError
     raw = _inputs(spark)
@@ -166,15 +148,6 @@ def test_failing_gate_leaves_nothing_behind(spark, tmpdir_path):
     assert os.listdir(tmpdir_path) == []
 
 
-def test_materialized_files_are_removed(spark):
-    from splitlift.sources import sinks
-    df = materialize(spark.range(3), "gone")
-    path = df.inputFiles()[0]
-    assert df.count() == 3
-    sinks.remove_materialized(spark)
-    assert not sinks.exists(spark, path)
-
-
 def test_a_machine_local_folder_is_refused_on_a_cluster():
     from splitlift.session import build_session, checkpoint_dir
 
