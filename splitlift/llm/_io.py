@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import apply_library_conf, checkpoint_dir
+from ..session import apply_library_conf
+from ..sources import scope
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,11 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under ``spark.checkpoint.dir`` and read it back.
+    """Write ``df`` as Parquet in the current scope, a folder under
+    ``spark.checkpoint.dir``, and read it back.
 
     The files are in the folder all executors share, so a lost executor costs
     only its running tasks and never replays what is above the cut."""
-    spark = apply_library_conf(df.sparkSession)
-    path = f"{checkpoint_dir(spark).rstrip('/')}/llm_{name}_{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return scope.current(apply_library_conf(df.sparkSession)).cut(df, f"llm_{name}", "zstd")

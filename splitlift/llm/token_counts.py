@@ -27,14 +27,13 @@ from __future__ import annotations
 
 import base64
 import re
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..sources import scope
 from ._io import cut
 from ._text import slices
 
@@ -95,8 +94,8 @@ class TokenRollup:
 
     @classmethod
     def scratch(cls, spark: SparkSession) -> TokenRollup:
-        """A new store in the shared checkpoint folder."""
-        return cls(spark, f"{checkpoint_dir(spark).rstrip('/')}/llm_rollup_{uuid.uuid4().hex}")
+        """A new store in the current scope, in the shared checkpoint folder."""
+        return cls(spark, scope.current(spark).path("llm_rollup"))
 
     def batches(self) -> list[str]:
         """Committed batches."""
