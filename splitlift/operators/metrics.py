@@ -14,12 +14,21 @@ from ..functions.scalar import ratio, to_cents
 
 GROUP = "abtest_group"
 
-def _money_total(cents: Column, digits: int | None = 2) -> Column:
+# Money columns of the base by the tag of their sums.
+MONEY = {
+    "rev": "order_total_amount",
+    "disc": "total_discount",
+    "item_sum": "item_total_value_sum",
+    "item_avg": "item_total_value_avg",
+}
+
+
+def money_total(cents: Column, digits: int | None = 2) -> Column:
     v = cents / F.lit(100)
     return v if digits is None else F.round(v, digits)
 
 
-def _money_mean(cents: Column, n: Column, digits: int | None = 2) -> Column:
+def money_mean(cents: Column, n: Column, digits: int | None = 2) -> Column:
     v = ratio(cents, n) / F.lit(100)
     return v if digits is None else F.round(v, digits)
 
@@ -45,8 +54,8 @@ def ab_overview(base: DataFrame, orders_unique: bool = False) -> DataFrame:
         F.count_distinct("customer_id").alias("total_customers"),
         F.sum(cents).alias("__c"), F.count("order_total_amount").alias("__n"),
     ).select("total_orders", "total_customers",
-             _money_total(F.col("__c")).alias("total_revenue"),
-             _money_mean(F.col("__c"), F.col("__n")).alias("avg_order_amount"))
+             money_total(F.col("__c")).alias("total_revenue"),
+             money_mean(F.col("__c"), F.col("__n")).alias("avg_order_amount"))
 
 
 def ab_group_metrics(base: DataFrame, group: str = GROUP, digits: int | None = 2) -> DataFrame:
@@ -58,8 +67,8 @@ def ab_group_metrics(base: DataFrame, group: str = GROUP, digits: int | None = 2
         F.sum(to_cents("order_total_amount")).alias("__c"),
         F.count("order_total_amount").alias("__n"),
     ).select(group, "unique_customers", "total_orders",
-             _money_total(F.col("__c"), digits).alias("total_revenue"),
-             _money_mean(F.col("__c"), F.col("__n"), digits).alias("avg_order_amount"))
+             money_total(F.col("__c"), digits).alias("total_revenue"),
+             money_mean(F.col("__c"), F.col("__n"), digits).alias("avg_order_amount"))
 
 
 def ab_retention(base: DataFrame, group: str = GROUP) -> DataFrame:
@@ -75,7 +84,7 @@ def ab_orders_per_customer(base: DataFrame, group: str = GROUP) -> DataFrame:
         F.avg("customer_orders").alias("avg_orders_per_customer"),
         F.sum("__spent_cents").alias("__c"), F.count("__spent_cents").alias("__n"),
     ).select(group, "avg_orders_per_customer",
-             _money_mean(F.col("__c"), F.col("__n"), None).alias("avg_revenue_per_customer"))
+             money_mean(F.col("__c"), F.col("__n"), None).alias("avg_revenue_per_customer"))
 
 
 def top_k(df: DataFrame, key: str = "city_state", k: int = 3) -> DataFrame:
@@ -97,34 +106,31 @@ def period_metrics(df: DataFrame, period: str, grouping: str, group: str = GROUP
 
     Rows with a NULL group stay in; reports filter them out.
     """
-    money = {
-        "rev": "order_total_amount",
-        "disc": "total_discount",
-        "item_sum": "item_total_value_sum",
-        "item_avg": "item_total_value_avg",
-    }
     aggs = [F.count_distinct("customer_id").alias("unique_consumers"),
             _order_count("order_id", orders_unique).alias("total_orders")]
-    for tag, column in money.items():
+    for tag, column in MONEY.items():
         aggs += [F.sum(to_cents(column)).alias(f"__{tag}_c"),
                  F.count(column).alias(f"__{tag}_n")]
-    agg = df.groupBy(grouping, group, period).agg(*aggs)
+    return period_columns(df.groupBy(grouping, group, period).agg(*aggs), grouping, period, group)
+
 
+def period_columns(sums: DataFrame, grouping: str, period: str, group: str = GROUP) -> DataFrame:
+    """The eleven metrics from counts (unique_consumers, total_orders) and, per money
+    column, its cents and the number of values in it."""
     def c(name: str) -> Column:
         return F.col(name)
 
-    total_revenue = _money_total(c("__rev_c"))
-    return agg.select(
+    return sums.select(
         grouping, group, period,
         c("unique_consumers"),
-        total_revenue.alias("total_revenue"),
+        money_total(c("__rev_c")).alias("total_revenue"),
         c("total_orders"),
-        _money_mean(c("__rev_c"), c("__rev_n")).alias("avg_aov"),
-        _money_total(c("__disc_c")).alias("total_discount"),
-        _money_mean(c("__disc_c"), c("__disc_n")).alias("avg_discount"),
-        _money_total(c("__item_sum_c")).alias("total_item_value"),
-        _money_mean(c("__item_sum_c"), c("__item_sum_n")).alias("avg_item_value_sum"),
-        _money_mean(c("__item_avg_c"), c("__item_avg_n")).alias("avg_item_value_avg"),
+        money_mean(c("__rev_c"), c("__rev_n")).alias("avg_aov"),
+        money_total(c("__disc_c")).alias("total_discount"),
+        money_mean(c("__disc_c"), c("__disc_n")).alias("avg_discount"),
+        money_total(c("__item_sum_c")).alias("total_item_value"),
+        money_mean(c("__item_sum_c"), c("__item_sum_n")).alias("avg_item_value_sum"),
+        money_mean(c("__item_avg_c"), c("__item_avg_n")).alias("avg_item_value_avg"),
         F.round(ratio(c("total_orders"), c("unique_consumers")), 2).alias("avg_orders_per_consumer"),
         F.round(ratio(c("__rev_c"), c("unique_consumers") * F.lit(100)), 2)
          .alias("avg_revenue_per_consumer"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import local_to_utc, parse_items, step_bucket
 from ..functions.text import clean_text, zero_pad
-from ..operators import clean, fact, items, metrics, periods, quality, segments, stats
+from ..operators import clean, cube, fact, items, lift, metrics, periods, quality, segments, stats
 from ..session import apply_library_conf
 from ..sources import fixtures as fx
 from . import pipeline
@@ -74,10 +74,14 @@ def _base(spark, sf):
     return _shared("base", spark, sf, lambda: pipeline.analysis_base(_fact(spark, sf)))
 
 
-def _in_test_metrics(spark, sf, period, grouping):
-    base = _base(spark, sf)
-    top = metrics.top_k(base, "city_state", 3) if grouping == "city_state" else None
-    return pipeline.period_report(base, period, grouping, top)
+def _days(spark, sf):
+    return _shared("days", spark, sf, lambda: cube.customer_days(_base(spark, sf)))
+
+
+def _period_report(spark, sf, period, grouping):
+    days = _days(spark, sf)
+    top = cube.top_k(days, "city_state", 3) if grouping == "city" else None
+    return cube.period_metrics(cube.period_cube(days, top, [(period, grouping)]), period, grouping)
 
 
 # ---- text and scalar functions ------------------------------------------------
@@ -270,10 +274,13 @@ def q_top_city_orders(spark, sf):
                     "order_total_amount")
 
 
-def _report(period: str, grouping: str, which: int) -> Query:
-    def run(spark, sf):
-        return _in_test_metrics(spark, sf, period, grouping)[which]
-    return run
+def _metrics_report(period: str, grouping: str) -> Query:
+    return lambda spark, sf: _period_report(spark, sf, period, grouping)
+
+
+def _lift_report(period: str, grouping: str) -> Query:
+    return lambda spark, sf: lift.lift(_period_report(spark, sf, period, grouping), cube.PERIODS[period],
+                                       cube.GROUPINGS[grouping])
 
 
 # ---- statistics ----------------------------------------------------------------------------
@@ -344,10 +351,9 @@ def _catalog() -> dict[str, Query]:
         "top_cities": q_top_cities,
         "top_city_orders": q_top_city_orders,
     }
-    for pname, pcol in pipeline.PERIODS.items():
-        for gname, gcol in pipeline.GROUPINGS.items():
-            cat[f"{pname}_{gname}_metrics"] = _report(pcol, gcol, 0)
-            cat[f"{pname}_{gname}_lift"] = _report(pcol, gcol, 1)
+    for period, grouping in cube.COMBINATIONS:
+        cat[f"{period}_{grouping}_metrics"] = _metrics_report(period, grouping)
+        cat[f"{period}_{grouping}_lift"] = _lift_report(period, grouping)
     cat.update({
         "user_metrics": q_user_metrics,
         "welch_moments": q_welch_moments,

@@ -10,14 +10,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 
 from .. import schemas
-from ..operators import clean, fact, items, lift, metrics, periods, quality, segments, stats
+from ..operators import clean, cube, fact, items, lift, metrics, periods, quality, segments, stats
 from ..sources import readers, sinks
 
 # Columns of the fact the analysis never needs (personal data stays out of
 # the cached base).
 PERSONAL = ("customer_name", "customer_phone_area", "customer_phone_number")
 
-PERIODS = {"daily": "order_date", "weekly": "week", "monthly": "month"}
+PERIODS, GROUPINGS = cube.PERIODS, cube.GROUPINGS
 
 # The only columns the reports read: a narrow table, cheap to write and scan.
 REPORT_COLUMNS = (
@@ -25,7 +25,6 @@ REPORT_COLUMNS = (
     "order_date", "week", "month", "order_total_amount", "total_discount",
     "item_total_value_sum", "item_total_value_avg",
 )
-GROUPINGS = {"city": "city_state", "segment": "customer_segment"}
 
 Save = Callable[[DataFrame, str], DataFrame]
 
@@ -134,25 +133,52 @@ def reports(base: DataFrame, k: int = 3, orders_unique: bool = False, save: Save
     return out
 
 
+def reports_from_days(days: DataFrame, k: int = 3, save: Save | None = None) -> dict[str, DataFrame]:
+    """The reports of :func:`reports` from the base summed by customer and day
+    (``cube.customer_days``): one job for the twelve period reports, one for the
+    overview tables, one for the test."""
+    save = save or (lambda df, name: df)
+    out = {name: df if name == "ab_overview" else df.orderBy(metrics.GROUP)
+           for name, df in cube.overviews(save(cube.customer_totals(days), "customer_totals")).items()}
+    top = save(cube.top_k(days, "city_state", k), "top_cities")
+    out["top_cities"] = top.orderBy(top.orders.desc(), "city_state")
+    cells = save(cube.period_cube(days, top), "period_cube")
+    for pname, pcol in PERIODS.items():
+        for gname, gcol in GROUPINGS.items():
+            m = cube.period_metrics(cells, pname, gname)
+            out[f"{pname}_{gname}_metrics"] = m.orderBy(gcol, pcol, metrics.GROUP)
+            out[f"{pname}_{gname}_lift"] = lift.lift(m, pcol, gcol).orderBy(gcol, pcol)
+    test = save(stats.welch_test(stats.welch_moments(cube.user_metrics(days))), "welch_test")
+    out["welch_test"] = test.orderBy("segment")
+    out["significance"] = stats.significance(test).orderBy("segment")
+    return out
+
+
 def run_analysis(fact_df: DataFrame, export_dir: str | None = None, k: int = 3,
                  orders_unique: bool | None = None, run_date: str | None = None) -> dict[str, DataFrame]:
     """Reports from a saved fact.
 
-    ``orders_unique``: whether order ids are known to be unique, so that counts
-    need no distinct; None finds out (one aggregate). Both give the same numbers.
+    ``orders_unique``: whether order ids are known to be unique - the gate's report
+    says so (``readers.saved_report``) - so that counts need no distinct; None finds out
+    (one aggregate). Both give the same numbers.
 
-    The enriched base is reduced to the report columns and written once to the
-    shared checkpoint folder, as are orders per customer, the period metrics and
-    the test; every report starts from those, and a lost executor costs a re-read
-    of files. They go when the scope that is open here is closed. The weekly reports are exported as CSV when asked."""
+    With unique ids, the base is read once and summed by customer and day; that table,
+    a day's worth of orders per row, is written to the shared checkpoint folder, and all
+    reports are rollups of it. Otherwise the base itself is reduced to the report
+    columns and written once. A lost executor costs a re-read of files, which go when
+    the scope that is open here is closed. The weekly reports are exported as CSV when
+    asked."""
     if orders_unique is None:
         orders_unique = bool(quality.dq_report(fact_df.select("order_id"), "order_id").first().key_is_unique)
 
     def save(df: DataFrame, name: str) -> DataFrame:
         return sinks.materialize(df, f"report_{name}", run_date)
     counts = save(segments.orders_per_customer(fact_df, orders_unique=orders_unique), "orders_per_customer")
-    base = save(analysis_base(fact_df, counts=counts).select(*REPORT_COLUMNS), "base")
-    out = reports(base, k, orders_unique, save)
+    base = analysis_base(fact_df, counts=counts).select(*REPORT_COLUMNS)
+    if orders_unique:
+        out = reports_from_days(save(cube.customer_days(base), "customer_days"), k, save)
+    else:
+        out = reports(save(base, "base"), k, False, save)
     if export_dir:
         for name, keys in (("weekly_city_metrics", ("city_state", "week")),
                            ("weekly_segment_metrics", ("customer_segment", "week"))):
