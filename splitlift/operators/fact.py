@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import ORDER_FACT_COLUMNS
-
-# Orders without a customer match nobody; their rows are dealt over this many
-# values of the join key instead of meeting in one task.
-NULL_LANES = 1024
+from . import skew
 
 
 def join_merchants(orders: DataFrame, merchants: DataFrame) -> DataFrame:
@@ -34,28 +33,26 @@ def join_abtest(df: DataFrame, abtest: DataFrame) -> DataFrame:
     return df.join(ab, ["customer_id"], "left")
 
 
-def join_customers(df: DataFrame, consumers: DataFrame, abtest: DataFrame) -> DataFrame:
+def join_customers(df: DataFrame, consumers: DataFrame, abtest: DataFrame, hot: Sequence[str] = ()) -> DataFrame:
     """Both customer joins as one join of the orders.
 
     Consumers and assignment meet first, on the small side, so the orders are
-    joined once and AQE can split a hot customer's partition (with a second join
-    on the same key it could not). Orders with a NULL customer get a key of their
-    own that matches nothing."""
+    joined once. ``hot``: customers with very many orders, joined by broadcast; they and
+    orders without a customer meet in no single task."""
     c = (consumers.withColumnRenamed("customer_name", "consumer_name")
                   .withColumnRenamed("created_at", "consumer_created_at"))
     ab = abtest.select("customer_id", F.col("is_target").alias("abtest_group"))
-    customers = (c.join(ab, ["customer_id"], "full_outer").where("customer_id is not null")
-                  .withColumnRenamed("customer_id", "__customer"))
-    lane = F.concat(F.lit("\0"), F.pmod(F.xxhash64("order_id"), F.lit(NULL_LANES)).cast("string"))
-    return (df.withColumn("__key", F.coalesce("customer_id", lane))
-              .join(customers, F.col("__key") == F.col("__customer"), "left")
-              .drop("__key", "__customer"))
-
-
-def order_fact(orders: DataFrame, consumers: DataFrame, merchants: DataFrame,
-               abtest: DataFrame) -> DataFrame:
-    """The 29-column order fact from the cleaned inputs."""
-    joined = join_customers(join_merchants(orders, merchants), consumers, abtest)
+    return skew.left_join(df, c.join(ab, ["customer_id"], "full_outer"), "customer_id", hot)
+
+
+def order_fact(orders: DataFrame, consumers: DataFrame, merchants: DataFrame, abtest: DataFrame,
+               hot: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """The 29-column order fact from the cleaned inputs. ``hot``: hot values of
+    ``merchant_id`` and ``customer_id`` (``skew.hot_keys``)."""
+    hot = hot or {}
+    m = merchants.withColumnRenamed("created_at", "merchant_created_at")
+    joined = skew.left_join(orders, m, "merchant_id", hot.get("merchant_id", ()))
+    joined = join_customers(joined, consumers, abtest, hot.get("customer_id", ()))
     derived = {
         "customer_name": F.coalesce(F.col("customer_name"), F.col("consumer_name")),
         "delivery_address_city": F.coalesce(F.col("delivery_address_city"), F.col("merchant_city")),

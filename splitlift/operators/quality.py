@@ -8,6 +8,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from . import skew
+
 
 class DataQualityError(Exception):
     """Raised by :func:`require` when a check fails."""
@@ -37,9 +39,17 @@ def dq_report(df: DataFrame, key: str | Sequence[str] = "order_id") -> DataFrame
     })
 
 
-def watched(df: DataFrame, key: str, watch: Observation) -> DataFrame:
-    """``df``, whose rows and NULL keys are counted while it passes by."""
-    return df.observe(watch, F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(key).isNull()).alias("n_null_keys"))
+def watched(df: DataFrame, key: str, watch: Observation, tops: Sequence[str] = ()) -> DataFrame:
+    """``df``, whose rows and NULL keys are counted while it passes by, with candidates
+    for hot values of the columns ``tops``."""
+    return df.observe(watch, F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(key).isNull()).alias("n_null_keys"),
+                      *[skew.top_keys(c).alias(f"top_{c}") for c in tops])
+
+
+def observed_hot(watch: Observation, tops: Sequence[str], tasks: int) -> dict[str, list[str]]:
+    """Hot values of the columns that :func:`watched` looked at."""
+    seen = _observed(watch)
+    return {c: skew.hot(seen.get(f"top_{c}"), seen.get("n_rows", 0), tasks) for c in tops}
 
 
 def _observed(watch: Observation) -> dict:
@@ -58,10 +68,10 @@ def observed_report(before: Observation, after: Observation) -> dict | None:
     unique. Counts that differ may also come from tasks that ran twice after an
     executor was lost, or from nodes that the optimizer left out of an empty plan; the
     caller then counts what was written."""
-    ahead, behind = _observed(before), _observed(after)
-    if not ahead or ahead != behind:
+    counts = [{k: v for k, v in _observed(watch).items() if not k.startswith("top_")} for watch in (before, after)]
+    if not counts[0] or counts[0] != counts[1]:
         return None
-    rows, nulls = behind["n_rows"], behind["n_null_keys"]
+    rows, nulls = counts[0]["n_rows"], counts[0]["n_null_keys"]
     return {"n_rows": rows, "n_keyed": rows - nulls, "n_distinct_keys": rows - nulls, "n_null_keys": nulls,
             "key_is_unique": True, "key_never_null": nulls == 0, "has_rows": rows > 0}
 

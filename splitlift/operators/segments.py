@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import segment_label
+from . import skew
 
 
 def orders_per_customer(df: DataFrame, customer: str = "customer_id", order: str = "order_id",
@@ -55,6 +58,8 @@ def rank_segments(counts: DataFrame, high: float = 0.90, medium: float = 0.50) -
     return ranked.withColumn("customer_segment", segment_label("pct_rank", high, medium))
 
 
-def with_segment(base: DataFrame, segments: DataFrame, customer: str = "customer_id") -> DataFrame:
-    """base LEFT JOIN segments: orders without a customer get a NULL segment."""
-    return base.join(segments.select(customer, "customer_segment"), [customer], "left")
+def with_segment(base: DataFrame, segments: DataFrame, customer: str = "customer_id", hot: Sequence[str] = (),
+                 order: str = "order_id") -> DataFrame:
+    """base LEFT JOIN segments: orders without a customer get a NULL segment. ``hot``:
+    customers with very many orders (``skew.hot_of_counts``)."""
+    return skew.left_join(base, segments.select(customer, "customer_segment"), customer, hot, order)

@@ -3,20 +3,21 @@ analysis that turns a saved fact into the A/B reports."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 
 from .. import schemas
-from ..operators import clean, cube, fact, items, lift, metrics, periods, quality, segments, stats
+from ..operators import clean, cube, fact, items, lift, metrics, periods, quality, segments, skew, stats
 from ..sources import readers, sinks
 
 # Columns of the fact the analysis never needs (personal data stays out of
 # the cached base).
 PERSONAL = ("customer_name", "customer_phone_area", "customer_phone_number")
 
+JOIN_KEYS = ("merchant_id", "customer_id")
 PERIODS, GROUPINGS = cube.PERIODS, cube.GROUPINGS
 
 # The only columns the reports read: a narrow table, cheap to write and scan.
@@ -48,15 +49,17 @@ def load_raw(spark: SparkSession, paths: Mapping[str, str], partitions: int | No
     )
 
 
-def build_fact(raw: RawInputs, before: Observation | None = None, after: Observation | None = None) -> DataFrame:
+def build_fact(raw: RawInputs, before: Observation | None = None, after: Observation | None = None,
+               hot: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Clean the three raw datasets and join them with the assignment. ``before`` and
-    ``after`` count the orders ahead of the joins and behind them."""
+    ``after`` count the orders ahead of the joins and behind them; ``hot`` are hot
+    values of the join keys."""
     orders = clean.clean_orders(raw.orders)
     if before is not None:
         orders = quality.watched(orders, "order_id", before)
     out = fact.order_fact(orders, clean.clean_consumers(raw.consumers), clean.clean_merchants(raw.merchants),
-                          raw.abtest)
-    return out if after is None else quality.watched(out, "order_id", after)
+                          raw.abtest, hot)
+    return out if after is None else quality.watched(out, "order_id", after, JOIN_KEYS)
 
 
 def check_dimensions(raw: RawInputs) -> None:
@@ -74,25 +77,30 @@ def run_elt(raw: RawInputs, target: str, run_date: str, fmt: str = "parquet") ->
     The gate's counts are taken while the fact is written: order ids are unique after
     the dedup, and joins with unique keys keep them so. Only where these counts prove
     nothing is the written fact read for them. The report, kept with the version, tells
-    the analysis that ids are unique. A run that fails or is killed at any point leaves
+    the analysis that ids are unique, and the next run which merchants and customers are
+    hot; the first run looks for those in the raw orders. A run that fails or is killed at any point leaves
     the old version, or the whole new one."""
     check_dimensions(raw)
     before, after = Observation(), Observation()
+    spark = raw.orders.sparkSession
+    last = readers.saved_report(spark, target, fmt) or {}
+    hot = last.get("hot") or skew.hot_keys(raw.orders, JOIN_KEYS)
 
     def gate(written: DataFrame) -> dict:
         report = quality.observed_report(before, after)
-        counted = {"counted_while_writing": report is not None}
-        return {**quality.require(report or quality.dq_report(written, "order_id")), **counted, "run_date": run_date}
-    return sinks.save_full(build_fact(raw, before, after), target, fmt, gate)
+        notes = {"counted_while_writing": report is not None, "run_date": run_date,
+                 "hot": quality.observed_hot(after, JOIN_KEYS, skew.tasks_of(written))}
+        return {**quality.require(report or quality.dq_report(written, "order_id")), **notes}
+    return sinks.save_full(build_fact(raw, before, after, hot), target, fmt, gate)
 
 
 def analysis_base(fact_df: DataFrame, high: float = 0.90, medium: float = 0.50,
-                  orders_unique: bool = False, counts: DataFrame | None = None) -> DataFrame:
+                  orders_unique: bool = False, counts: DataFrame | None = None, hot: Sequence[str] = ()) -> DataFrame:
     """Fact + customer segment + item metrics + calendar columns. ``counts``: orders
-    per customer, if they are at hand."""
+    per customer, if they are at hand; ``hot``: customers with very many."""
     if counts is None:
         counts = segments.orders_per_customer(fact_df, orders_unique=orders_unique)
-    base = segments.with_segment(fact_df.drop(*PERSONAL), segments.rank_segments(counts, high, medium))
+    base = segments.with_segment(fact_df.drop(*PERSONAL), segments.rank_segments(counts, high, medium), hot=hot)
     return periods.add_periods(items.with_item_metrics(base))
 
 
@@ -174,7 +182,8 @@ def run_analysis(fact_df: DataFrame, export_dir: str | None = None, k: int = 3,
     def save(df: DataFrame, name: str) -> DataFrame:
         return sinks.materialize(df, f"report_{name}", run_date)
     counts = save(segments.orders_per_customer(fact_df, orders_unique=orders_unique), "orders_per_customer")
-    base = analysis_base(fact_df, counts=counts).select(*REPORT_COLUMNS)
+    hot = skew.hot_of_counts(counts, "customer_id", "orders_total")
+    base = analysis_base(fact_df, counts=counts, hot=hot).select(*REPORT_COLUMNS)
     if orders_unique:
         out = reports_from_days(save(cube.customer_days(base), "customer_days"), k, save)
     else:

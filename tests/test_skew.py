@@ -1,8 +1,9 @@
 """A key holding a third of the rows: results stay whole and exact, and the
 aggregates combine map-side instead of collecting the key in one task."""
+import pytest
 from pyspark.sql import functions as F
 
-from splitlift.operators import fact, metrics, segments
+from splitlift.operators import fact, metrics, segments, skew
 from splitlift.schemas import ITEMS, ORDER_FACT_COLUMNS
 
 ORDER_SIDE = ("order_created_at_utc", "order_scheduled_date", "origin_platform", "merchant_timezone", "customer_name",
@@ -46,49 +47,104 @@ def test_hot_customer_segments_and_metrics(spark):
     assert g.total_revenue == round(sum((i % 100) + 0.25 for i in range(30_000)), 2)
 
 
-def test_aqe_splits_the_hot_customer_in_the_whole_fact(spark):
-    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
-            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
-            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
-            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
-            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
-    old = {k: spark.conf.get(k, None) for k in conf}
-    for k, v in conf.items():
+NO_HELP = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+           "spark.sql.shuffle.partitions": "16"}
+
+
+@pytest.fixture()
+def without_adaptive(spark):
+    """Nothing re-plans at run time and no side is broadcast unless the library says so."""
+    old = {k: spark.conf.get(k, None) for k in NO_HELP}
+    for k, v in NO_HELP.items():
         spark.conf.set(k, v)
-    try:
-        n = 60_000
-        given = _orders(spark, n)
-        orders = given
-        for c in ORDER_FACT_COLUMNS:
-            if c in ("items",):
-                orders = orders.withColumn(c, F.lit(None).cast(ITEMS))
-            elif c not in given.columns and c in ORDER_SIDE:
-                orders = orders.withColumn(c, F.lit("x"))
-        ids = spark.range(500).select(F.col("id").cast("string").alias("customer_id")).union(
-            spark.createDataFrame([("hot",)], "customer_id string"))
-        consumers = ids.select("customer_id", F.lit("pt").alias("language"), F.lit("c").alias("created_at"),
-                               F.lit("t").alias("active"), F.lit("n").alias("customer_name"),
-                               F.lit("1").alias("customer_phone_area"), F.lit("2").alias("customer_phone_number"))
-        abtest = ids.select("customer_id", F.lit("control").alias("is_target"))
-        merchants = spark.range(7).select(
-            F.col("id").cast("string").alias("merchant_id"), *[F.lit("m").alias(c) for c in (
-                "created_at", "enabled", "price_range", "average_ticket", "takeout_time", "delivery_time",
-                "minimum_order_value", "merchant_zip_code", "merchant_city", "merchant_state", "merchant_country")])
-        j = fact.order_fact(orders, consumers, merchants, abtest).select("order_id", "customer_id", "language",
-                                                                         "abtest_group", "merchant_city")
-        rows = j.collect()                              # runs this plan, so AQE finalises it
-        assert len(rows) == n and sum(r.customer_id is None for r in rows) == n // 3
-        assert all((r.abtest_group is None) == (r.customer_id is None) for r in rows)
-        plan = j._jdf.queryExecution().executedPlan().toString()
-        assert "isFinalPlan=true" in plan
-        assert "SortMergeJoin(skew=true)" in plan and "AQEShuffleRead skewed" in plan
-    finally:
-        for k, v in old.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _largest_share(df):
+    """Rows of the largest task of the plan's last stage, in average tasks."""
+    rows = df.select(F.spark_partition_id().alias("p"), F.xxhash64(*df.columns).alias("h"))  # every column is needed
+    sizes = [r.n for r in rows.groupBy("p").agg(F.count("h").alias("n"), F.max("h")).collect()]
+    return max(sizes) * 16 / sum(sizes)
+
+
+def _fact_inputs(spark, n):
+    given = _orders(spark, n).withColumn("merchant_id", F.when(F.col("order_id").cast("int") % 2 == 0, "m")
+                                         .otherwise((F.col("order_id").cast("int") % 300).cast("string")))
+    orders = given.withColumns({c: F.lit("x") for c in ORDER_SIDE}).withColumn("items", F.lit(None).cast(ITEMS))
+    ids = spark.range(500).select(F.col("id").cast("string").alias("customer_id")).union(
+        spark.createDataFrame([("hot",)], "customer_id string"))
+    consumers = ids.select("customer_id", *[F.lit("c").alias(c) for c in (
+        "language", "created_at", "active", "customer_name", "customer_phone_area", "customer_phone_number")])
+    abtest = ids.select("customer_id", F.lit("control").alias("is_target"))
+    merchants = spark.range(300).select(F.col("id").cast("string").alias("merchant_id")).union(
+        spark.createDataFrame([("m",)], "merchant_id string")).select("merchant_id", *[F.lit("m").alias(c) for c in (
+            "created_at", "enabled", "price_range", "average_ticket", "takeout_time", "delivery_time",
+            "minimum_order_value", "merchant_zip_code", "merchant_city", "merchant_state", "merchant_country")])
+    return orders, consumers, merchants, abtest
+
+
+def test_hot_keys_of_the_fact_meet_in_no_single_task(spark, without_adaptive):
+    orders, consumers, merchants, abtest = _fact_inputs(spark, 60_000)
+    hot = skew.hot_keys(orders, ["merchant_id", "customer_id"])
+    assert hot == {"merchant_id": ["m"], "customer_id": ["hot"]}
+    plain = fact.order_fact(orders, consumers, merchants, abtest)
+    split = fact.order_fact(orders, consumers, merchants, abtest, hot)
+    assert _largest_share(plain) > 3 > 1.5 > _largest_share(split)
+    by_merchant = skew.left_join(orders, merchants.select("merchant_id", "enabled"), "merchant_id", ["m"])
+    assert _largest_share(by_merchant) < 1.5
+    a, b = (f.select("order_id", "customer_id", "merchant_id", "language", "abtest_group", "merchant_city")
+            for f in (plain, split))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    assert b.where("merchant_city is null").count() == 0
+    assert b.where("(abtest_group is null) <> (customer_id is null)").count() == 0
+
+
+def test_hot_customer_meets_its_segment_in_no_single_task(spark, without_adaptive):
+    orders = _orders(spark, 60_000)
+    counts = segments.orders_per_customer(orders)
+    hot = skew.hot_of_counts(counts, "customer_id", "orders_total")
+    assert hot == ["hot"]
+    ranked = segments.rank_segments(counts)
+    split = segments.with_segment(orders, ranked, hot=hot)
+    assert _largest_share(segments.with_segment(orders, ranked)) > 3 > 1.5 > _largest_share(split)
+    want = orders.join(ranked.select("customer_id", "customer_segment"), "customer_id", "left")
+    want = want.select(*split.columns)
+    assert split.exceptAll(want).count() == 0 and want.exceptAll(split).count() == 0
+
+
+def test_lanes_match_no_key(spark):
+    left = spark.createDataFrame([(None, "o1", "mine"), ("hot", "o2", "mine"), ("a", "o3", "mine")],
+                                 "k string, order_id string, lane string")
+    lanes = [(str(i), f"v{i}") for i in range(skew.LANES)] + [("\0" + str(i), "w") for i in range(skew.LANES)]
+    right = spark.createDataFrame([*lanes, (None, "none"), ("hot", "H"), ("a", None)], "k string, rest string")
+    for hot in ([], ["hot"], ["hot", "a"]):
+        out = skew.left_join(left, right, "k", hot)
+        assert out.columns == ["k", "order_id", "lane", "rest"]
+        got = {r.order_id: (r.k, r.lane, r.rest) for r in out.collect()}
+        assert got == {"o1": (None, "mine", None), "o2": ("hot", "mine", "H"), "o3": ("a", "mine", None)}
+
+
+def test_internal_names_of_the_caller_are_kept(spark):
+    names = ["is_lane", "lane", "is_key", "other_key", "few_key", "near", "lane_", "is_lane_"]
+    left = spark.range(3).select(F.col("id").cast("string").alias("order_id"), F.col("id").cast("string").alias("k"),
+                                 *[F.lit(n).alias(n) for n in names])
+    right = spark.createDataFrame([("0", "x"), ("1", "y")], "k string, rest string")
+    for r in skew.left_join(left, right, "k", ["1"]).collect():
+        assert [r[n] for n in names] == names and r.rest == {"0": "x", "1": "y"}.get(r.k)
+
+
+def test_a_run_hands_its_hot_keys_to_the_next(spark, tmpdir_path):
+    from splitlift.plans import pipeline
+    from splitlift.sources import fixtures as fx
+    from conftest import SF_SMALL
+    raw = pipeline.RawInputs(fx.fx_orders(spark, SF_SMALL).withColumn(
+        "merchant_id", F.when(F.col("order_id").cast("int") % 2 == 0, "1").otherwise(F.col("merchant_id"))),
+        fx.fx_consumers(spark, SF_SMALL), fx.fx_merchants(spark, SF_SMALL), fx.fx_abtest(spark, SF_SMALL))
+    reports = [pipeline.run_elt(raw, f"{tmpdir_path}/fact", run_date=f"2024-01-0{d}") for d in (1, 2)]
+    assert "1" in reports[0]["hot"]["merchant_id"] and reports[0]["hot"]["customer_id"] == []
+    assert {**reports[0], "run_date": ""} == {**reports[1], "run_date": ""}
 
 
 def test_customer_of_one_dimension_only(spark):
