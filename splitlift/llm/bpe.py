@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from ._text import slices, span_hashes
 
 BLOCK_BYTES = 32 << 20
-BUCKETS = 8  # word buckets per shuffle partition
+BUCKETS = 2  # word buckets per shuffle partition
 
 # Byte classes of the public splitting pattern: white space, letters, digits, rest.
 _SPACE, _LETTER, _DIGIT, _REST = 0, 1, 2, 3
@@ -165,26 +165,27 @@ def _gather(flat: np.ndarray, heads: np.ndarray, sizes: np.ndarray, which: np.nd
 
 
 def _squeeze(values: np.ndarray) -> bytes:
-    """32-bit numbers as zstd; bytes of one place together compress better."""
-    planes = np.ascontiguousarray(values, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(planes)
+    """32-bit numbers as zstd: their low halves, then their high halves, which are
+    mostly zero (frequent words have small numbers)."""
+    halves = np.ascontiguousarray(values, np.uint32).view("<u2").reshape(-1, 2).T.tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(halves)
 
 
 def _numbers(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
+    halves = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), "<u2")
+    return np.ascontiguousarray(halves.reshape(2, -1).T).view(np.uint32).ravel()
 
 
 # Positions: words (how many distinct ones), ids and sizes of documents, numbers by
-# position. A bucket's words: words, first (number of the first), their sizes and bytes.
-_SCHEMA = ("key long, block long, words long, first int, id array<long>, sizes binary, numbers binary, body binary")
-_ARROW = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("words", pa.int64()), ("first", pa.int32()),
+# position. A bucket's words: words, their sizes, numbers and bytes.
+_SCHEMA = "key long, block long, words long, id array<long>, sizes binary, numbers binary, body binary"
+_ARROW = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("words", pa.int64()),
                     ("id", pa.list_(pa.int64())), ("sizes", pa.binary()), ("numbers", pa.binary()),
                     ("body", pa.binary())])
 
 
-def _row(key, block, words, first, ids, sizes, numbers, body) -> pa.RecordBatch:
-    values = (key, block, words, first, ids, sizes, numbers, body)
+def _row(key, block, words, ids, sizes, numbers, body) -> pa.RecordBatch:
+    values = (key, block, words, ids, sizes, numbers, body)
     return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _ARROW)], schema=_ARROW)
 
 
@@ -213,27 +214,32 @@ class _Block:
         lengths = np.concatenate(self.lengths)[first]
         heads = (np.cumsum(np.concatenate(self.lengths)) - np.concatenate(self.lengths))[first]
         flat = np.concatenate(self.bodies)
-        # Words are numbered by bucket and then, nearly, by the alphabet: a bucket's
-        # numbers are a range, and its neighbouring words compress well.
+        ends = np.cumsum([len(s) for s in self.seen]).tolist()
+        runs = list(zip(self.seen, self.codes, ends))
+        # Words are numbered by falling frequency in the block: what most positions
+        # hold are small numbers, which compress well.
+        times = np.zeros(len(names), np.int64)
+        for seen, codes, end in runs:
+            times[number[end - len(seen):end]] += np.bincount(codes, minlength=len(seen))
+        place = np.empty(len(names), np.uint32)
+        place[np.argsort(-times, kind="stable")] = np.arange(len(names), dtype=np.uint32)
+        rank = place[number]
+        codes = np.concatenate([rank[end - len(seen):end][c] for seen, c, end in runs])
+        # Positions have a negative key: any partition will do on their first way.
+        yield _row(-1 - self.number, self.number, len(names), self.ids, _squeeze(np.concatenate(self.sizes)),
+                   _squeeze(codes), None)
+        # A bucket's words travel in the order of the alphabet, nearly: neighbours compress well.
         bucket = (names % np.uint64(buckets)).astype(np.int64)  # equal words, equal hashes
         padded = np.concatenate([flat, np.zeros(8, np.uint8)])
         at = np.arange(8)
         letters = np.where(at < lengths[:, None], padded[heads[:, None] + at], 0).astype(np.uint8)
         order = np.lexsort((letters.view(">u8").ravel(), bucket))
-        place = np.empty(len(order), np.uint32)
-        place[order] = np.arange(len(order), dtype=np.uint32)
-        rank = place[number]
-        ends = np.cumsum([len(s) for s in self.seen])
-        codes = np.concatenate([rank[e - len(s):e][c] for s, c, e in zip(self.seen, self.codes, ends.tolist())])
-        # Positions have a negative key: any partition will do on their first way.
-        yield _row(-1 - self.number, self.number, len(names), 0, self.ids, _squeeze(np.concatenate(self.sizes)),
-                   _squeeze(codes), None)
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
         zip_ = zstandard.ZstdCompressor(level=3)
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             own = order[cuts[b]:cuts[b + 1]]
             body, _ = _gather(flat, heads, lengths, own)
-            yield _row(b, self.number, len(own), int(cuts[b]), None, _squeeze(lengths[own]), None,
+            yield _row(b, self.number, len(own), None, _squeeze(lengths[own]), _squeeze(place[own]),
                        zip_.compress(body.tobytes()))
 
 
@@ -276,21 +282,23 @@ def encoded_rows(rows: DataFrame, vocabulary) -> DataFrame:
         heads = np.cumsum(sizes) - sizes
         new_sizes = [_squeeze(sizes[which]) for which in lists]
         new_body = [_squeeze(_gather(flat, heads, sizes, which)[0]) for which in lists]
-        return (group.set_column(5, "sizes", pa.array(new_sizes, pa.binary()))
-                .set_column(7, "body", pa.array(new_body, pa.binary())))
+        return (group.set_column(4, "sizes", pa.array(new_sizes, pa.binary()))
+                .set_column(6, "body", pa.array(new_body, pa.binary())))
     return rows.groupBy("key").applyInArrow(run, _SCHEMA)
 
 
 def _place(group: pa.Table, table: tuple[np.ndarray, np.ndarray] | None = None) -> pa.Table:
     """Ids of a block's documents: word numbers replaced by the words' ids. With the
     id-to-piece table, their decoded texts as well."""
-    rows = sorted(group.to_pylist(), key=lambda r: (r["key"] < 0, r["first"]))
+    rows = group.to_pylist()
     lists = [r for r in rows if r["key"] >= 0]
-    size = np.concatenate([np.zeros(0, np.uint32), *(_numbers(r["sizes"]) for r in lists)]).astype(np.int64)
+    listed = np.concatenate([np.zeros(0, np.uint32), *(_numbers(r["sizes"]) for r in lists)]).astype(np.int64)
     flat = np.concatenate([np.zeros(0, np.uint32), *(_numbers(r["body"]) for r in lists)]).astype(np.int32)
-    heads = np.cumsum(size) - size
+    number = np.concatenate([np.zeros(0, np.uint32), *(_numbers(r["numbers"]) for r in lists)])
+    size, heads = np.zeros_like(listed), np.zeros_like(listed)
+    size[number], heads[number] = listed, np.cumsum(listed) - listed
     out = []
-    for row in rows[len(lists):]:
+    for row in (r for r in rows if r["key"] < 0):
         if row["words"] != len(size):
             raise RuntimeError("a block's words are not all encoded")
         codes = _numbers(row["numbers"])
