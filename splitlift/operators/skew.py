@@ -14,6 +14,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LANES = 1024
 HOT_KEYS = 64  # keys joined by broadcast: one row of the other side each
@@ -65,7 +66,8 @@ def left_join(left: DataFrame, right: DataFrame, key: str, hot: Sequence[str] =
     taken = set(left.columns) | set(right.columns)
     flag, lane, real, other, rest, few, near = (_fresh(taken, n) for n in (
         "is_lane", "lane", "is_key", "other_key", "rest", "few_key", "near"))
-    text = F.col(key).cast("string")
+    text = (F.col(key) + 0.0 if isinstance(left.schema[key].dataType, (T.DoubleType, T.FloatType))  # -0.0 is 0.0
+            else F.col(key)).cast("string")
     apart = F.col(key).isNull()
     cold = F.col(key).isNotNull()
     values = F.struct(*[F.col(f"`{c}`") for c in payload])

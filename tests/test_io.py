@@ -47,6 +47,59 @@ def test_archive_without_csv_fails(spark, tmpdir_path):
         read_archive_csv(spark, path, schemas.ABTEST_RAW).collect()
 
 
+AB = "customer_id,is_target\n"
+
+
+def test_every_csv_member_of_many_archives(spark, tmpdir_path):
+    for a in range(3):
+        _tar(f"{tmpdir_path}/x{a}.tar.gz", [(f"m{k}.csv", (AB + f"{a}-{k},control\n").encode()) for k in range(3)])
+    every = read_archive_csv(spark, f"{tmpdir_path}/*.tar.gz", schemas.ABTEST_RAW, every=True)
+    assert sorted(r.customer_id for r in every.collect()) == [f"{a}-{k}" for a in range(3) for k in range(3)]
+    first = read_archive_csv(spark, f"{tmpdir_path}/*.tar.gz", schemas.ABTEST_RAW)
+    assert sorted(r.customer_id for r in first.collect()) == ["0-0", "1-0", "2-0"]
+
+
+def test_a_member_has_one_encoding(spark, tmpdir_path):
+    utf8 = (AB + "é,control\n").encode()
+    latin = AB.encode() + "Ã©".encode("latin-1") + b",control\n" + b"x" * 9 + b",control\nS\xe3o,target\n"
+    _tar(f"{tmpdir_path}/x.tar.gz", [("a.csv", utf8), ("b.csv", latin)])
+    got = [r.customer_id for r in read_archive_csv(spark, f"{tmpdir_path}/x.tar.gz", schemas.ABTEST_RAW, True).collect()]
+    assert sorted(got) == sorted(["é", "Ã©", "x" * 9, "São"])  # the first of b is valid UTF-8 by itself
+
+
+@pytest.mark.parametrize("suffix", [".tar.gz", ".tgz"])
+def test_line_ends_and_quotes_pass_through(spark, tmpdir_path, suffix):
+    body = b'is_target,customer_id\r\n"a\nb","1 ""x"""\r\n\r\ncontrol,\n"\r",3'
+    _tar(f"{tmpdir_path}/x{suffix}", [("skip.bin", bytes(range(256)) * 50), ("a.CSV", body)])
+    got = read_archive_csv(spark, f"{tmpdir_path}/x{suffix}", schemas.ABTEST_RAW).collect()
+    assert sorted((r.customer_id or "", r.is_target) for r in got) == [("", "control"), ('1 "x"', "a\nb"), ("3", "\r")]
+
+
+def test_an_archive_passes_in_pieces(tmpdir_path):
+    """A task holds some pieces and rows at a time, whatever the archive's size is."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from splitlift.sources import readers
+    body = AB.encode() + b"".join(b"%d,control\n" % i for i in range(600_000))
+    path = f"{tmpdir_path}/x.tar"
+    with tarfile.open(path, "w") as tar:
+        info = tarfile.TarInfo("a.csv")
+        info.size = len(body)
+        tar.addfile(info, io.BytesIO(body))
+
+    def batches():
+        with open(path, "rb") as f:
+            while lines := f.readlines(1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(["x"] * len(lines)), pa.array(lines, pa.binary())],
+                                                 names=["path", "part"])
+    tracemalloc.start()
+    n = sum(b.num_rows for b in readers._archive_rows(["customer_id"], False, 1000)(batches()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 600_000 and peak < len(body) * 0.7
+
+
 def test_raw_files_round_trip_through_elt(spark, tmpdir_path):
     d = tmpdir_path
     fx.fx_orders(spark, SF_SMALL).write.option("compression", "gzip").json(f"{d}/orders.json.gz")

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -34,3 +36,37 @@ def test_segments_partition_customers(spark):
     assert seg.count() == seg.select("customer_id").distinct().count()
     assert {r.customer_segment for r in seg.select("customer_segment").distinct().collect()} <= {
         "High", "Medium", "Low"}
+
+
+def _ranked(spark, rows, kind="double"):
+    return spark.createDataFrame(rows, f"customer_id string, spent {kind}")
+
+
+def test_percent_rank_of_any_value(spark):
+    rng = random.Random(3)
+    rows = [(f"c{i}", rng.choice([None, 0.0, -0.0, 1.5, rng.uniform(-9, 9), float("nan"), float("inf")]))
+            for i in range(400)] + [(None, 1.5)] * 200
+    df = _ranked(spark, rows)
+    got = customer_percent_rank(df, "spent")
+    want = df.withColumn("pct_rank", F.percent_rank().over(Window.orderBy("spent")))
+    assert got.columns == want.columns
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_percent_rank_of_texts_and_small_tables(spark):
+    df = _ranked(spark, [("a", "x"), ("b", "y"), ("c", "x"), ("d", None)], "string")
+    assert {r.customer_id: r.pct_rank for r in customer_percent_rank(df, "spent").collect()} == {
+        "a": 1 / 3, "b": 1.0, "c": 1 / 3, "d": 0.0}
+    assert [r.pct_rank for r in customer_percent_rank(_ranked(spark, [("a", 2.0)]), "spent").collect()] == [0.0]
+    assert customer_percent_rank(_ranked(spark, []), "spent").collect() == []
+
+
+def test_a_million_values_meet_in_no_single_task(spark):
+    df = spark.range(1_000_000).select(
+        F.col("id").cast("string").alias("customer_id"),
+        F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.xxhash64("id") / 1e12).alias("spent"))
+    ranked = customer_percent_rank(df, "spent")
+    assert "SinglePartition" not in ranked._jdf.queryExecution().executedPlan().toString()
+    want = df.withColumn("ref", F.percent_rank().over(Window.orderBy("spent"))).select("customer_id", "ref")
+    bad = ranked.join(want, "customer_id").where("abs(pct_rank - ref) > 1e-12").count()
+    assert bad == 0 and ranked.count() == 1_000_000
