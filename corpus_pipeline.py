@@ -18,8 +18,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from splitlift.llm import bpe, decontaminate, exact_dedup, ngram_jaccard, quality
-from splitlift.llm._io import cut, table
+from splitlift.llm._io import table
 from splitlift.llm._vocab import default_vocabulary
+from splitlift.sources import scope
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages. What a stage cuts on its way goes when its result is written."""
+    kept = scope.current(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"stage_{name}")
+        with scope.Scope(spark, name):
+            docs = kept.cut(stage(spark, docs, sf_dir), f"stage_{name}", "zstd")
     return docs
