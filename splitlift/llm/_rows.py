@@ -1,4 +1,4 @@
-"""Dropping rows of a table by a key of id and text."""
+"""Drawing rows of a table by their id, and dropping rows by a key of id and text."""
 
 from __future__ import annotations
 
@@ -12,6 +12,24 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(id_col, text_col)
 
 
+def hash_limit(sample: int, rows: int) -> int:
+    """Rows with ``xxhash64(id)`` up to this number are about ``sample`` of ``rows``, at
+    any number of rows; all where there are no more."""
+    return 2 ** 63 - 1 if rows <= sample else sample * 2 ** 64 // rows - 2 ** 63
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def drop_rows(df: DataFrame, drop: DataFrame, id_col: str, text_col: str, again: DataFrame | None = None
               ) -> DataFrame:
     """``df`` without the rows whose key is in ``drop`` (a column dk). Of rows that
@@ -19,12 +37,14 @@ def drop_rows(df: DataFrame, drop: DataFrame, id_col: str, text_col: str, again:
 
     Both key lists are cut first, so the planner knows their size: short ones are
     broadcast and no text is shuffled, long ones are joined by sorting."""
-    rows = df.withColumn("__own", row_key(id_col, text_col))
-    gone = cut(drop.select(F.col("dk").alias("__dk")).distinct(), "drop")
-    match = F.col("__own") == F.col("__dk")
+    own, dk = free_names(df, "own_key", "drop_key")
+    rows = df.withColumn(own, row_key(id_col, text_col))
+    gone = cut(drop.select(F.col("dk").alias(dk)).distinct(), "drop")
+    match = F.col(own) == F.col(dk)
+    columns = [F.col(f"`{c}`") for c in df.columns]
     if again is None:
-        return rows.join(gone, match, "left_anti").select(*df.columns)
-    twice = cut(again.select(F.col("dk").alias("__dk")).distinct().join(gone, "__dk", "left_anti"), "again")
+        return rows.join(gone, match, "left_anti").select(*columns)
+    twice = cut(again.select(F.col("dk").alias(dk)).distinct().join(gone, dk, "left_anti"), "again")
     once = rows.join(gone.union(twice), match, "left_anti")
-    first = rows.join(twice, match, "left_semi").dropDuplicates(["__own"])
-    return once.unionByName(first).select(*df.columns)
+    first = rows.join(twice, match, "left_semi").dropDuplicates([own])
+    return once.unionByName(first).select(*columns)

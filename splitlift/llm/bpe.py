@@ -164,11 +164,13 @@ def _gather(flat: np.ndarray, heads: np.ndarray, sizes: np.ndarray, which: np.nd
     return flat[np.arange(ends[-1]) + np.repeat(heads[which] - ends[:-1], n)], ends
 
 
-def _squeeze(values: np.ndarray) -> bytes:
+def _squeeze(values: np.ndarray, far: bool = False) -> bytes:
     """32-bit numbers as zstd: their low halves, then their high halves, which are
-    mostly zero (frequent words have small numbers)."""
+    mostly zero (frequent words have small numbers). ``far``: repetitions are looked
+    for over the whole of it (copies of texts in a block)."""
     halves = np.ascontiguousarray(values, np.uint32).view("<u2").reshape(-1, 2).T.tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(halves)
+    how = zstandard.ZstdCompressionParameters.from_level(6 if far else 3, enable_ldm=far)
+    return zstandard.ZstdCompressor(compression_params=how).compress(halves)
 
 
 def _numbers(packed: bytes) -> np.ndarray:
@@ -227,7 +229,7 @@ class _Block:
         codes = np.concatenate([rank[end - len(seen):end][c] for seen, c, end in runs])
         # Positions have a negative key: any partition will do on their first way.
         yield _row(-1 - self.number, self.number, len(names), self.ids, _squeeze(np.concatenate(self.sizes)),
-                   _squeeze(codes), None)
+                   _squeeze(codes, far=True), None)
         # A bucket's words travel in the order of the alphabet, nearly: neighbours compress well.
         bucket = (names % np.uint64(buckets)).astype(np.int64)  # equal words, equal hashes
         padded = np.concatenate([flat, np.zeros(8, np.uint8)])

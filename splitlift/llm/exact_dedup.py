@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._io import cut
+from ._rows import free_names
 
 MG_ITEMS = 16384
 MG_TOP = 1000
@@ -73,12 +74,14 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 items: int = MG_ITEMS, top: int = MG_TOP) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns. Copies of the winners go
     map-side, before the texts that remain are shuffled once."""
-    rows = df.withColumn("__digest", text_digest(F.col(text_col)))
-    digests = cut(rows.select(F.col(id_col).alias("id"), F.col("__digest").alias("digest"),
+    digest, heavy, kept, nth = free_names(df, "digest", "heavy", "kept", "nth")
+    rows = df.withColumn(digest, text_digest(F.col(text_col)))
+    digests = cut(rows.select(F.col(id_col).alias("id"), F.col(digest).alias("digest"),
                               F.monotonically_increasing_id().alias("uid")), "digests")
     winners = cut(verified_winners(digests, items, top), "winners")
-    keep = winners.select(F.col("digest").alias("__heavy"), F.col("keep.id").alias("__keep"))
-    left = (rows.join(F.broadcast(keep), F.col("__digest") == F.col("__heavy"), "left")
-            .where(F.col("__heavy").isNull() | F.col(id_col).eqNullSafe(F.col("__keep"))))
-    order = Window.partitionBy("__digest").orderBy(F.col(id_col).desc_nulls_last())
-    return left.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").select(*df.columns)
+    keep = winners.select(F.col("digest").alias(heavy), F.col("keep.id").alias(kept))
+    left = (rows.join(F.broadcast(keep), F.col(digest) == F.col(heavy), "left")
+            .where(F.col(heavy).isNull() | F.col(id_col).eqNullSafe(F.col(kept))))
+    order = Window.partitionBy(digest).orderBy(F.col(id_col).desc_nulls_last())
+    first = left.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1)
+    return first.select(*[F.col(f"`{c}`") for c in df.columns])

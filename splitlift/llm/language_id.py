@@ -17,8 +17,9 @@ A text's log-likelihood is the sum over its words, plus the language's log share
    at a time.
 
 Words are runs of ASCII letters and non-ASCII characters, ASCII lower-cased, with a
-blank in front; runs of more than ``LONGEST`` bytes are read in parts of that size.
-All pieces of the vocabulary are used, of any length.
+blank in front, of any length, as are the pieces. Sums over the segmentations of words
+of more than ``PLAIN`` bytes are kept as logarithms, where a product of small numbers
+cannot vanish.
 
 Defined cases: ``und`` and score 0 for NULL or empty text, for text without a letter,
 and for all texts if nothing can be learned; NULL ids are scored and never learned
@@ -37,12 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._io import cut
+from ._rows import hash_limit
 from ._text import U, Words, mix, powers, slices
 from .quality import held_out
 
 SAMPLE = 3000
 TURNS = 4
-LONGEST = 48
+PLAIN = 24  # bytes that products of 1e-13 per byte and more, scaled, stay in range for
 SMOOTH = 0.1
 PARTS = 8  # partitions of the word table
 SLICE = 8 << 20
@@ -129,34 +131,66 @@ def forward(found: list[np.ndarray | None], prob: np.ndarray) -> list[np.ndarray
 
 def scaled(prob: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Probabilities times _SCALE per byte, and zero for "no piece"."""
-    size = np.minimum(size, LONGEST + 1)  # longer pieces fit in no word
+    size = np.minimum(size, PLAIN + 2)  # longer pieces fit in no word of this form
     return np.concatenate([prob * _SCALE ** size[:, None], np.zeros((1, prob.shape[1]))])
 
 
+def _any_hit(found: list[np.ndarray | None], pieces: int) -> list[list[int]]:
+    """For each end of a piece, the piece lengths found there in some word."""
+    length = found[0].shape[1]
+    out: list[list[int]] = [[] for _ in range(length + 1)]
+    for k, hit in enumerate(found, 1):
+        if hit is not None:
+            for i in np.flatnonzero((hit < pieces).any(axis=0)).tolist():
+                out[i + k].append(k)
+    return out
+
+
+def _log_sum(terms: list[np.ndarray]) -> np.ndarray:
+    top = terms[0]
+    for t in terms[1:]:
+        top = np.maximum(top, t)
+    total = np.exp(terms[0] - top)
+    for t in terms[1:]:
+        total += np.exp(t - top)
+    return top + np.log(total)
+
+
+def log_forward(found: list[np.ndarray | None], logs: np.ndarray) -> np.ndarray:
+    """log a(0..length), (length + 1, count, languages); logs: (pieces + 1, languages),
+    of probabilities that are not scaled. Every byte is a piece, so no sum is empty."""
+    count, length = found[0].shape
+    a = np.zeros((length + 1, count, logs.shape[1]))
+    for j, ks in enumerate(_any_hit(found, len(logs) - 1)):
+        if j:
+            a[j] = _log_sum([a[j - k] + logs[found[k - 1][:, j - k]] for k in ks])
+    return a
+
+
+def logarithms(prob: np.ndarray) -> np.ndarray:
+    """Logarithms of probabilities, minus infinity for "no piece"."""
+    return np.concatenate([np.log(prob), np.full((1, prob.shape[1]), -np.inf)])
+
+
 def by_length(start: np.ndarray, end: np.ndarray, raw: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(indices, bytes with a blank in front) of words of each length, in chunks."""
     size = end - start
     order = np.argsort(size, kind="stable")
     cuts = np.flatnonzero(np.diff(size[order], prepend=-1))
     for a, b in zip(cuts, np.append(cuts[1:], len(order))):
-        for at in range(a, b, 20_000):
-            own = order[at:min(at + 20_000, b)]
+        step = max(1, 500_000 // int(size[order[a]]))
+        for at in range(a, b, step):
+            own = order[at:min(at + step, b)]
             body = raw[start[own][:, None] + np.arange(size[own[0]])]
             yield own, np.concatenate([np.full((len(own), 1), 0x20, np.uint8), body], axis=1)
 
 
 class Vocabulary:
-    """Distinct words of some texts, long runs in parts."""
+    """Distinct words of some texts."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray):
         words = Words(raw, offsets, lower=True, space=_GAP)
-        parts = np.maximum(1, -(-(words.end - words.start) // LONGEST))
-        which = np.repeat(np.arange(len(words)), parts)
-        nth = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
-        self.start = words.start[which] + nth * LONGEST
-        self.end = np.minimum(self.start + LONGEST, words.end[which])
-        self.row, self.raw = words.row[which], words.raw
-        words.start, words.end = self.start, self.end
+        self.start, self.end, self.row, self.raw = words.start, words.end, words.row, words.raw
         self.forms, self.first, self.form = np.unique(words.hashes(), return_index=True, return_inverse=True)
 
 
@@ -193,8 +227,8 @@ def train(docs: DataFrame, pieces: list[bytes], sample: int = SAMPLE, turns: int
     if not langs:
         return [], np.zeros(0), np.zeros((len(pieces), 0))
     shares = np.array([per_lang[x] for x in langs], float)
-    limit = F.create_map(*[F.lit(v) for x in langs for v in (x, int(1e6 * min(1.0, sample / per_lang[x])))])
-    drawn = docs.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < limit[F.col("lang")])
+    limit = F.create_map(*[F.lit(v) for x in langs for v in (x, hash_limit(sample, per_lang[x]))])
+    drawn = docs.where(F.xxhash64("id") <= limit[F.col("lang")])
     words = cut(language_words(drawn.select("lang", "text")).repartition(PARTS), "words")
     context = docs.sparkSession.sparkContext
     table = Pieces(pieces)
@@ -203,7 +237,7 @@ def train(docs: DataFrame, pieces: list[bytes], sample: int = SAMPLE, turns: int
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, prob = shared.value
-        p = scaled(prob, table.size)
+        p, logs = scaled(prob, table.size), logarithms(prob)
         total = np.zeros((table.n + 1, len(langs)))
         for batch in batches:
             lang = np.array([number[x] for x in batch.column("lang").to_pylist()])
@@ -212,7 +246,10 @@ def train(docs: DataFrame, pieces: list[bytes], sample: int = SAMPLE, turns: int
             size = np.fromiter(map(len, words), np.int64, len(words))
             ends = np.cumsum(size)
             for own, body in by_length(ends - size, ends, np.frombuffer(b"".join(words), np.uint8)):
-                _expected(body, lang[own], n[own], table, p, total)
+                if body.shape[1] <= PLAIN + 1:
+                    _expected(body, lang[own], n[own], table, p, total)
+                else:
+                    _log_expected(body, lang[own], n[own], table, logs, total)
         yield pa.RecordBatch.from_arrays([pa.array([total[:-1].tobytes()], pa.binary())], names=["t"])
     for _ in range(turns):
         shared = context.broadcast((table, prob))
@@ -245,6 +282,26 @@ def _expected(body, lang, n, table: Pieces, p: np.ndarray, total: np.ndarray) ->
         np.add.at(total, (found[k - 1].ravel(), np.repeat(lang, m)), share.ravel())
 
 
+def _log_expected(body, lang, n, table: Pieces, logs: np.ndarray, total: np.ndarray) -> None:
+    """:func:`_expected` by logarithms."""
+    found = lookups(body, table)
+    count, length = body.shape
+    own = [None if f is None else logs[f, lang[:, None]] for f in found]
+    ends = _any_hit(found, table.n)
+    a, b = np.zeros((length + 1, count)), np.zeros((length + 1, count))
+    for j in range(1, length + 1):
+        a[j] = _log_sum([a[j - k] + own[k - 1][:, j - k] for k in ends[j]])
+    starts: list[list[int]] = [[] for _ in range(length + 1)]
+    for j, ks in enumerate(ends):
+        for k in ks:
+            starts[j - k].append(k)
+    for i in range(length - 1, -1, -1):
+        b[i] = _log_sum([own[k - 1][:, i] + b[i + k] for k in starts[i]])
+        for k in starts[i]:
+            share = n * np.exp(a[i] + own[k - 1][:, i] + b[i + k] - a[length])
+            np.add.at(total, (found[k - 1][:, i], lang), share)
+
+
 def score_languages(docs: DataFrame, langs: list[str], shares: np.ndarray, pieces: list[bytes], prob: np.ndarray,
                     keep: list[str]) -> DataFrame:
     """The columns ``keep``, lang_pred and score (the posterior of the prediction)."""
@@ -252,7 +309,7 @@ def score_languages(docs: DataFrame, langs: list[str], shares: np.ndarray, piece
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, prob = shared.value
-        p = scaled(prob, table.size)
+        p, logs = scaled(prob, table.size), logarithms(prob)
         for batch in batches:
             for rows, raw, offsets in slices(batch, "text", SLICE):
                 n = rows.num_rows
@@ -262,7 +319,11 @@ def score_languages(docs: DataFrame, langs: list[str], shares: np.ndarray, piece
                     each = np.zeros((len(v.forms), len(langs)))
                     start, end = v.start[v.first], v.end[v.first]
                     for own, body in by_length(start, end, v.raw):
-                        each[own] = np.log(forward(lookups(body, table), p)[-1]) - body.shape[1] * np.log(_SCALE)
+                        found = lookups(body, table)
+                        if body.shape[1] <= PLAIN + 1:
+                            each[own] = np.log(forward(found, p)[-1]) - body.shape[1] * np.log(_SCALE)
+                        else:
+                            each[own] = log_forward(found, logs)[-1]
                     for j in range(len(langs)):
                         total[:, j] += np.bincount(v.row, each[v.form, j], n)
                 # ASCII letters show in the bytes; only other texts are looked at again.

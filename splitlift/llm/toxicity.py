@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._io import cut
+from ._rows import hash_limit
 from ._text import U, Words, mix, powers, slices
 from .quality import held_out
 
@@ -124,8 +125,7 @@ def training_bags(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     known = labels.where("y in (0, 1) and id is not null")
     known = known.where(~held_out(F.col("id"), 3, 1))
     n = known.count()
-    share = min(1.0, sample / n) if n else 0.0
-    known = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    known = known.where(F.xxhash64("id") <= hash_limit(sample, n))
     # About `sample` rows at most: a bounded broadcast, so texts are not shuffled.
     bags = docs.join(F.broadcast(known), "id").select("y", "text")
 

@@ -1,10 +1,14 @@
 """Held-out accuracy, and the numeric parts against plain versions."""
+import math
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from splitlift.llm._rows import hash_limit
 from splitlift.llm import catalog, language_id as L, quality as Q, toxicity as T
 from splitlift.llm._vocab import default_vocabulary
 
@@ -154,3 +158,91 @@ def test_long_pieces_take_part_in_the_sum():
         a.append(sum(a[i] * chance.get(word[i:j], 0.0) for i in range(j)))
     got = L.forward(L.lookups(np.frombuffer(word, np.uint8)[None], table), L.scaled(prob, table.size))[-1][0, 0]
     assert got / L._SCALE ** len(word) == pytest.approx(a[-1], rel=1e-9)
+
+
+def test_a_sample_of_any_number_of_rows(spark):
+    """The limit is a share of all 64-bit hashes, so it never rounds to nothing."""
+    for rows in (10, 3_000, 10 ** 9, 10 ** 13, 10 ** 15):
+        limit = hash_limit(3000, rows)
+        share = (limit + 2 ** 63 + 1) / 2 ** 64
+        assert share == pytest.approx(min(1, 3000 / rows), rel=1e-3)
+    drawn = spark.range(200_000).where(F.xxhash64("id") <= hash_limit(3000, 200_000)).count()
+    assert 2700 < drawn < 3300
+
+
+def test_every_language_is_learned_from_a_small_share(make, spark):
+    docs = spark.range(40_000).selectExpr(
+        "id as doc_id", "if(id % 2 = 0, 'the cat and the dog', 'le chat et le chien') as text",
+        "if(id % 2 = 0, 'en', 'fr') as lang")
+    out = L.identify_languages(docs, default_vocabulary("byte_bpe_50k.tiktoken"), sample=20, turns=2)
+    got = {(r.lang_pred, r.text) for r in out.join(docs, "doc_id").select("lang_pred", "text").distinct().collect()}
+    assert got == {("en", "the cat and the dog"), ("fr", "le chat et le chien")}
+
+
+def _recursion(word, prob, at):
+    """log of the sum over segmentations, in whole numbers of many digits."""
+    a = [Fraction(1)]
+    for j in range(1, len(word) + 1):
+        a.append(sum((a[i] * prob[at[word[i:j]]] for i in range(max(0, j - 4), j) if word[i:j] in at), Fraction(0)))
+    return math.log(a[-1].numerator) - math.log(a[-1].denominator)
+
+
+def test_long_runs_are_summed_whole():
+    pieces = sorted({bytes([b]) for b in range(256)} | {b" ab", b"ab", b"abc", b"bca", b"abab"})
+    table, at = L.Pieces(pieces), {p: i for i, p in enumerate(pieces)}
+    prob = np.full((len(pieces), 1), 1e-10)  # unseen bytes: 500 of them are far below any double
+    exact = [Fraction(p) for p in prob[:, 0].tolist()]
+    for size in (L.PLAIN - 1, L.PLAIN, L.PLAIN + 1, 48, 49, 500):
+        word = b" " + (b"abcab" * 100)[:size]
+        found = L.lookups(np.frombuffer(word, np.uint8)[None], table)
+        want = _recursion(word, exact, at)
+        assert L.log_forward(found, L.logarithms(prob))[-1][0, 0] == pytest.approx(want, rel=1e-12)
+        if size <= L.PLAIN:
+            short = np.log(L.forward(found, L.scaled(prob, table.size))[-1][0, 0]) - len(word) * np.log(L._SCALE)
+            assert short == pytest.approx(want, rel=1e-12)
+
+
+def test_expected_counts_agree_in_both_forms():
+    pieces = sorted({bytes([b]) for b in range(256)} | {b" ab", b"ab", b"abc", b"bca"})
+    table = L.Pieces(pieces)
+    rng = np.random.default_rng(2)
+    prob = rng.random((len(pieces), 2))
+    prob /= prob.sum(axis=0)
+    body = np.frombuffer(b" abcab abbca cabab", np.uint8).reshape(3, 6)
+    one, two = np.zeros((2, table.n + 1, 2))
+    L._expected(body, np.array([0, 1, 1]), np.array([2.0, 1, 3]), table, L.scaled(prob, table.size), one)
+    L._log_expected(body, np.array([0, 1, 1]), np.array([2.0, 1, 3]), table, L.logarithms(prob), two)
+    assert np.allclose(one[:-1], two[:-1]) and one.sum() > 0
+
+
+def test_expectation_maximisation_by_enumeration():
+    """One turn against the sum over all segmentations, listed one by one."""
+    pieces = sorted({bytes([b]) for b in range(256)} | {b" a", b"ab", b"abc"})
+    table, at = L.Pieces(pieces), {}
+    at.update({p: i for i, p in enumerate(pieces)})
+    prob = np.random.default_rng(4).random((len(pieces), 1))
+    prob /= prob.sum()
+
+    def ways(word):
+        if not word:
+            yield []
+        for k in range(1, len(word) + 1):
+            if word[:k] in at:
+                for rest in ways(word[k:]):
+                    yield [word[:k], *rest]
+    for word in (b" abcab", b" ababc"):
+        want = np.zeros(len(pieces))
+        weights = [(w, np.prod([prob[at[p], 0] for p in w])) for w in ways(word)]
+        for w, chance in weights:
+            for p in w:
+                want[at[p]] += chance / sum(c for _, c in weights)
+        got = np.zeros((table.n + 1, 1))
+        L._expected(np.frombuffer(word, np.uint8)[None], np.array([0]), np.array([1.0]), table,
+                    L.scaled(prob, table.size), got)
+        assert np.allclose(got[:-1, 0], want)
+
+
+def test_scores_of_long_runs_are_numbers(make):
+    rows = [(i, f"plain words number {i}") for i in range(30)] + [(50, "x" * 500), (51, "é" * 3000), (52, "ßq" * 40 + " a")]
+    out = L.identify_languages(make(rows), default_vocabulary("byte_bpe_50k.tiktoken"), turns=1).collect()
+    assert len(out) == len(rows) and all(0 <= r.score <= 1 and r.lang_pred == "en" for r in out)

@@ -80,6 +80,19 @@ def test_pipeline_against_a_plain_version(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_stages_leave_other_columns_as_they_are(spark, make):
+    rows = [(i, f"some plain text number {i} that is long enough to have shingles of its own {i * 7}") for i in range(6)]
+    table = make(rows + [(9, rows[0][1])])
+    others = [c for c in table.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    assert len(others) > 20
+    for stage in (corpus_pipeline.exact_dedup_stage, corpus_pipeline.near_dedup_stage,
+                  corpus_pipeline.decontamination_stage):
+        out = stage(spark, table, SF)
+        assert out.columns == table.columns
+        got = out.collect()
+        assert got and all(r[c] == "x" for r in got for c in others)
+
+
 def test_stages_keep_columns_and_handle_nulls_and_empty_tables(spark, make):
     rows = [(1, "some text"), (1, "some text"), (None, None), (2, ""), (3, None)]
     for table in (make(rows, extra=False), make([], extra=False)):
