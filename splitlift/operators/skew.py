@@ -56,12 +56,12 @@ def _fresh(taken: set[str], name: str) -> str:
     return name
 
 
-def left_join(left: DataFrame, right: DataFrame, key: str, hot: Sequence[str] = (), spread: str = "order_id"
-              ) -> DataFrame:
+def left_join(left: DataFrame, right: DataFrame, key: str, hot: Sequence[str] = (),
+              spread: str | Sequence[str] = "order_id") -> DataFrame:
     """left LEFT JOIN right USING (key): the columns of ``left``, then the others of
     ``right``. ``right`` has a key once at most (rows without one are left out), and the
-    other columns of the two differ. ``spread``: a column of ``left`` that tells rows
-    apart; lanes are drawn from it."""
+    other columns of the two differ. ``spread``: columns of ``left`` that tell rows
+    apart; lanes are drawn from them."""
     payload = [c for c in right.columns if c != key]
     taken = set(left.columns) | set(right.columns)
     flag, lane, real, other, rest, few, near = (_fresh(taken, n) for n in (
@@ -80,7 +80,7 @@ def left_join(left: DataFrame, right: DataFrame, key: str, hot: Sequence[str] =
         hot_rows = right.where(F.col(key).isin(*hot)).select(F.col(key).alias(few), values.alias(near))
         rows = rows.join(F.broadcast(hot_rows), F.col(key) == F.col(few), "left")
         found = F.coalesce(near, rest)
-    drawn = F.pmod(F.xxhash64(spread), F.lit(LANES)).cast("string")
+    drawn = F.pmod(F.xxhash64(*([spread] if isinstance(spread, str) else spread)), F.lit(LANES)).cast("string")
     rows = rows.withColumns({flag: F.when(apart, 1).otherwise(0), lane: F.when(apart, drawn).otherwise(text)})
     keyed = right.where(cold).select(F.lit(0).alias(real), text.alias(other), values.alias(rest))
     joined = rows.join(keyed, (F.col(flag) == F.col(real)) & (F.col(lane) == F.col(other)), "left")

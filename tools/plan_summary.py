@@ -1,8 +1,8 @@
-"""Summarise the physical plan of every catalog query (markdown table).
+"""Summarise the physical plan of every query of the reference's operators (markdown table).
 
-Usage: python tools/plan_summary.py [sf_dir] > PLANS.md
-Counts operators in the executed plan after the query has run (AQE final
-plan), so broadcast conversions made at runtime are included.
+Usage: python tools/plan_summary.py [sf_dir]
+Counts operators of the plans as Spark makes them before it runs anything (no side's
+size is known yet), so a run may turn further joins into broadcasts.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import sys
 
 sys.path.insert(0, __file__.rsplit("/tools/", 1)[0])
 
-import __spark_entry__ as E  # noqa: E402
+from splitlift.plans.catalog import QUERIES  # noqa: E402
 from splitlift.session import build_session  # noqa: E402
 
 COUNTED = [
@@ -23,7 +23,7 @@ COUNTED = [
     ("hash/sort aggs", r"\b(HashAggregate|SortAggregate|ObjectHashAggregate)\b"),
     ("window", r"\bWindow\b"),
     ("expand", r"\bExpand\b"),
-    ("arrow py", r"\bArrowEvalPython\b|\bMapInPandas\b"),
+    ("arrow py", r"\bArrowEvalPython\b|\bMapInArrow\b"),
     ("row py", r"\bBatchEvalPython\b"),
 ]
 
@@ -31,15 +31,10 @@ COUNTED = [
 def main(argv):
     sf = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     spark = build_session("local[8]", 16)
-    print(f"# Physical plans of the catalog queries\n\nAQE final plans at `{sf}` "
-          "(`tools/plan_summary.py`). The raw-shaped inputs are derived from the "
-          "given tables inside every query, so counts include that derivation "
-          "(JSON items per order, joins with customers/suppliers).\n")
     print("| query | " + " | ".join(n for n, _ in COUNTED) + " |")
     print("| --- | " + " | ".join("---:" for _ in COUNTED) + " |")
-    for name, q in E.queries().items():
+    for name, q in QUERIES.items():
         df = q(spark, sf)
-        df.write.format("noop").mode("overwrite").save()
         plan = df._jdf.queryExecution().executedPlan().toString()
         counts = [len(re.findall(p, plan)) for _, p in COUNTED]
         print(f"| {name} | " + " | ".join(str(c) for c in counts) + " |")
