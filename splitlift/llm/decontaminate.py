@@ -9,12 +9,12 @@ when tiles cover ``COVERAGE`` of the item's tokens.
 
 1. The benchmark's seeds - Karp-Rabin hashes of its runs of MIN_MATCH tokens - each
    set two bits of a table of fixed size, built by Spark from per-task tables. It is the
-   one thing broadcast, 2 MB for a benchmark of any size; a fuller table only lets
-   more documents through to the join.
+   one thing broadcast, 2 MB. Results do not depend on how full it is, but beyond about a
+   million seeds it lets most documents through to the join (set ``TABLE_BITS`` higher).
 2. One scan hashes the runs of all documents and keeps those whose bits are set; only
    documents with such seeds are written, with their token hashes.
-3. Seeds of documents and items are joined; the pairs that share one are tiled,
-   each pair a row of its own, in Arrow batches.
+3. Seeds of documents and items are joined; pairs that share enough of them for the
+   coverage to be possible are tiled, each pair a row of its own, in Arrow batches.
 
 Defined cases: an item of 1 to MIN_MATCH - 1 tokens is one seed of its whole length
 (and needs that run in full); items without tokens, and NULL or blank texts, match
@@ -40,6 +40,7 @@ from ._text import U, Words, gram_hashes, slices
 MIN_MATCH = 5
 COVERAGE = 0.5
 TABLE_BITS = 24  # 2 MB
+SEED_PAIRS = 1 << 19  # common seeds of an item and a document looked at together
 
 _GAP = np.ones(256, bool)
 _GAP[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = False
@@ -61,23 +62,27 @@ def _bits(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def item_tokens(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
                 min_match: int = MIN_MATCH) -> DataFrame:
-    """(item, tokens, need, seeds): an item's token hashes, its least match, its seeds."""
+    """(item, tokens, need, seeds, times): an item's token hashes, its least match, its
+    seeds and how often each occurs in it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, words, h in _tokens(batch):
-                tokens, need, seeds = [], [], []
+                tokens, need, seeds, times = [], [], [], []
                 for i in range(rows.num_rows):
                     own = h[words.first[i]:words.first[i + 1]]
                     size = max(1, min(min_match, len(own)))
                     grams, _ = gram_hashes(own, np.zeros(len(own), np.int8), size)
                     tokens.append(own.tobytes())
                     need.append(size)
-                    seeds.append(np.unique(grams).view(np.int64))
+                    found, n = np.unique(grams, return_counts=True)
+                    seeds.append(found.view(np.int64))
+                    times.append(n)
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("item"), pa.array(tokens, pa.binary()), pa.array(need, pa.int32()),
-                     pa.array(seeds, pa.list_(pa.int64()))], names=["item", "tokens", "need", "seeds"])
+                     pa.array(seeds, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))],
+                    names=["item", "tokens", "need", "seeds", "times"])
     items = benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text"))
-    return items.mapInArrow(run, "item long, tokens binary, need int, seeds array<long>")
+    return items.mapInArrow(run, "item long, tokens binary, need int, seeds array<long>, times array<long>")
 
 
 def seed_table(items: DataFrame) -> tuple[np.ndarray, list[int]]:
@@ -132,25 +137,43 @@ def seeded_documents(docs: DataFrame, table: np.ndarray, lengths: list[int]) ->
     return docs.mapInArrow(run, "dk long, id long, tokens binary, seeds array<long>")
 
 
+def _match_edges(ga: np.ndarray, gd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of the first and of the last common seed of every maximal run of common
+    seeds along a diagonal. Seed pairs are looked at some at a time and not kept."""
+    order = np.argsort(ga, kind="stable")
+    low, high = np.searchsorted(ga[order], gd, "left"), np.searchsorted(ga[order], gd, "right")
+    total = np.cumsum(high - low)
+    edges: list[list[np.ndarray]] = [[], []]
+    at = 0
+    while at < len(gd):
+        seen = int(total[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(total, seen + SEED_PAIRS, "right")))
+        times = (high - low)[at:to]
+        j = np.repeat(np.arange(at, to), times)
+        within = np.arange(len(j)) - np.repeat(np.cumsum(times) - times, times)
+        i = order[np.repeat(low[at:to], times) + within]
+        for found, step, last_i, last_j in ((edges[0], -1, 0, 0), (edges[1], 1, len(ga) - 1, len(gd) - 1)):
+            edge = (i == last_i) | (j == last_j)
+            inner = ~edge
+            edge[inner] = ga[i[inner] + step] != gd[j[inner] + step]
+            found.append(np.stack([i[edge], j[edge]]))
+        at = to
+    out = []
+    for found in edges:
+        i, j = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
+        by = np.lexsort((i, j - i))
+        out.append(np.stack([i[by], j[by]]))
+    return out[0], out[1]
+
+
 def tile(item: np.ndarray, doc: np.ndarray, need: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling of two token hash arrays: (item start, document start,
     length), the longest first; of equal lengths the first in the item, then in the
-    document."""
-    ga, ia = gram_hashes(item, np.zeros(len(item), np.int8), need)
-    gd, jd = gram_hashes(doc, np.zeros(len(doc), np.int8), need)
-    order = np.argsort(ga, kind="stable")
-    low, high = np.searchsorted(ga[order], gd, "left"), np.searchsorted(ga[order], gd, "right")
-    times = high - low
-    j = np.repeat(jd, times)
-    within = np.arange(len(j)) - np.repeat(np.cumsum(times) - times, times)
-    i = ia[order[np.repeat(low, times) + within]]
-    by = np.lexsort((i, j - i))  # along diagonals, neighbouring seeds make one match
-    i, j = i[by], j[by]
-    if not len(i):
-        return []
-    fresh = np.concatenate([[True], (np.diff(i) != 1) | (np.diff(j) != 1)])
-    start = np.flatnonzero(fresh)
-    length = np.diff(np.append(start, len(i))) + need - 1
+    document. Memory grows with the matches, not with the pairs of common seeds."""
+    ga, _ = gram_hashes(item, np.zeros(len(item), np.int8), need)
+    gd, _ = gram_hashes(doc, np.zeros(len(doc), np.int8), need)
+    (i, j), (end, _) = _match_edges(ga, gd)
+    start, length = np.arange(len(i)), end - i + need
     heap = [(-int(n), int(a), int(b)) for n, a, b in zip(length, i[start], j[start])]
     heapq.heapify(heap)
     free_i, free_j = np.ones(len(item), bool), np.ones(len(doc), bool)
@@ -185,9 +208,16 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     seeded = cut(seeded_documents(texts, table, lengths).withColumn("uid", F.monotonically_increasing_id()), "seeded")
     # A row per item and seed: items may repeat in the table, so each has a number.
     numbered = cut(items.withColumn("no", F.monotonically_increasing_id()), "items")
+    # A tile of L >= need tokens starts a seed at L - need + 1 >= L / need places of the
+    # item. Pairs with fewer common places than tiles over `coverage` of the item have
+    # are left out before any token travels.
+    places = numbered.select("no", "need", (F.octet_length("tokens") / 8).alias("n"),
+                             F.explode(F.arrays_zip("seeds", "times")).alias("s"))
     pairs = (seeded.select("uid", F.explode("seeds").alias("seed"))
-             .join(numbered.select("no", F.explode("seeds").alias("seed")), "seed")
-             .select("uid", "no").distinct())
+             .join(places.select("no", "need", "n", F.col("s.seeds").alias("seed"), F.col("s.times").alias("times")),
+                   "seed")
+             .groupBy("uid", "no", "need", "n").agg(F.sum("times").alias("common"))
+             .where(F.col("common") * F.col("need") >= F.col("n") * coverage).select("uid", "no"))
     rows = (pairs.join(seeded.select("uid", "dk", "id", F.col("tokens").alias("doc")), "uid")
             .join(numbered.select("no", "item", "need", "tokens"), "no")
             .select("dk", "id", "doc", "item", "need", "tokens"))

@@ -5,6 +5,7 @@ import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ def test_toxicity_on_held_out_documents(spark):
     d = scored(spark, "op1_toxicity", "toxic")
     assert (d.held_out == [zlib.crc32(str(i).encode()) % 3 == 1 for i in d.doc_id]).all()
     h = d[d.held_out]
-    assert d.score.between(0, 1).all() and auc(h.score.values, h.toxic.values) > 0.8
+    assert d.score.between(0, 1).all() and auc(h.score.values, h.toxic.values) > 0.95
 
 
 def test_language_on_held_out_documents(spark):
@@ -246,3 +247,65 @@ def test_scores_of_long_runs_are_numbers(make):
     rows = [(i, f"plain words number {i}") for i in range(30)] + [(50, "x" * 500), (51, "é" * 3000), (52, "ßq" * 40 + " a")]
     out = L.identify_languages(make(rows), default_vocabulary("byte_bpe_50k.tiktoken"), turns=1).collect()
     assert len(out) == len(rows) and all(0 <= r.score <= 1 and r.lang_pred == "en" for r in out)
+
+
+class _Shared:
+    """Stands for a broadcast value."""
+
+    def __init__(self, value):
+        self.value = value
+
+    def unpersist(self):
+        pass
+
+
+def test_gradient_is_that_of_the_noisy_or_likelihood(monkeypatch):
+    texts = ["You are bad. All is fine here.", "fine words only. More fine words", "bad bad bad", "all here. bad words."]
+    y = np.array([1, 0, 1, 0])
+    body = "".join(texts).encode()
+    offsets = np.cumsum([0, *map(len, texts)])
+    s = T.Sentences(np.frombuffer(body, np.uint8), offsets)
+    slot, heads = s.features()
+    lists = [y, slot, heads, s.form, s.sentence, s.doc]
+    bag = pa.RecordBatch.from_arrays([pa.array([np.asarray(v).astype(np.int32).tobytes()], pa.binary()) for v in lists],
+                                     names=list(T._ARRAYS))
+    tasks, shared = [], _Shared(None)
+
+    def summed(bags, run):
+        tasks.append(run)
+        return np.zeros(1)  # no evidence, and no documents: training stops after one look
+
+    class Bags:
+        def coalesce(self, n):
+            return self
+
+        class sparkSession:  # noqa: N801
+            class sparkContext:  # noqa: N801
+                @staticmethod
+                def broadcast(value):
+                    return shared
+    monkeypatch.setattr(T, "_summed", summed)
+    T.train(Bags(), steps=1)
+    rng = np.random.default_rng(1)
+    state = np.append(rng.normal(0, 0.3, 1 << T.BITS), -1.0)
+    shared.value = state
+    total = np.frombuffer(next(tasks[-1](iter([bag]))).column("g")[0].as_py())
+
+    def loss(state):
+        p = T.noisy_or(s.logits(state[:-1], state[-1]), s.doc, len(texts))
+        return -np.log(np.where(y == 1, p, 1 - p)).sum()
+    assert total[-1] == len(texts)
+    for at in [*np.unique(slot)[:12].tolist(), len(state) - 1]:
+        step = np.zeros(len(state))
+        step[at] = 1e-5
+        assert total[at] == pytest.approx((loss(state + step) - loss(state - step)) / 2e-5, rel=1e-5, abs=1e-8)
+
+
+def test_cosine_features_approximate_the_gaussian_kernel():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(30, len(Q.NAMES)))
+    model = Q.Model(np.zeros(x.shape[1]), np.ones(x.shape[1]), features=20_000)
+    z = model.features(x)[:, :-1]
+    apart = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    kernel = np.exp(-apart / (2 * Q.WIDTH ** 2 * x.shape[1]))
+    assert abs(z @ z.T - kernel).max() < 0.04

@@ -40,6 +40,25 @@ def test_tiling_matches_its_definition():
         assert [n for *_, n in got] == [n for *_, n in want]
 
 
+def test_parts_of_seed_pairs_do_not_change_the_tiling(monkeypatch):
+    rnd = random.Random(7)
+    to = np.array([3, 5, 7], np.uint64) << np.uint64(40)
+    cases = [(to[[rnd.randint(0, 2) for _ in range(40)]], to[[rnd.randint(0, 2) for _ in range(90)]]) for _ in range(40)]
+    whole = [D.tile(a, b, 3) for a, b in cases]
+    monkeypatch.setattr(D, "SEED_PAIRS", 5)
+    assert [D.tile(a, b, 3) for a, b in cases] == whole
+
+
+def test_one_line_repeated_takes_little_memory():
+    import tracemalloc
+    item, doc = np.full(1000, 9, np.uint64), np.full(20_000, 9, np.uint64)
+    tracemalloc.start()
+    assert D.tile(item, doc, 5) == [(0, 0, 1000)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # 2e7 pairs of common seeds
+
+
 ITEM = "The quick brown fox jumps over the lazy dog. Then it sleeps in the warm sun until noon comes again"
 
 
