@@ -74,14 +74,11 @@ def _base(spark, sf):
     return _shared("base", spark, sf, lambda: pipeline.analysis_base(_fact(spark, sf)))
 
 
-def _days(spark, sf):
-    return _shared("days", spark, sf, lambda: cube.customer_days(_base(spark, sf)))
-
-
 def _period_report(spark, sf, period, grouping):
-    days = _days(spark, sf)
-    top = cube.top_k(days, "city_state", 3) if grouping == "city" else None
-    return cube.period_metrics(cube.period_cube(days, top, [(period, grouping)]), period, grouping)
+    base = _base(spark, sf)
+    top = metrics.top_k(base, "city_state", 3) if grouping == "city" else None
+    cells = cube.period_cube(cube.customer_days(base, groupings=[grouping]), top, [(period, grouping)])
+    return cube.period_metrics(cells, period, grouping)
 
 
 # ---- text and scalar functions ------------------------------------------------
