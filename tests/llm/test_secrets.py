@@ -57,16 +57,6 @@ def test_ownership_separates_examples_from_live_values(make, spark):
     assert digest.count() == len(rows)
 
 
-def test_a_value_in_a_third_of_all_rows(make):
-    rows = [(i, f"see token={LIVE} x" if i % 3 == 0 else f"see token=value{i:08d} x") for i in range(600)]
-    found = S.scan_secrets(make(rows))
-    got = {r.doc_id: r.found for r in found.collect()}
-    assert len(got) == 600 and all(len(f) == 1 for f in got.values())
-    assert all(f[0].n_repos == (200 if i % 3 == 0 else 1) for i, f in got.items())
-    plan = found._jdf.queryExecution().optimizedPlan().toString()
-    assert "strategy=broadcast" in plan and "is_lane" in plan
-
-
 def test_repeated_rows_nulls_and_empty_table(make):
     rows = [(None, "token=abcdefgh12")] * 2 + [(1, "token=abcdefgh12")]
     got = S.secrets_digest(S.scan_secrets(make(rows))).collect()
