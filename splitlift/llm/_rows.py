@@ -1,4 +1,5 @@
-"""Drawing rows of a table by their id, and dropping rows by a key of id and text."""
+"""Drawing rows of a table by their id, dropping rows by a key of id and text, and
+joins on keys that any share of the rows may hold."""
 
 from __future__ import annotations
 
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ._io import cut
 
+LANES = 256
+
 
 def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(id_col, text_col)
@@ -30,6 +33,19 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def look_up(big: DataFrame, small: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small`` on ``key``, where one key may hold any share of ``big``.
+
+    Each row of ``big`` has one of LANES lanes, drawn from the column ``spread``. The
+    lanes in use of every key fetch its rows of ``small`` first (at most LANES lanes a
+    key, found with map-side partials), then rows meet them by key and lane: no task
+    gets more than a lane of a key, whatever the settings of skew joins are."""
+    (lane,) = free_names(big.join(small, key), "lane")
+    dealt = big.withColumn(lane, F.pmod(F.xxhash64(spread), F.lit(LANES)))
+    fetched = dealt.select(key, lane).distinct().join(small, key)
+    return dealt.join(fetched, [key, lane], how).drop(lane)
+
+
 def drop_rows(df: DataFrame, drop: DataFrame, id_col: str, text_col: str, again: DataFrame | None = None
               ) -> DataFrame:
     """``df`` without the rows whose key is in ``drop`` (a column dk). Of rows that

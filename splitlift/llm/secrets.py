@@ -13,8 +13,8 @@ owners have is owner-specific and looks live. Bare runs that look live and
 touch no base match are added as spans of kind ``live``; base spans all stay.
 
 Distinct counting runs in two grouped steps (hash, owner, repository), then
-(hash, owner), each with map-side partials, so a value copied into a third of
-all rows meets no single task. The text is read once; the cut table holds only
+(hash, owner), each with map-side partials, and a span meets its value's counts by
+hash and lane, so a value copied into a third of all rows meets no single task. The text is read once; the cut table holds only
 the matches.
 
 Defined cases: NULL text is empty text; a NULL owner or repository is an owner
@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._io import cut
+from ._rows import look_up
 
 # Fixed patterns of the contract. A run is maximal either way, so the minimum
 # lengths of access (16) and hex (32) are part of the pattern; that of the
@@ -105,8 +106,8 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind (index in KINDS), start, end, hash of the value, n_owners, n_repos and
     ``example`` (true: widely copied)."""
     rows, spans = find_candidates(df, id_col, text_col, owner_col, repo_col)
-    spans = spans.withColumn("hash", F.sha2("value", 256)).drop("value")
-    known = (spans.join(ownership(spans), "hash")
+    spans = cut(spans.withColumn("hash", F.sha2("value", 256)).drop("value"), "spans")
+    known = (look_up(spans, ownership(spans), "hash", "uid")
              .withColumn("example", F.col("n_owners") >= example_owners))
     # A bare run touches a base match if one starting at or before it ends after
     # its start, or one starting at or after it starts before its end.

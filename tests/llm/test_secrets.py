@@ -1,7 +1,10 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from splitlift.llm import secrets as S
+from splitlift.llm._rows import look_up
 
 from llm_fixtures import make  # noqa: F401
 
@@ -64,6 +67,25 @@ def test_repeated_rows_nulls_and_empty_table(make):
     assert S.secrets_digest(S.scan_secrets(make([]))).collect() == []
 
 
+def test_value_in_most_rows_is_dealt_out(make, spark):
+    """Without help from skew joins no task gets more than a few lanes of a hot value."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spans = spark.range(20_000).selectExpr(
+        "id as uid", "if(id % 10 < 9, 'hot', concat('v', id)) as hash", "cast(id % 7 as string) as owner",
+        "cast(id as string) as repo")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        known = look_up(spans, S.ownership(spans), "hash", "uid")
+        sizes = [r["count"] for r in known.groupBy(F.spark_partition_id()).count().collect()]
+        hot = known.where("hash = 'hot'").select("n_owners", "n_repos").distinct().collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 20_000 and max(sizes) < 2 * 20_000 / len(sizes)
+    assert [tuple(r) for r in hot] == [(7, 18_000)]
+
+
 def test_main_path_is_native(make):
     plan = S.scan_secrets(make([(1, "x")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
