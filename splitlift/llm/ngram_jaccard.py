@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 from ._graph import connected_components
 from ._io import cut
 from ._pack import pack_texts, unpack_texts
-from ._rows import drop_rows, row_key
+from ._rows import drop_rows, look_up, row_key
 from ._text import U, Words, gram_hashes, mix, powers, slices
 
 SHINGLE = 5
@@ -183,17 +183,17 @@ def directory(listed: DataFrame) -> DataFrame:
     same = Window.partitionBy("grp")
     lists = cut(listed.withColumn("low", F.min("cls").over(same)).withColumn("high", F.max("cls").over(same))
                 .where("low < high or grp <> coord").select("coord", "cls").distinct(), "lists")
-    return lists.join(lists.groupBy("coord").agg(F.count(F.lit(1)).alias("size")), "coord")
+    return look_up(lists, lists.groupBy("coord").agg(F.count(F.lit(1)).alias("size")), "coord", "cls")
 
 
 def leaves(sets: DataFrame, listed: DataFrame) -> DataFrame:
     """(cls, n, home, page): where each listed class lies."""
     size = sets.where("cls is not null").groupBy("cls").agg(F.first("n").alias("n"))
     enough = F.col("entries") >= F.when(F.col("n") >= SHARED_FROM, SHARED).otherwise(1)
-    homes = (listed.groupBy("cls").agg(F.max(F.struct("size", "coord")).alias("h"), F.count(F.lit(1)).alias("entries"))
-             .join(size, "cls").where(enough).select("cls", "n", F.col("h.coord").alias("home")))
+    homes = cut(listed.groupBy("cls").agg(F.max(F.struct("size", "coord")).alias("h"), F.count(F.lit(1)).alias("entries"))
+             .join(size, "cls").where(enough).select("cls", "n", F.col("h.coord").alias("home")), "homes")
     members = homes.groupBy("home").agg(F.count(F.lit(1)).alias("members"))
-    return homes.join(members, "home").select("cls", "n", "home", _page(
+    return look_up(homes, members, "home", "cls").select("cls", "n", "home", _page(
         F.col("home"), F.col("members"), F.col("n")).alias("page"))
 
 
@@ -350,14 +350,13 @@ def class_components(listed: DataFrame, placed: DataFrame, pages: DataFrame, per
 
     # Phase 2: on every coordinate, pages whose points are not joined yet. Points of
     # small components stay on their pages, which phase 1 has gone through.
-    joined = cut(connected_components(links), "components")
-    sizes = joined.groupBy("comp").agg(F.count(F.lit(1)).alias("comp_size"))
-    known = (placed.join(joined.withColumnRenamed("node", "cls"), "cls", "left").join(sizes, "comp", "left")
-             .withColumn("comp", F.coalesce("comp", "cls"))
-             .withColumn("own", F.coalesce("comp_size", F.lit(1)) > LEAF))
-    second = cut(known.select("cls", "comp", F.when(
-        F.col("own"), _page(F.col("comp"), F.col("comp_size"), F.col("n"))).otherwise(F.col("page")).alias("page")),
-        "leaves")
+    joined = cut(connected_components(links).withColumnRenamed("node", "cls"), "components")
+    large = joined.groupBy("comp").agg(F.count(F.lit(1)).alias("comp_size")).where(F.col("comp_size") > LEAF)
+    own_pages = look_up(joined, large, "comp", "cls")
+    second = cut(placed.join(joined, "cls", "left").join(own_pages.select("cls", "comp_size"), "cls", "left")
+                 .withColumn("comp", F.coalesce("comp", "cls"))
+                 .select("cls", "comp", F.when(F.col("comp_size").isNotNull(), _page(
+                     F.col("comp"), F.col("comp_size"), F.col("n"))).otherwise(F.col("page")).alias("page")), "leaves")
     # Coordinates that list the same pages count once: a list is known by the number
     # of its pages and the sum (bitwise) of their hashes.
     same = Window.partitionBy("coord")
@@ -393,10 +392,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     comps = class_components(listed, placed, pages, percent)
     # Classes first, so that copies of a text are one row when components are joined.
     least = sets.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"))
-    classes = (least.join(comps.withColumnRenamed("node", "cls"), "cls", "left")
-               .withColumn("comp", F.coalesce("comp", "cls")))
-    named = classes.select("cls", "comp").join(
-        classes.groupBy("comp").agg(F.min("id").alias("component_id")), "comp").drop("comp")
+    linked = cut(comps.withColumnRenamed("node", "cls").join(least, "cls"), "linked")
+    names = linked.groupBy("comp").agg(F.min("id").alias("component_id"))
+    named = (least.join(look_up(linked.drop("id"), names, "comp", "cls").drop("comp"), "cls", "left")
+             .select("cls", F.coalesce("component_id", "id").alias("component_id")))
     return (sets.select("id", "dk", "cls", "n").join(named, "cls", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                     F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id"))
