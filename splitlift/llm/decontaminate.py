@@ -7,13 +7,15 @@ becomes a tile, again and again. Tiles may lie in any order, so a passage whose
 sentences were shuffled is still covered. A document is contaminated by an item
 when tiles cover ``COVERAGE`` of the item's tokens.
 
-1. The benchmark's seeds - Karp-Rabin hashes of its runs of MIN_MATCH tokens - each
-   set two bits of a table of fixed size, built by Spark from per-task tables. It is the
-   one thing broadcast, 2 MB. Results do not depend on how full it is, but beyond about a
-   million seeds it lets most documents through to the join (set ``TABLE_BITS`` higher).
+1. The benchmark's seeds - Karp-Rabin hashes of its runs of MIN_MATCH tokens - are
+   counted, and a Bloom filter of BITS_PER_SEED bits or more for each is built by Spark,
+   segment by segment. It is the one thing broadcast, 128 MB at most: with 33 million
+   seeds or fewer under one seed in 100,000 passes by chance. More seeds give the same
+   results with more documents let through to the join.
 2. One scan hashes the runs of all documents and keeps those whose bits are set; only
    documents with such seeds are written, with their token hashes.
-3. Seeds of documents and items are joined; pairs that share enough of them for the
+3. Seeds of documents and items are joined, by lanes, since a seed may lie in any share
+   of all documents; pairs that share enough of them for the
    coverage to be possible are tiled, each pair a row of its own, in Arrow batches.
 
 Defined cases: an item of 1 to MIN_MATCH - 1 tokens is one seed of its whole length
@@ -34,17 +36,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._io import cut
-from ._rows import drop_rows, row_key
-from ._text import U, Words, gram_hashes, slices
+from ._rows import drop_rows, look_up, row_key
+from ._text import U, Words, gram_hashes, mix, slices
 
 MIN_MATCH = 5
 COVERAGE = 0.5
-TABLE_BITS = 24  # 2 MB
+BITS_PER_SEED = 32
+MIN_POWER, MAX_POWER = 19, 30  # the filter has 2 ** 19 bits (64 KB) to 2 ** 30 (128 MB)
+SEGMENT = 1 << 16  # bytes of the filter built together
 SEED_PAIRS = 1 << 19  # common seeds of an item and a document looked at together
 
 _GAP = np.ones(256, bool)
 _GAP[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = False
 _GAP[128:] = False
+_BIT = (1 << np.arange(8)).astype(np.uint8)
 
 
 def _tokens(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Words, np.ndarray]]:
@@ -55,9 +60,36 @@ def _tokens(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Words, np.n
         yield rows, words, words.hashes()
 
 
-def _bits(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A seed's two places in the table, from both ends of its hash."""
-    return (seeds >> U(64 - TABLE_BITS)).astype(np.int64), (seeds & U((1 << TABLE_BITS) - 1)).astype(np.int64)
+def _places(seeds: np.ndarray, power: int, probes: int) -> Iterator[np.ndarray]:
+    """A seed's places in the filter, one probe after another."""
+    at, step = seeds >> U(64 - power), mix(seeds) | U(1)
+    for _ in range(probes):
+        yield (at & U((1 << power) - 1)).astype(np.int64)
+        at = at + step
+
+
+def _in_filter(seeds: np.ndarray, table: np.ndarray, power: int, probes: int) -> np.ndarray:
+    """Numbers of the seeds whose bits are all set; later probes look at what is left."""
+    left = np.arange(len(seeds))
+    at, step = seeds >> U(64 - power), None
+    for turn in range(probes):
+        place = (at & U((1 << power) - 1)).astype(np.int64)
+        hit = (table[place >> 3] & _BIT[place & 7]) != 0
+        left, at = left[hit], at[hit]
+        step = mix(seeds[left]) | U(1) if turn == 0 else step[hit]
+        at = at + step
+    return left
+
+
+def _segments(byte: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+    """Bytes of the filter as rows of a segment each."""
+    no = byte // SEGMENT
+    first = np.flatnonzero(np.concatenate([[True], no[1:] != no[:-1]]))
+    ends = np.append(first[1:], len(no))
+    within = (byte % SEGMENT).astype(np.uint16)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(no[first]), pa.array([within[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()),
+         pa.array([bits[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())], names=["no", "at", "bits"])
 
 
 def item_tokens(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
@@ -85,32 +117,46 @@ def item_tokens(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
     return items.mapInArrow(run, "item long, tokens binary, need int, seeds array<long>, times array<long>")
 
 
-def seed_table(items: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """(bits of all seeds, lengths of seeds that occur)."""
+def filter_size(seeds: int) -> tuple[int, int]:
+    """(bits as a power of two, probes) of a Bloom filter for so many seeds."""
+    power = min(MAX_POWER, max(MIN_POWER, (seeds * BITS_PER_SEED - 1).bit_length()))
+    return power, max(1, min(8, round(0.69 * 2 ** power / max(seeds, 1))))
+
+
+def seed_filter(items: DataFrame) -> tuple[np.ndarray, int, list[int]]:
+    """(bits of all seeds, eight to a byte; probes; lengths of seeds that occur)."""
+    counts = items.where("size(seeds) > 0").groupBy("need").agg(F.sum(F.size("seeds")).alias("n")).collect()
+    power, probes = filter_size(sum(r.n for r in counts))
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << TABLE_BITS, bool)
         for batch in batches:
-            for places in _bits(np.asarray(batch.column("seeds").flatten()).view(U)):
-                table[places] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(table).tobytes()], pa.binary())], names=["part"])
+            seeds = np.asarray(batch.column("seeds").flatten()).view(U)
+            if len(seeds):
+                at = np.unique(np.concatenate(list(_places(seeds, power, probes))))
+                byte = at >> 3
+                first = np.flatnonzero(np.concatenate([[True], byte[1:] != byte[:-1]]))
+                yield _segments(byte[first], np.bitwise_or.reduceat(_BIT[at & 7], first))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((1 << TABLE_BITS) // 8, np.uint8)  # one table at a time is added to this one
+        own: dict[int, np.ndarray] = {}  # the segments of this partition, SEGMENT bytes each
         for batch in batches:
-            for part in batch.column("part"):
-                out |= np.frombuffer(part.as_py(), np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["part"])
+            for no, at, bits in zip(*(batch.column(c) for c in ("no", "at", "bits"))):
+                table = own.setdefault(no.as_py(), np.zeros(SEGMENT, np.uint8))
+                table[np.frombuffer(at.as_py(), np.uint16)] |= np.frombuffer(bits.as_py(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()),
+                                          pa.array([t.tobytes() for t in own.values()], pa.binary())],
+                                         names=["no", "bits"])
 
-    parts = items.select("seeds").mapInArrow(mark, "part binary")
-    lanes = parts.repartition(8).mapInArrow(merge, "part binary")  # tables of 2 MB, added in two rounds
-    bits = lanes.repartition(1).mapInArrow(merge, "part binary").collect()
-    table = np.unpackbits(np.frombuffer(bits[0].part, np.uint8)).astype(bool) if bits else np.zeros(1 << TABLE_BITS, bool)
-    return table, sorted(r.need for r in items.where("size(seeds) > 0").select("need").distinct().collect())
+    parts = items.select("seeds").mapInArrow(mark, "no long, at binary, bits binary")
+    table = np.zeros(max(SEGMENT, 1 << (power - 3)), np.uint8)
+    for row in parts.repartition("no").mapInArrow(merge, "no long, bits binary").toLocalIterator():
+        table[row.no * SEGMENT:(row.no + 1) * SEGMENT] = np.frombuffer(row.bits, np.uint8)
+    return table, probes, sorted(r.need for r in counts)
 
 
-def seeded_documents(docs: DataFrame, table: np.ndarray, lengths: list[int]) -> DataFrame:
+def seeded_documents(docs: DataFrame, table: np.ndarray, probes: int, lengths: list[int]) -> DataFrame:
     """(dk, id, tokens, seeds) of the documents that may share a seed."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared, power = docs.sparkSession.sparkContext.broadcast(table), (len(table) * 8).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -119,8 +165,7 @@ def seeded_documents(docs: DataFrame, table: np.ndarray, lengths: list[int]) ->
                 found, owner = [np.zeros(0, U)], [np.zeros(0, np.int64)]
                 for size in lengths:
                     grams, at = gram_hashes(h, words.row, size)
-                    one, two = _bits(grams)
-                    hit = bits[one] & bits[two]
+                    hit = _in_filter(grams, bits, power, probes)
                     found.append(grams[hit])
                     owner.append(words.row[at[hit]])
                 seeds, rows_of = np.concatenate(found), np.concatenate(owner)
@@ -202,10 +247,10 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     key of id and text), n_item, n_covered, coverage, n_tiles, longest, and
     ``in_order`` (whether the tiles lie in the item's order)."""
     items = cut(item_tokens(benchmark, item_col, item_text_col, min_match), "items")
-    table, lengths = seed_table(items)
+    table, probes, lengths = seed_filter(items)
     texts = docs.select(row_key(id_col, text_col).alias("dk"), F.col(id_col).cast("long").alias("id"),
                         F.col(text_col).alias("text"))
-    seeded = cut(seeded_documents(texts, table, lengths).withColumn("uid", F.monotonically_increasing_id()), "seeded")
+    seeded = cut(seeded_documents(texts, table, probes, lengths).withColumn("uid", F.monotonically_increasing_id()), "seeded")
     # A row per item and seed: items may repeat in the table, so each has a number.
     numbered = cut(items.withColumn("no", F.monotonically_increasing_id()), "items")
     # A tile of L >= need tokens starts a seed at L - need + 1 >= L / need places of the
@@ -213,9 +258,9 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     # are left out before any token travels.
     places = numbered.select("no", "need", (F.octet_length("tokens") / 8).alias("n"),
                              F.explode(F.arrays_zip("seeds", "times")).alias("s"))
-    pairs = (seeded.select("uid", F.explode("seeds").alias("seed"))
-             .join(places.select("no", "need", "n", F.col("s.seeds").alias("seed"), F.col("s.times").alias("times")),
-                   "seed")
+    pairs = (look_up(seeded.select("uid", F.explode("seeds").alias("seed")),
+                     places.select("no", "need", "n", F.col("s.seeds").alias("seed"), F.col("s.times").alias("times")),
+                     "seed", "uid")
              .groupBy("uid", "no", "need", "n").agg(F.sum("times").alias("common"))
              .where(F.col("common") * F.col("need") >= F.col("n") * coverage).select("uid", "no"))
     rows = (pairs.join(seeded.select("uid", "dk", "id", F.col("tokens").alias("doc")), "uid")

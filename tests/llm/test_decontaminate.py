@@ -59,6 +59,28 @@ def test_one_line_repeated_takes_little_memory():
     assert peak < 100e6  # 2e7 pairs of common seeds
 
 
+def test_filter_holds_all_seeds_and_few_others(spark, monkeypatch):
+    rnd = np.random.default_rng(3)
+    seeds = rnd.integers(0, 2 ** 64, 200_000, dtype=np.uint64)
+    rows = [(5, part.view(np.int64).tolist()) for part in np.array_split(seeds, 40)] + [(3, [1]), (1, [])]
+    items = spark.createDataFrame(rows, "need int, seeds array<long>").repartition(4)
+    table, probes, lengths = D.seed_filter(items)
+    power = (len(table) * 8).bit_length() - 1
+    assert lengths == [3, 5] and len(table) * 8 == 2 ** power >= 32 * len(seeds)
+    assert len(D._in_filter(seeds, table, power, probes)) == len(seeds)
+    others = rnd.integers(0, 2 ** 64, 1_000_000, dtype=np.uint64)
+    assert len(D._in_filter(others, table, power, probes)) < 20
+    monkeypatch.setattr(D, "MAX_POWER", 19)  # fuller than meant: nothing is lost
+    table, probes, _ = D.seed_filter(items)
+    assert len(table) * 8 == 2 ** 19
+    assert len(D._in_filter(seeds, table, 19, probes)) == len(seeds)
+
+
+def test_filter_size_follows_the_seeds():
+    assert D.filter_size(0) == (19, 8) and D.filter_size(1_000_000) == (25, 8)
+    assert D.filter_size(10 ** 9) == (30, 1)
+
+
 ITEM = "The quick brown fox jumps over the lazy dog. Then it sleeps in the warm sun until noon comes again"
 
 
