@@ -62,60 +62,67 @@ def _pick(key: Column, values: tuple[str | None, ...]) -> Column:
 
 
 def fx_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One order item per line, with its amounts in cents; the first line of some
-    orders is there twice (identical items), and large lines have two sub-items."""
+    """One row per line, with its amounts in cents and how often its item is in the
+    basket: the first line of some orders is there twice (identical items). Numbers
+    only: the items are made of them where the basket is complete."""
     value = _cents("l_extendedprice")
-    # Partitioned once by order key: the basket aggregation and the join with
-    # the orders below reuse this partitioning (no further exchange).
-    li = table(spark, sf_dir, "lineitem").repartition("l_orderkey").select(
-        "l_orderkey", "l_suppkey", "l_partkey", "l_linenumber", "l_quantity", "l_tax",
+    twice = (F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 6 == 0)
+    return table(spark, sf_dir, "lineitem").select(
+        _txt(F.col("l_orderkey")).alias("of_order"), "l_suppkey", "l_partkey", "l_linenumber", "l_quantity",
+        (F.col("l_tax") > 0).alias("taxed"),
         value.alias("value_c"),
         _share_cents(value, "l_discount").alias("discount_c"),
-        _share_cents(value, "l_tax").alias("tax_c"))
+        _share_cents(value, "l_tax").alias("tax_c"),
+        F.when(twice, 2).otherwise(1).alias("copies"))
+
 
+def _item(line: Column) -> Column:
+    """The order item of a line; taxed lines have a sub-item, large ones of them two."""
     def sub_item(name: str, sequence: int, value: Column, discount: Column) -> Column:
         return F.struct(F.lit(name).alias("name"), _money(discount).alias("discount"), F.lit(1.0).alias("quantity"),
                         F.lit(sequence).alias("sequence"), _money(value).alias("totalValue"))
-    first = sub_item("extra", 1, F.col("tax_c"), F.floor(F.col("tax_c") / 10).cast("long"))
+    first = sub_item("extra", 1, line["tax_c"], F.floor(line["tax_c"] / 10).cast("long"))
     second = sub_item("second", 2, F.lit(50).cast("long"), F.lit(5).cast("long"))
-    taxed, large = F.col("l_tax") > 0, F.col("l_quantity") > 25
+    taxed, large = line["taxed"], line["l_quantity"] > 25
     garnish = (F.when(taxed & large, F.array(first, second)).when(taxed, F.array(first))
                .otherwise(F.array_repeat(first, 0)))
-    item = F.struct(
-        F.col("l_linenumber").alias("sequence"),
-        F.col("l_quantity").alias("quantity"),
-        _txt(F.col("l_partkey")).alias("externalId"),
-        _money(F.col("value_c")).alias("totalValue"),
-        _money(F.col("discount_c")).alias("totalDiscount"),
+    return F.struct(
+        line["l_linenumber"].alias("sequence"),
+        line["l_quantity"].alias("quantity"),
+        _txt(line["l_partkey"]).alias("externalId"),
+        _money(line["value_c"]).alias("totalValue"),
+        _money(line["discount_c"]).alias("totalDiscount"),
         garnish.alias("garnishItems"))
-    twice = (F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 6 == 0)
-    return li.select("l_orderkey", "l_suppkey", F.explode(
-        F.array_repeat(item, F.when(twice, 2).otherwise(1))).alias("item"))
 
 
 def fx_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw orders, items as a JSON array text: one row per order, and for some orders
     an older version or an exact copy as well.
 
-    The lines of an order are gathered with ``collect_list`` per order key;
-    that group is one order's basket (a handful of lines), the same unit the
-    raw file stores in one JSON field."""
-    lines = fx_lines(spark, sf_dir)
-    baskets = lines.groupBy("l_orderkey").agg(
+    The lines of an order are gathered with ``collect_list`` per order id; that group is
+    one order's basket (a handful of lines), the same unit the raw file stores in one
+    JSON field. What is exchanged and sorted are narrow rows: orders meet their customers
+    first, then the baskets' numbers, and the text, many times as long, is written last.
+    Rows come out by order id, so grouping them by it needs no further exchange."""
+    # Partitioned by order id before the baskets are gathered: no partial baskets.
+    lines = fx_lines(spark, sf_dir).repartition("of_order")
+    baskets = lines.groupBy("of_order").agg(
         F.min("l_suppkey").alias("first_supplier"),
-        F.to_json(F.collect_list("item")).alias("items"))
+        F.collect_list(F.struct("l_partkey", "l_linenumber", "l_quantity", "taxed", "value_c", "discount_c", "tax_c",
+                                "copies")).alias("lines"))
     cust = (table(spark, sf_dir, "customer")
             .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
             .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
             .select("c_custkey", "c_name", "n_name", "r_name"))
-    o = table(spark, sf_dir, "orders").repartition("o_orderkey")
+    o = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
-    joined = (o.join(baskets, o.o_orderkey == baskets.l_orderkey, "left")
-               .join(cust, o.o_custkey == cust.c_custkey, "left"))
     older = (key % 13 == 0) & (key % len(ZONES) < N_VALID_ZONES)
     versions = F.concat(F.array(F.lit(0)), F.when(older, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")),
                         F.when(key % 17 == 0, F.array(F.lit(2))).otherwise(F.array().cast("array<int>")))
-    joined = joined.withColumn("version", F.explode(versions))
+    rows = (o.join(cust, o.o_custkey == cust.c_custkey, "left")
+             .withColumn("version", F.explode(versions)).withColumn("order_id", _txt(key)))
+    joined = rows.join(baskets, rows.order_id == baskets.of_order, "left")
+    items = F.to_json(F.flatten(F.transform("lines", lambda line: F.array_repeat(_item(line), line["copies"]))))
     is_older = F.col("version") == 1
     created = F.col("o_orderdate") - F.when(is_older, F.expr("interval 1 day")).otherwise(F.expr("interval 0 day"))
     name = F.when(key % 5 == 0, F.concat(F.lit("José  "), "c_name", F.lit(" &amp; Cia"))).otherwise(F.col("c_name"))
@@ -129,11 +136,11 @@ def fx_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         _txt(F.col("first_supplier")).alias("merchant_id"),
         F.date_format(created, "yyyy-MM-dd'T'HH:mm:ss").alias("order_created_at"),
         _pick(key % len(ZONES), ZONES).alias("merchant_timezone"),
-        _txt(key).alias("order_id"),
+        "order_id",
         (F.col("o_totalprice") + F.when(is_older, 1.0).otherwise(0.0)).alias("order_total_amount"),
         F.when(is_older, "older").otherwise(F.col("o_orderpriority")).alias("origin_platform"),
         F.lit(None).cast("string").alias("order_scheduled_date"),
-        F.when(key % 23 == 0, MALFORMED).otherwise(F.col("items")).alias("items"),
+        F.when(key % 23 == 0, MALFORMED).otherwise(items).alias("items"),
     )
 
 
