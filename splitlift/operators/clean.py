@@ -54,7 +54,9 @@ def dedup_latest(df: DataFrame, keys: Sequence[str], latest: str | Column,
 
 def clean_orders(raw: DataFrame, name_width: int = 7) -> DataFrame:
     """Latest row per ``order_id`` (by UTC creation time), then the cleaned
-    13-column projection. Items are parsed only for the surviving rows."""
+    13-column projection. Items are parsed only for the surviving rows. Raw orders
+    without ``items`` give the same rows without that column: it is the last that
+    breaks ties, so it decides nothing about the others."""
     with_utc = raw.withColumn(
         "order_created_at_utc", local_to_utc("order_created_at", "merchant_timezone"))
     latest = dedup_latest(with_utc, ["order_id"], "order_created_at_utc")
@@ -70,7 +72,7 @@ def clean_orders(raw: DataFrame, name_width: int = 7) -> DataFrame:
         round_half_up("order_total_amount", 2).alias("order_total_amount"),
         "origin_platform",
         "order_scheduled_date",
-        parse_items("items").alias("items"),
+        *([parse_items("items").alias("items")] if "items" in raw.columns else []),
         "merchant_timezone",
     )
 

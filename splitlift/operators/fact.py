@@ -48,7 +48,8 @@ def join_customers(df: DataFrame, consumers: DataFrame, abtest: DataFrame, hot:
 def order_fact(orders: DataFrame, consumers: DataFrame, merchants: DataFrame, abtest: DataFrame,
                hot: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """The 29-column order fact from the cleaned inputs. ``hot``: hot values of
-    ``merchant_id`` and ``customer_id`` (``skew.hot_keys``)."""
+    ``merchant_id`` and ``customer_id`` (``skew.hot_keys``). Orders may come without
+    ``items`` and with columns of their own, which stay behind the others."""
     hot = hot or {}
     m = merchants.withColumnRenamed("created_at", "merchant_created_at")
     joined = skew.left_join(orders, m, "merchant_id", hot.get("merchant_id", ()))
@@ -57,4 +58,6 @@ def order_fact(orders: DataFrame, consumers: DataFrame, merchants: DataFrame, ab
         "customer_name": F.coalesce(F.col("customer_name"), F.col("consumer_name")),
         "delivery_address_city": F.coalesce(F.col("delivery_address_city"), F.col("merchant_city")),
     }
-    return joined.withColumns(derived).select(*ORDER_FACT_COLUMNS)
+    joined = joined.withColumns(derived)
+    more = [c for c in orders.columns if c not in ORDER_FACT_COLUMNS]
+    return joined.select(*[c for c in ORDER_FACT_COLUMNS if c in joined.columns], *more)

@@ -57,6 +57,17 @@ def _orders(spark, sf):
     return _shared("orders", spark, sf, lambda: clean.clean_orders(fx.fx_orders(spark, sf)))
 
 
+def _slim_orders(spark, sf):
+    """The cleaned orders without their baskets, for queries that look into none."""
+    return _shared("slim_orders", spark, sf, lambda: clean.clean_orders(fx.fx_orders(spark, sf).drop("items")))
+
+
+def _measured_orders(spark, sf):
+    """The cleaned orders with the metrics of their baskets in place of the baskets: the
+    metrics are in-row, and three numbers travel through the joins instead."""
+    return _shared("measured_orders", spark, sf, lambda: items.with_item_metrics(_orders(spark, sf)).drop("items"))
+
+
 def _consumers(spark, sf):
     return _shared("consumers", spark, sf, lambda: clean.clean_consumers(fx.fx_consumers(spark, sf)))
 
@@ -65,19 +76,35 @@ def _merchants(spark, sf):
     return _shared("merchants", spark, sf, lambda: clean.clean_merchants(fx.fx_merchants(spark, sf)))
 
 
+def _fact_of(spark, sf, orders):
+    return fact.order_fact(orders, _consumers(spark, sf), _merchants(spark, sf), fx.fx_abtest(spark, sf))
+
+
 def _fact(spark, sf):
-    return _shared("fact", spark, sf, lambda: fact.order_fact(
-        _orders(spark, sf), _consumers(spark, sf), _merchants(spark, sf), fx.fx_abtest(spark, sf)))
+    return _shared("fact", spark, sf, lambda: _fact_of(spark, sf, _orders(spark, sf)))
+
+
+def _slim_fact(spark, sf):
+    return _shared("slim_fact", spark, sf, lambda: _fact_of(spark, sf, _slim_orders(spark, sf)))
+
+
+def _base_of(fact_df, slim_fact):
+    return pipeline.analysis_base(fact_df, counts=segments.orders_per_customer(slim_fact))
 
 
 def _base(spark, sf):
-    return _shared("base", spark, sf, lambda: pipeline.analysis_base(_fact(spark, sf)))
+    return _shared("base", spark, sf, lambda: _base_of(_fact_of(spark, sf, _measured_orders(spark, sf)),
+                                                       _slim_fact(spark, sf)))
+
+
+def _slim_base(spark, sf):
+    """The base for reports that need no item metrics."""
+    return _shared("slim_base", spark, sf, lambda: _base_of(_slim_fact(spark, sf), _slim_fact(spark, sf)))
 
 
 def _period_report(spark, sf, period, grouping):
-    base = _base(spark, sf)
-    top = metrics.top_k(base, "city_state", 3) if grouping == "city" else None
-    cells = cube.period_cube(cube.customer_days(base, groupings=[grouping]), top, [(period, grouping)])
+    top = metrics.top_k(_slim_base(spark, sf), "city_state", 3) if grouping == "city" else None
+    cells = cube.period_cube(cube.customer_days(_base(spark, sf), groupings=[grouping]), top, [(period, grouping)])
     return cube.period_metrics(cells, period, grouping)
 
 
@@ -152,19 +179,19 @@ _JOIN_KEEP = ["order_id", "customer_id", "merchant_id"]
 
 
 def q_join_merchants(spark, sf):
-    j = fact.join_merchants(_orders(spark, sf), _merchants(spark, sf))
+    j = fact.join_merchants(_slim_orders(spark, sf), _merchants(spark, sf))
     return j.select(*_JOIN_KEEP, "merchant_created_at", "enabled", "price_range", "average_ticket",
                     "minimum_order_value", "merchant_city", "merchant_state", "merchant_country")
 
 
 def q_join_consumers(spark, sf):
-    j = fact.join_consumers(_orders(spark, sf), _consumers(spark, sf))
+    j = fact.join_consumers(_slim_orders(spark, sf), _consumers(spark, sf))
     return j.select(*_JOIN_KEEP, "customer_name", "consumer_name", "language",
                     "consumer_created_at", "active")
 
 
 def q_join_abtest(spark, sf):
-    j = fact.join_abtest(_orders(spark, sf), fx.fx_abtest(spark, sf))
+    j = fact.join_abtest(_slim_orders(spark, sf), fx.fx_abtest(spark, sf))
     return j.select(*_JOIN_KEEP, "abtest_group")
 
 
@@ -176,7 +203,7 @@ def q_order_fact(spark, sf):
 # ---- data quality -------------------------------------------------------------------
 
 def q_dq_report(spark, sf):
-    return quality.dq_report(_fact(spark, sf), "order_id")
+    return quality.dq_report(_slim_fact(spark, sf), "order_id")
 
 
 def q_dq_report_lines(spark, sf):
@@ -190,19 +217,19 @@ def q_null_profile(spark, sf):
 # ---- segments -----------------------------------------------------------------------
 
 def q_orders_per_customer(spark, sf):
-    return segments.orders_per_customer(_fact(spark, sf))
+    return segments.orders_per_customer(_slim_fact(spark, sf))
 
 
 def q_customer_percent_rank(spark, sf):
-    return segments.customer_percent_rank(segments.orders_per_customer(_fact(spark, sf)))
+    return segments.customer_percent_rank(segments.orders_per_customer(_slim_fact(spark, sf)))
 
 
 def q_customer_segments(spark, sf):
-    return segments.customer_segments(_fact(spark, sf))
+    return segments.customer_segments(_slim_fact(spark, sf))
 
 
 def q_base_with_segment(spark, sf):
-    f = _fact(spark, sf)
+    f = _slim_fact(spark, sf)
     b = segments.with_segment(f, segments.customer_segments(f))
     return b.select("order_id", "customer_id", "abtest_group", "customer_segment")
 
@@ -236,36 +263,36 @@ def q_order_item_metrics(spark, sf):
 # ---- periods and overview -----------------------------------------------------------------
 
 def q_period_columns(spark, sf):
-    b = periods.add_periods(_fact(spark, sf))
+    b = periods.add_periods(_slim_fact(spark, sf))
     return b.select("order_id", "order_created_at_utc", "order_date", "week", "month", "city_state")
 
 
 def q_ab_distribution(spark, sf):
-    return metrics.ab_distribution(_base(spark, sf))
+    return metrics.ab_distribution(_slim_base(spark, sf))
 
 
 def q_ab_overview(spark, sf):
-    return metrics.ab_overview(_base(spark, sf))
+    return metrics.ab_overview(_slim_base(spark, sf))
 
 
 def q_ab_group_metrics(spark, sf):
-    return metrics.ab_group_metrics(_base(spark, sf))
+    return metrics.ab_group_metrics(_slim_base(spark, sf))
 
 
 def q_ab_retention(spark, sf):
-    return metrics.ab_retention(_base(spark, sf))
+    return metrics.ab_retention(_slim_base(spark, sf))
 
 
 def q_ab_orders_per_customer(spark, sf):
-    return metrics.ab_orders_per_customer(_base(spark, sf))
+    return metrics.ab_orders_per_customer(_slim_base(spark, sf))
 
 
 def q_top_cities(spark, sf):
-    return metrics.top_k(_base(spark, sf), "city_state", 3)
+    return metrics.top_k(_slim_base(spark, sf), "city_state", 3)
 
 
 def q_top_city_orders(spark, sf):
-    b = _base(spark, sf)
+    b = _slim_base(spark, sf)
     r = metrics.restrict_to(b, metrics.top_k(b, "city_state", 3), "city_state")
     return r.select("order_id", "customer_id", "abtest_group", "city_state", "order_date",
                     "order_total_amount")
@@ -283,7 +310,7 @@ def _lift_report(period: str, grouping: str) -> Query:
 # ---- statistics ----------------------------------------------------------------------------
 
 def q_user_metrics(spark, sf):
-    return stats.user_metrics(_base(spark, sf))
+    return stats.user_metrics(_slim_base(spark, sf))
 
 
 def _rounded(df: DataFrame, columns: list[str], digits: int = 6,
@@ -296,11 +323,11 @@ def _rounded(df: DataFrame, columns: list[str], digits: int = 6,
 
 
 def _welch(spark, sf):
-    return stats.welch_test(stats.welch_moments(stats.user_metrics(_base(spark, sf))))
+    return stats.welch_test(stats.welch_moments(stats.user_metrics(_slim_base(spark, sf))))
 
 
 def q_welch_moments(spark, sf):
-    m = stats.welch_moments(stats.user_metrics(_base(spark, sf)))
+    m = stats.welch_moments(stats.user_metrics(_slim_base(spark, sf)))
     return _rounded(m, ["mean_orders", "var_orders", "mean_aov", "var_aov"], overrides={"var_aov": 2})
 
 

@@ -97,11 +97,14 @@ def run_elt(raw: RawInputs, target: str, run_date: str, fmt: str = "parquet") ->
 def analysis_base(fact_df: DataFrame, high: float = 0.90, medium: float = 0.50,
                   orders_unique: bool = False, counts: DataFrame | None = None, hot: Sequence[str] = ()) -> DataFrame:
     """Fact + customer segment + item metrics + calendar columns. ``counts``: orders
-    per customer, if they are at hand; ``hot``: customers with very many."""
+    per customer, if they are at hand; ``hot``: customers with very many. The metrics
+    come first, so that baskets nobody asks for take no part in the join; a fact without
+    ``items`` has been measured before or needs no metrics."""
     if counts is None:
         counts = segments.orders_per_customer(fact_df, orders_unique=orders_unique)
-    base = segments.with_segment(fact_df.drop(*PERSONAL), segments.rank_segments(counts, high, medium), hot=hot)
-    return periods.add_periods(items.with_item_metrics(base))
+    rows = items.with_item_metrics(fact_df) if "items" in fact_df.columns else fact_df
+    base = segments.with_segment(rows.drop(*PERSONAL), segments.rank_segments(counts, high, medium), hot=hot)
+    return periods.add_periods(base)
 
 
 def period_report(base: DataFrame, period: str, grouping: str, top: DataFrame | None = None,

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from splitlift.operators import clean
+from splitlift.plans import catalog, pipeline
 from splitlift.sources import fixtures as fx
 
 from conftest import SF_SMALL
@@ -65,3 +66,29 @@ def test_baskets_of_null_and_repeated_keys(spark, tmpdir_path):
                                          "totalValue": {"currency": "BRL"}}]
     assert by["6"][0].merchant_id == "7"
     assert all(len(json.loads(r["items"])) == 2 for r in by["13"])
+
+
+def test_orders_without_baskets_are_the_same_orders(spark):
+    raw = spark.createDataFrame(
+        [("o", "c", "2024-01-01T00:00:00", "UTC", 1.0, "a", "[]"), ("o", "c", "2024-01-01T00:00:00", "UTC", 1.0, "a", "not"),
+         ("o", "b", "2024-01-01T00:00:00", "UTC", 9.0, "z", "z"), (None, "b", None, "UTC", 2.0, None, None),
+         (None, None, None, None, 3.0, "q", "[]")],
+        "order_id string, customer_id string, order_created_at string, merchant_timezone string, "
+        "order_total_amount double, origin_platform string, items string")
+    for c in ("customer_name", "delivery_address_city", "delivery_address_external_id", "delivery_address_state",
+              "merchant_id", "order_scheduled_date"):
+        raw = raw.withColumn(c, F.lit("x"))
+    raw = raw.select(*[c for c in raw.columns if c != "items"], "items")
+    whole, slim = clean.clean_orders(raw), clean.clean_orders(raw.drop("items"))
+    assert sorted(map(str, whole.drop("items").collect())) == sorted(map(str, slim.collect()))
+    assert slim.count() == 2
+
+
+def test_reports_take_metrics_through_the_joins_not_baskets(spark):
+    base = catalog._base(spark, SF_SMALL)
+    assert "items" not in base.columns
+    want = pipeline.analysis_base(catalog._fact(spark, SF_SMALL)).select(*pipeline.REPORT_COLUMNS)
+    got = base.select(*pipeline.REPORT_COLUMNS)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    for name in ("user_metrics", "top_cities", "top_city_orders", "base_with_segment", "significance"):
+        assert "collect_list" not in _plan(catalog.QUERIES[name](spark, SF_SMALL))
