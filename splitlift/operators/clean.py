@@ -77,6 +77,12 @@ def clean_orders(raw: DataFrame, name_width: int = 7) -> DataFrame:
     )
 
 
+def narrow_orders(raw: DataFrame) -> DataFrame:
+    """The rows of :func:`clean_orders`, with items only where the order has no id: the
+    others can be met by it (``fact.order_fact``)."""
+    return clean_orders(raw.withColumn("items", F.when(F.col("order_id").isNull(), F.col("items"))))
+
+
 def clean_consumers(raw: DataFrame) -> DataFrame:
     return raw.select(
         "customer_id", "language", "created_at", "active",

@@ -46,11 +46,20 @@ def join_customers(df: DataFrame, consumers: DataFrame, abtest: DataFrame, hot:
 
 
 def order_fact(orders: DataFrame, consumers: DataFrame, merchants: DataFrame, abtest: DataFrame,
-               hot: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+               hot: Mapping[str, Sequence[str]] | None = None, baskets: DataFrame | None = None) -> DataFrame:
     """The 29-column order fact from the cleaned inputs. ``hot``: hot values of
     ``merchant_id`` and ``customer_id`` (``skew.hot_keys``). Orders may come without
-    ``items`` and with columns of their own, which stay behind the others."""
+    ``items`` and with columns of their own, which stay behind the others.
+
+    ``baskets``: order ids, each once, with their items. ``orders`` are then the narrow
+    ones (``clean.narrow_orders``), and the items, many times as long as the rest, stay
+    out of the joins by merchant and customer: they are met by order id, where the dedup
+    has left them in order."""
     hot = hot or {}
+    if baskets is not None:
+        taken = {*orders.columns, *consumers.columns, *merchants.columns, *ORDER_FACT_COLUMNS, "consumer_name"}
+        of_order, basket = skew.fresh(taken, "of_order"), skew.fresh(taken, "basket")
+        baskets = baskets.select(F.col("order_id").alias(of_order), F.col("items").alias(basket))
     m = merchants.withColumnRenamed("created_at", "merchant_created_at")
     joined = skew.left_join(orders, m, "merchant_id", hot.get("merchant_id", ()))
     joined = join_customers(joined, consumers, abtest, hot.get("customer_id", ()))
@@ -58,6 +67,9 @@ def order_fact(orders: DataFrame, consumers: DataFrame, merchants: DataFrame, ab
         "customer_name": F.coalesce(F.col("customer_name"), F.col("consumer_name")),
         "delivery_address_city": F.coalesce(F.col("delivery_address_city"), F.col("merchant_city")),
     }
+    if baskets is not None:
+        joined = joined.join(baskets, F.col("order_id") == F.col(of_order), "left")
+        derived["items"] = F.coalesce("items", basket)
     joined = joined.withColumns(derived)
     more = [c for c in orders.columns if c not in ORDER_FACT_COLUMNS]
     return joined.select(*[c for c in ORDER_FACT_COLUMNS if c in joined.columns], *more)

@@ -49,7 +49,7 @@ def tasks_of(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _fresh(taken: set[str], name: str) -> str:
+def fresh(taken: set[str], name: str) -> str:
     while name in taken:
         name += "_"
     taken.add(name)
@@ -64,7 +64,7 @@ def left_join(left: DataFrame, right: DataFrame, key: str, hot: Sequence[str] =
     apart; lanes are drawn from them."""
     payload = [c for c in right.columns if c != key]
     taken = set(left.columns) | set(right.columns)
-    flag, lane, real, other, rest, few, near = (_fresh(taken, n) for n in (
+    flag, lane, real, other, rest, few, near = (fresh(taken, n) for n in (
         "is_lane", "lane", "is_key", "other_key", "rest", "few_key", "near"))
     text = (F.col(key) + 0.0 if isinstance(left.schema[key].dataType, (T.DoubleType, T.FloatType))  # -0.0 is 0.0
             else F.col(key)).cast("string")

@@ -76,12 +76,14 @@ def _merchants(spark, sf):
     return _shared("merchants", spark, sf, lambda: clean.clean_merchants(fx.fx_merchants(spark, sf)))
 
 
-def _fact_of(spark, sf, orders):
-    return fact.order_fact(orders, _consumers(spark, sf), _merchants(spark, sf), fx.fx_abtest(spark, sf))
+def _fact_of(spark, sf, orders, baskets=None):
+    return fact.order_fact(orders, _consumers(spark, sf), _merchants(spark, sf), fx.fx_abtest(spark, sf),
+                           baskets=baskets)
 
 
 def _fact(spark, sf):
-    return _shared("fact", spark, sf, lambda: _fact_of(spark, sf, _orders(spark, sf)))
+    return _shared("fact", spark, sf, lambda: _fact_of(
+        spark, sf, clean.narrow_orders(fx.fx_orders(spark, sf)), _orders(spark, sf)))
 
 
 def _slim_fact(spark, sf):

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from splitlift.operators import clean
+from splitlift.operators import clean, fact
 from splitlift.plans import catalog, pipeline
 from splitlift.sources import fixtures as fx
 
@@ -92,3 +92,20 @@ def test_reports_take_metrics_through_the_joins_not_baskets(spark):
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
     for name in ("user_metrics", "top_cities", "top_city_orders", "base_with_segment", "significance"):
         assert "collect_list" not in _plan(catalog.QUERIES[name](spark, SF_SMALL))
+
+
+def test_baskets_take_no_part_in_the_joins_of_the_fact(spark, without_broadcasts):
+    plan = _plan(catalog.QUERIES["null_profile"](spark, SF_SMALL))
+    above, joined, _ = plan.partition("LeftOuter")   # the last join
+    assert joined and "[order_id" in above.splitlines()[-1]
+
+
+def test_fact_of_null_ids_keeps_every_basket(spark, tmpdir_path):
+    sf = _tables(spark, f"{tmpdir_path}/t", LINES, ORDERS)
+    raw = fx.fx_orders(spark, sf).withColumn("items", F.coalesce("items", F.lit('[{"sequence": 9}]')))
+    orders = clean.clean_orders(raw)
+    dims = (catalog._consumers(spark, sf), catalog._merchants(spark, sf), fx.fx_abtest(spark, sf))
+    plain, apart = fact.order_fact(orders, *dims), fact.order_fact(clean.narrow_orders(raw), *dims, baskets=orders)
+    assert apart.columns == plain.columns
+    rows = [sorted(map(str, f.collect())) for f in (plain, apart)]
+    assert rows[0] == rows[1] and len(rows[0]) == 4 and all("sequence" in r for r in rows[0])
